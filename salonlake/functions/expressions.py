@@ -140,7 +140,7 @@ def parse_int(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     s = c.cast("string")
-    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(s, F.lit("yyyy-MM-dd")))
+    return F.when(s.rlike(DATE_PATTERN), F.try_to_date(s, "yyyy-MM-dd"))
 
 
 def blank(c: Column) -> Column:

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salonlake.session import ensure_checkpoint_dir
+
 _PID = "_slice"
 
 
@@ -26,16 +28,21 @@ def _slices(spark) -> int:
 
 
 def _split(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    n = _slices(df.sparkSession)
-    return (df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-              .withColumn(_PID, F.spark_partition_id()))
-
+    """Range-partition on (keys, order) and tag rows with their slice.
 
-def _key_match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = left[_PID] == right[_PID]
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+    The sliced rows are checkpointed (reliable storage under the session's
+    ``spark.checkpoint.dir``): the local scan and the carry table must see the
+    *same* slice boundaries, but two range exchanges of the same data pick
+    their boundaries from independent samples (and column pruning makes the
+    two branches' exchanges differ, so they are not reused). Reading one
+    written copy makes the slices identical, and cuts the lineage so a lost
+    executor does not re-sample."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = _slices(spark)
+    return (df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+              .withColumn(_PID, F.spark_partition_id())
+              .checkpoint(eager=True))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,

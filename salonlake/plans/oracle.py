@@ -74,8 +74,161 @@ SELECT event_id AS id, user_id AS inventory_id,
 FROM events""",
 }
 
+# Change batches (write side), derived from the test tables.
+VIEWS.update({
+    "customer_changes": """
+SELECT o_orderkey AS request_seq, o_orderkey % 100 AS actor_id, o_orderdate AS now,
+       'update' AS op, o_custkey AS id,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'Client <' || CAST(o_orderkey AS VARCHAR) || '>' END
+         AS full_name,
+       CASE WHEN o_orderkey % 3 = 0 THEN '06' || CAST(20000000 + o_orderkey AS VARCHAR) END AS phone,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'n' || CAST(o_orderkey AS VARCHAR) || '@example.org'
+            WHEN o_orderkey % 9 = 0 THEN 'bad-email' END AS email,
+       CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS notes
+FROM orders""",
+    "customer_creates": """
+SELECT c_custkey AS request_seq,
+       CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 10 = 1 THEN 'A' ELSE c_name END
+         AS full_name,
+       CASE WHEN c_custkey % 4 = 0 THEN '05' || CAST(c_custkey AS VARCHAR)
+            ELSE '05' || CAST(10000000 + c_custkey AS VARCHAR) END AS phone,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL
+            WHEN c_custkey % 5 = 0 THEN 'c' || CAST(c_custkey AS VARCHAR) || '@example'
+            ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
+       c_mktsegment AS notes
+FROM customer""",
+    "ledger_creates": """
+SELECT event_id AS request_seq,
+       CASE WHEN event_id % 13 = 0 THEN 'refund'
+            WHEN event_type IN ('purchase', 'signup') THEN 'income' ELSE 'expense' END AS type,
+       CASE WHEN event_id % 17 = 0 THEN 'x' ELSE event_type END AS category,
+       CASE WHEN event_id % 19 = 0 THEN '0' WHEN event_id % 23 = 0 THEN 'abc'
+            ELSE CAST(value AS VARCHAR) END AS amount,
+       CASE WHEN event_id % 29 = 0 THEN '2024-02-30' ELSE strftime(ts, '%Y-%m-%d') END AS date,
+       props AS description,
+       CASE WHEN event_type = 'purchase' THEN CAST(event_id AS VARCHAR) END AS appointment_id
+FROM events""",
+    "customer_deletes": """
+SELECT o_orderkey AS request_seq, o_orderkey % 100 AS actor_id, o_orderdate AS now,
+       CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 100000000 ELSE o_custkey END AS id
+FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'""",
+    "ledger_deletes": """
+SELECT event_id AS request_seq,
+       CASE WHEN event_id % 4 = 0 THEN event_id + 100000000 ELSE event_id END AS id
+FROM events WHERE event_type = 'error' AND value > 300""",
+    "new_users": """
+SELECT c_custkey AS request_seq,
+       CASE WHEN c_custkey % 11 = 0 THEN 'B' ELSE c_name END AS full_name,
+       'u' || CAST(c_custkey % 130 AS VARCHAR) || '@example.com' AS email,
+       CAST(NULL AS VARCHAR) AS phone,
+       CASE WHEN c_custkey % 3 = 0 THEN 'manager' END AS role
+FROM customer""",
+    "appointment_requests": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now,
+       CAST(user_id AS VARCHAR) AS customer_id, CAST(event_id % 200 AS VARCHAR) AS service_id,
+       CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(user_id % 100 AS VARCHAR) END AS employee_id,
+       strftime(CAST(ts AS DATE) - 9345, '%Y-%m-%d') AS appointment_date,
+       CASE WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'cancelled'
+            WHEN event_type = 'view' THEN 'scheduled' END AS status,
+       CAST(value AS VARCHAR) AS price, CAST(NULL AS VARCHAR) AS notes
+FROM events""",
+    "appointment_updates": """
+SELECT o_orderkey AS request_seq, o_orderkey % 100 AS actor_id, o_orderkey AS id,
+       CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'confirmed' END
+         AS status,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN ''
+            ELSE CAST(o_totalprice AS VARCHAR) END AS price,
+       CAST(NULL AS VARCHAR) AS appointment_date, CAST(NULL AS VARCHAR) AS employee_id,
+       CAST(NULL AS VARCHAR) AS notes
+FROM orders
+UNION ALL
+SELECT event_id + 1000000000, event_id % 100, event_id, 'completed', CAST(value AS VARCHAR),
+       NULL, NULL, NULL
+FROM events WHERE event_type = 'purchase'""",
+    "stock_sets": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id,
+       CASE WHEN event_id % 10 = 0 THEN user_id + 100000000 ELSE user_id END AS id,
+       CASE WHEN event_id % 31 = 0 THEN 'abc'
+            ELSE CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR) END AS quantity,
+       event_type AS reason
+FROM events""",
+    "session_requests": """
+SELECT event_id AS request_id, user_id AS actor_id, ts AS now,
+       ts - to_hours(CAST(event_id % 30 AS BIGINT)) AS issued_at
+FROM events""",
+    "upload_manifest": """
+SELECT page_id AS upload_id,
+       CASE WHEN page_id % 2 = 0 THEN 'avatar' ELSE 'receipt' END AS kind,
+       CASE WHEN page_id % 7 = 0 THEN NULL ELSE string_split(url, '/')[-1] END AS file_name,
+       CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png'
+            WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/jpeg' ELSE 'text/html' END AS mime,
+       CAST(strlen(html) * 97 AS BIGINT) AS size_bytes,
+       page_id % 100 AS user_id,
+       CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id END AS transaction_id,
+       1700000000000 + page_id * 1000 AS uploaded_ms
+FROM pages""",
+})
+
 _ORDER = ["users", "customers", "services", "appointments", "transactions", "inventory",
-          "inventory_changes"]
+          "inventory_changes", "customer_changes", "customer_creates", "ledger_creates",
+          "customer_deletes", "ledger_deletes", "new_users", "appointment_requests",
+          "appointment_updates", "stock_sets", "session_requests", "upload_manifest"]
+
+_NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_INF = r"^\s*[+-]?Infinity\s*$"
+_EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+_DATE = r"^\d{4}-\d{2}-\d{2}$"
+
+
+def escape_sql(expr: str) -> str:
+    """Markup escaping as nested replace() calls."""
+    for raw, rep in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"),
+                     ("/", "&#x2F;")):
+        q = raw.replace("'", "''")
+        expr = f"replace({expr}, '{q}', '{rep}')"
+    return expr
+
+
+def number_sql(v: str) -> str:
+    return f"CASE WHEN regexp_matches({v}, '{_NUM}') THEN TRY_CAST(trim({v}) AS DOUBLE) END"
+
+
+def rule_errors_sql(rules) -> str:
+    """DuckDB list of the error codes of ``rules`` (see functions.validation)."""
+    items = []
+    for name, r in rules.items():
+        v = f"CAST({name} AS VARCHAR)"
+        blank = f"({v} IS NULL OR {v} = '')"
+        if r.required:
+            items.append(f"CASE WHEN {blank} THEN '{name}:required' END")
+        checks = []
+        if r.type == "email":
+            checks.append((f"NOT regexp_matches({v}, '{_EMAIL}')", "email"))
+        elif r.type == "number":
+            checks.append((f"NOT (regexp_matches({v}, '{_NUM}') OR regexp_matches({v}, '{_INF}'))",
+                           "number"))
+        elif r.type == "date":
+            checks.append((f"NOT regexp_matches({v}, '{_DATE}') OR TRY_CAST({v} AS DATE) IS NULL",
+                           "date"))
+        if r.min_length is not None:
+            checks.append((f"length({v}) < {r.min_length}", "min_length"))
+        if r.max_length is not None:
+            checks.append((f"length({v}) > {r.max_length}", "max_length"))
+        if r.min is not None:
+            checks.append((f"{number_sql(v)} < {r.min}", "min"))
+        if r.max is not None:
+            checks.append((f"{number_sql(v)} > {r.max}", "max"))
+        if r.enum is not None:
+            lst = ", ".join(f"'{e}'" for e in r.enum)
+            checks.append((f"{v} NOT IN ({lst})", "enum"))
+        for cond, code in checks:
+            items.append(f"CASE WHEN NOT {blank} AND COALESCE({cond}, false) "
+                         f"THEN '{name}:{code}' END")
+    return f"list_filter([{', '.join(items)}]::VARCHAR[], lambda x: x IS NOT NULL)"
+
+
+def valid_sql(rules) -> str:
+    return f"len({rule_errors_sql(rules)}) = 0"
 
 
 def with_views(body: str) -> str:
