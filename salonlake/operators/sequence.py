@@ -45,19 +45,34 @@ def _split(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
               .checkpoint(eager=True))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
-                out: str) -> DataFrame:
-    """``out`` = sum of ``value`` over rows of the same key up to and including
-    this row in ``order`` (``order`` must make rows unique within a key)."""
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _combine(fn: str, a: Column, b: Column) -> Column:
+    """Combine a local partial with the carry (either may be NULL)."""
+    if fn == "sum":
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    if fn == "min":
+        return F.least(a, b)
+    return F.greatest(a, b)
+
+
+def running_agg(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str,
+                fn: str = "sum", inclusive: bool = True) -> DataFrame:
+    """``out`` = fn(``value``) over the rows of the same key that come before
+    this row in ``order`` (and this row too when ``inclusive``). ``order``
+    must make rows unique within a key. fn is sum, min or max; NULL values
+    are skipped, and a row with nothing to aggregate gets NULL."""
+    agg = _AGG[fn]
     s = _split(df, keys, order)
-    local = s.withColumn(out, F.sum(value).over(
-        Window.partitionBy(_PID, *keys).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    tot = s.groupBy(_PID, *keys).agg(F.sum(value).alias("_tot"))
-    carry = (tot.withColumn("_carry", F.sum("_tot").over(
-                Window.partitionBy(*keys).orderBy(_PID)
-                .rowsBetween(Window.unboundedPreceding, -1)))
-                .where(F.col("_carry").isNotNull())
+    frame = Window.partitionBy(_PID, *keys).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = s.withColumn(out, agg(value).over(frame))
+    tot = s.groupBy(_PID, *keys).agg(agg(value).alias("_tot"), F.count(F.lit(1)).alias("_n"))
+    prior = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (tot.withColumn("_carry", agg("_tot").over(prior))
+                .withColumn("_has", F.sum("_n").over(prior) > 0)
+                .where("_has")
                 .select(F.col(_PID).alias("_cp"), *[F.col(k).alias("_ck_" + k) for k in keys],
                         "_carry"))
     cond = local[_PID] == carry["_cp"]
@@ -65,20 +80,29 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
         cond = cond & local[k].eqNullSafe(carry["_ck_" + k])
     # carry holds at most one row per slice boundary: bounded, so broadcast.
     j = local.join(F.broadcast(carry), cond, "left")
-    res = j.withColumn(out, F.col(out) + F.coalesce(F.col("_carry"), F.lit(0)))
+    res = j.withColumn(out, _combine(fn, F.col(out), F.col("_carry")))
     return res.drop(_PID, "_cp", "_carry", *["_ck_" + k for k in keys])
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
+                out: str) -> DataFrame:
+    """``out`` = sum of ``value`` over rows of the same key up to and including
+    this row in ``order`` (``order`` must make rows unique within a key)."""
+    return running_agg(df, keys, order, value, out, "sum", True)
+
+
 def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: str,
                    out: str) -> DataFrame:
     """``out`` = ``value`` of the row just before this one within the key
     (NULL for the first row of a key): a skew-safe ``lag``."""
     s = _split(df, keys, order)
     w = Window.partitionBy(_PID, *keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = (s.withColumn(out, F.lag(value).over(w))
-              .withColumn("_first", F.row_number().over(w) == 1))
-    last = s.groupBy(_PID, *keys).agg(
-        F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+              .withColumn("_first", F.row_number().over(w) == 1)
+              .withColumn("_lastv", F.last(value).over(whole)))
+    # Same (slice, key) clustering as the window: no extra exchange.
+    last = local.groupBy(_PID, *keys).agg(F.first("_lastv").alias("_last"))
     carry = (last.withColumn("_has", F.count(F.lit(1)).over(
                  Window.partitionBy(*keys).orderBy(_PID)
                  .rowsBetween(Window.unboundedPreceding, -1)) > 0)
@@ -94,4 +118,4 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: s
     j = local.join(F.broadcast(carry), cond, "left")
     res = j.withColumn(out, F.when(F.col("_first") & F.col("_cp").isNotNull(), F.col("_carry"))
                         .otherwise(F.col(out)))
-    return res.drop(_PID, "_cp", "_carry", "_first", *["_ck_" + k for k in keys])
+    return res.drop(_PID, "_cp", "_carry", "_first", "_lastv", *["_ck_" + k for k in keys])
