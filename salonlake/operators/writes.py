@@ -73,12 +73,21 @@ def apply_updates(snapshot: DataFrame, changes: DataFrame, columns: list[str],
         F.count(F.lit(1)).alias("n_updates"))
     fold = fold.withColumnRenamed("id", "_fid")
     j = snapshot.join(fold, snapshot["id"] == fold["_fid"], "left")
-    out = j.select(
+    audit = ("updated_by", "updated_at", "n_updates")
+    keep = [c for c in snapshot.columns if c not in audit]
+
+    def old(c):
+        return F.col(c) if c in snapshot.columns else F.lit(None)
+
+    by, at = F.col("_by"), F.col("_at")
+    if "updated_at" in snapshot.columns:
+        at = at.cast(snapshot.schema["updated_at"].dataType)
+    return j.select(
         *[F.coalesce(F.col("_new_" + c).cast(snapshot.schema[c].dataType), F.col(c)).alias(c)
-          if c in columns else F.col(c) for c in snapshot.columns],
-        F.col("_by").alias("updated_by"), F.col("_at").alias("updated_at"),
+          if c in columns else F.col(c) for c in keep],
+        F.coalesce(by, old("updated_by")).alias("updated_by"),
+        F.coalesce(at, old("updated_at")).alias("updated_at"),
         F.coalesce(F.col("n_updates"), F.lit(0)).alias("n_updates"))
-    return out
 
 
 def update_customers(customers: DataFrame, changes: DataFrame,
