@@ -87,7 +87,7 @@ SELECT o_orderkey AS request_seq, o_orderkey % 100 AS actor_id, o_orderdate AS n
        CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS notes
 FROM orders""",
     "customer_creates": """
-SELECT c_custkey AS request_seq,
+SELECT c_custkey AS request_seq, c_custkey % 100 AS actor_id,
        CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 10 = 1 THEN 'A' ELSE c_name END
          AS full_name,
        CASE WHEN c_custkey % 4 = 0 THEN '05' || CAST(c_custkey AS VARCHAR)
@@ -167,12 +167,41 @@ SELECT page_id AS upload_id,
        CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id END AS transaction_id,
        1700000000000 + page_id * 1000 AS uploaded_ms
 FROM pages""",
+    "service_changes": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now, user_id AS id,
+       CASE WHEN event_id % 3 = 0 THEN 'Svc ' || CAST(event_id AS VARCHAR) END AS name,
+       CASE WHEN event_id % 15 = 0 THEN '-1' WHEN event_id % 4 = 0 THEN CAST(value AS VARCHAR) END
+         AS price,
+       CASE WHEN event_id % 5 = 0 THEN CAST(5 + event_id % 500 AS VARCHAR) END AS duration_minutes,
+       CASE WHEN event_id % 6 = 0 THEN event_type END AS category,
+       CAST(NULL AS VARCHAR) AS description
+FROM events""",
+    "inventory_creates": """
+SELECT p_partkey AS request_seq, p_partkey % 20 AS actor_id,
+       CASE WHEN p_partkey % 17 = 0 THEN 'x' ELSE p_name END AS name,
+       CASE WHEN p_partkey % 19 = 0 THEN 'many' ELSE CAST(p_size AS VARCHAR) END AS quantity,
+       CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 23 = 0 THEN '0'
+            ELSE CAST(p_retailprice AS VARCHAR) END AS unit_price,
+       CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_size % 7 AS VARCHAR) END AS min_stock_level,
+       p_brand AS category, p_type AS description
+FROM part""",
+    "inventory_updates": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now,
+       CASE WHEN event_id % 10 = 0 THEN user_id + 100000000 ELSE user_id END AS id,
+       CAST(NULL AS VARCHAR) AS name,
+       CASE WHEN event_id % 3 = 0 THEN CAST(CAST(floor(value) AS BIGINT) % 40 AS VARCHAR) END
+         AS quantity,
+       CAST(NULL AS VARCHAR) AS unit_price,
+       CASE WHEN event_id % 7 = 0 THEN '5' END AS min_stock_level,
+       CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS description
+FROM events""",
 })
 
 _ORDER = ["users", "customers", "services", "appointments", "transactions", "inventory",
           "inventory_changes", "customer_changes", "customer_creates", "ledger_creates",
           "customer_deletes", "ledger_deletes", "new_users", "appointment_requests",
-          "appointment_updates", "stock_sets", "session_requests", "upload_manifest"]
+          "appointment_updates", "stock_sets", "session_requests", "upload_manifest", "service_changes",
+          "inventory_creates", "inventory_updates"]
 
 _NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INF = r"^\s*[+-]?Infinity\s*$"

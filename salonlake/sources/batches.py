@@ -44,7 +44,7 @@ def customer_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = raw(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(
-        k.alias("request_seq"),
+        k.alias("request_seq"), (k % 100).alias("actor_id"),
         F.when(k % 10 == 0, F.lit("")).when(k % 10 == 1, F.lit("A")).otherwise(F.col("c_name"))
          .alias("full_name"),
         F.when(k % 4 == 0, F.concat(F.lit("05"), _s(k)))
@@ -185,3 +185,48 @@ def upload_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.lit(None).cast("bigint")).otherwise(k).alias("transaction_id"),
         (F.lit(1700000000000) + k * 1000).alias("uploaded_ms"),
         ext.alias("_ext")).drop("_ext")
+
+
+def service_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Service updates addressed to item user_id (some invalid)."""
+    e = raw(spark, sf_dir, "events")
+    k = F.col("event_id")
+    return e.select(
+        k.alias("request_seq"), (k % 20).alias("actor_id"), F.col("ts").alias("now"),
+        F.col("user_id").alias("id"),
+        F.when(k % 3 == 0, F.concat(F.lit("Svc "), _s(k))).alias("name"),
+        F.when(k % 15 == 0, F.lit("-1")).when(k % 4 == 0, _s(F.col("value"))).alias("price"),
+        F.when(k % 5 == 0, _s(F.lit(5) + k % 500)).alias("duration_minutes"),
+        F.when(k % 6 == 0, F.col("event_type")).alias("category"),
+        F.lit(None).cast("string").alias("description"))
+
+
+def inventory_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One new item per part (some invalid, some without price/threshold)."""
+    p = raw(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("request_seq"), (k % 20).alias("actor_id"),
+        F.when(k % 17 == 0, F.lit("x")).otherwise(F.col("p_name")).alias("name"),
+        F.when(k % 19 == 0, F.lit("many")).otherwise(_s(F.col("p_size"))).alias("quantity"),
+        F.when(k % 13 == 0, F.lit(None).cast("string")).when(k % 23 == 0, F.lit("0"))
+         .otherwise(_s(F.col("p_retailprice"))).alias("unit_price"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(_s(F.col("p_size") % 7)).alias("min_stock_level"),
+        F.col("p_brand").alias("category"),
+        F.col("p_type").alias("description"))
+
+
+def inventory_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-form item updates addressed to item user_id."""
+    e = raw(spark, sf_dir, "events")
+    k = F.col("event_id")
+    return e.select(
+        k.alias("request_seq"), (k % 20).alias("actor_id"), F.col("ts").alias("now"),
+        F.when(k % 10 == 0, F.col("user_id") + UNKNOWN_ID_OFFSET).otherwise(F.col("user_id"))
+         .alias("id"),
+        F.lit(None).cast("string").alias("name"),
+        F.when(k % 3 == 0, _s(F.floor(F.col("value")).cast("bigint") % 40)).alias("quantity"),
+        F.lit(None).cast("string").alias("unit_price"),
+        F.when(k % 7 == 0, F.lit("5")).alias("min_stock_level"),
+        F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("string").alias("description"))
