@@ -5,9 +5,13 @@ one task; if one key holds a third of a 100 TB table, that task never ends.
 Here rows are range-partitioned on (key, order) instead, so a hot key is cut
 into several contiguous slices. Each slice is scanned locally by a window on
 (slice, key), and the only thing that crosses slices is one carry row per
-(slice, key) that continues from the previous slice. A key can continue into
-slice p only as the first key of p, so there are at most (#slices - 1) carry
-rows: that table is bounded by the partition count and safe to broadcast.
+(slice, key) that continues from the neighbouring slices. A key can continue
+into slice p only as the first (or, scanning backwards, the last) key of p,
+so the carry table has at most one row per slice boundary: bounded by the
+partition count and safe to broadcast.
+
+``sliced`` materialises the slicing once; any number of ``scan``/``lag_scan``
+calls then reuse it (their windows share the (slice, key) clustering).
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from pyspark.sql import functions as F
 
 from salonlake.session import ensure_checkpoint_dir
 
-_PID = "_slice"
+SLICE = "_slice"
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def _slices(spark) -> int:
@@ -27,27 +32,24 @@ def _slices(spark) -> int:
         return 200
 
 
-def _split(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Range-partition on (keys, order) and tag rows with their slice.
 
     The sliced rows are checkpointed (reliable storage under the session's
-    ``spark.checkpoint.dir``): the local scan and the carry table must see the
-    *same* slice boundaries, but two range exchanges of the same data pick
-    their boundaries from independent samples (and column pruning makes the
-    two branches' exchanges differ, so they are not reused). Reading one
+    ``spark.checkpoint.dir``): every later scan and its carry table must see
+    the *same* slice boundaries, but two range exchanges of the same data
+    pick boundaries from independent samples (and column pruning makes the
+    exchanges of two branches differ, so they are not reused). Reading one
     written copy makes the slices identical, and cuts the lineage so a lost
     executor does not re-sample."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = _slices(spark)
     return (df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-              .withColumn(_PID, F.spark_partition_id())
+              .withColumn(SLICE, F.spark_partition_id())
               .checkpoint(eager=True))
 
 
-_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
-
-
 def _combine(fn: str, a: Column, b: Column) -> Column:
     """Combine a local partial with the carry (either may be NULL)."""
     if fn == "sum":
@@ -57,31 +59,76 @@ def _combine(fn: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def running_agg(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str,
-                fn: str = "sum", inclusive: bool = True) -> DataFrame:
-    """``out`` = fn(``value``) over the rows of the same key that come before
-    this row in ``order`` (and this row too when ``inclusive``). ``order``
-    must make rows unique within a key. fn is sum, min or max; NULL values
-    are skipped, and a row with nothing to aggregate gets NULL."""
+def _carry_join(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    c = carry.select(F.col(SLICE).alias("_cp"), *[F.col(k).alias("_ck_" + k) for k in keys],
+                     "_carry")
+    cond = local[SLICE] == c["_cp"]
+    for k in keys:
+        cond = cond & local[k].eqNullSafe(c["_ck_" + k])
+    # One carry row per slice boundary at most: bounded, so broadcast.
+    return local.join(F.broadcast(c), cond, "left")
+
+
+def _drop_carry(df: DataFrame, keys: list[str], *extra: str) -> DataFrame:
+    return df.drop("_cp", "_carry", *extra, *["_ck_" + k for k in keys])
+
+
+def scan(s: DataFrame, keys: list[str], order: list[str | Column], value: str, out: str,
+         fn: str = "sum", inclusive: bool = True, reverse: bool = False) -> DataFrame:
+    """On ``sliced`` rows: ``out`` = fn(``value``) over the rows of the same key
+    before this one in ``order`` (after it when ``reverse``), plus this row
+    when ``inclusive``. NULL values are skipped; nothing to aggregate gives
+    NULL. ``order`` is the ascending slicing order, given as column names
+    when ``reverse`` is used."""
     agg = _AGG[fn]
-    s = _split(df, keys, order)
-    frame = Window.partitionBy(_PID, *keys).orderBy(*order).rowsBetween(
+    if reverse:
+        order = [F.col(c).desc() if isinstance(c, str) else _bad_reverse(c) for c in order]
+    w = Window.partitionBy(SLICE, *keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    local = s.withColumn(out, agg(value).over(frame))
-    tot = s.groupBy(_PID, *keys).agg(agg(value).alias("_tot"), F.count(F.lit(1)).alias("_n"))
-    prior = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    local = s.withColumn(out, agg(value).over(w))
+    tot = s.groupBy(SLICE, *keys).agg(agg(value).alias("_tot"), F.count(F.lit(1)).alias("_n"))
+    slice_order = F.col(SLICE).desc() if reverse else F.col(SLICE)
+    prior = Window.partitionBy(*keys).orderBy(slice_order).rowsBetween(
+        Window.unboundedPreceding, -1)
     carry = (tot.withColumn("_carry", agg("_tot").over(prior))
                 .withColumn("_has", F.sum("_n").over(prior) > 0)
-                .where("_has")
-                .select(F.col(_PID).alias("_cp"), *[F.col(k).alias("_ck_" + k) for k in keys],
-                        "_carry"))
-    cond = local[_PID] == carry["_cp"]
-    for k in keys:
-        cond = cond & local[k].eqNullSafe(carry["_ck_" + k])
-    # carry holds at most one row per slice boundary: bounded, so broadcast.
-    j = local.join(F.broadcast(carry), cond, "left")
-    res = j.withColumn(out, _combine(fn, F.col(out), F.col("_carry")))
-    return res.drop(_PID, "_cp", "_carry", *["_ck_" + k for k in keys])
+                .where("_has"))
+    j = _carry_join(local, carry, keys)
+    return _drop_carry(j.withColumn(out, _combine(fn, F.col(out), F.col("_carry"))), keys)
+
+
+def _bad_reverse(c: Column):
+    raise ValueError("reverse scans take the ascending order as column names")
+
+
+def lag_scan(s: DataFrame, keys: list[str], order: list[Column], value: str,
+             out: str) -> DataFrame:
+    """On ``sliced`` rows: ``out`` = ``value`` of the previous row of the key
+    in ``order`` (NULL for the key's first row)."""
+    w = Window.partitionBy(SLICE, *keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = (s.withColumn(out, F.lag(value).over(w))
+              .withColumn("_first", F.row_number().over(w) == 1)
+              .withColumn("_lastv", F.last(value).over(whole)))
+    # Same (slice, key) clustering as the window: no extra exchange.
+    last = local.groupBy(SLICE, *keys).agg(F.first("_lastv").alias("_last"))
+    prior = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (last.withColumn("_has", F.count(F.lit(1)).over(prior) > 0)
+                 .withColumn("_carry", F.last("_last").over(prior))
+                 .where("_has"))
+    j = _carry_join(local, carry, keys)
+    res = j.withColumn(out, F.when(F.col("_first") & F.col("_cp").isNotNull(), F.col("_carry"))
+                        .otherwise(F.col(out)))
+    return _drop_carry(res, keys, "_first", "_lastv")
+
+
+# --------------------------------------------------------- one-shot wrappers
+def running_agg(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str,
+                fn: str = "sum", inclusive: bool = True) -> DataFrame:
+    """``out`` = fn(``value``) over the rows of the same key that come before
+    this row in ``order`` (and this row too when ``inclusive``). ``order``
+    must make rows unique within a key. fn is sum, min or max."""
+    return scan(sliced(df, keys, order), keys, order, value, out, fn, inclusive).drop(SLICE)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
@@ -95,27 +142,4 @@ def previous_value(df: DataFrame, keys: list[str], order: list[Column], value: s
                    out: str) -> DataFrame:
     """``out`` = ``value`` of the row just before this one within the key
     (NULL for the first row of a key): a skew-safe ``lag``."""
-    s = _split(df, keys, order)
-    w = Window.partitionBy(_PID, *keys).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = (s.withColumn(out, F.lag(value).over(w))
-              .withColumn("_first", F.row_number().over(w) == 1)
-              .withColumn("_lastv", F.last(value).over(whole)))
-    # Same (slice, key) clustering as the window: no extra exchange.
-    last = local.groupBy(_PID, *keys).agg(F.first("_lastv").alias("_last"))
-    carry = (last.withColumn("_has", F.count(F.lit(1)).over(
-                 Window.partitionBy(*keys).orderBy(_PID)
-                 .rowsBetween(Window.unboundedPreceding, -1)) > 0)
-                 .withColumn("_carry", F.last("_last").over(
-                     Window.partitionBy(*keys).orderBy(_PID)
-                     .rowsBetween(Window.unboundedPreceding, -1)))
-                 .where("_has")
-                 .select(F.col(_PID).alias("_cp"), *[F.col(k).alias("_ck_" + k) for k in keys],
-                         "_carry"))
-    cond = local[_PID] == carry["_cp"]
-    for k in keys:
-        cond = cond & local[k].eqNullSafe(carry["_ck_" + k])
-    j = local.join(F.broadcast(carry), cond, "left")
-    res = j.withColumn(out, F.when(F.col("_first") & F.col("_cp").isNotNull(), F.col("_carry"))
-                        .otherwise(F.col(out)))
-    return res.drop(_PID, "_cp", "_carry", "_first", "_lastv", *["_ck_" + k for k in keys])
+    return lag_scan(sliced(df, keys, order), keys, order, value, out).drop(SLICE)

@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salonlake.operators.sequence import previous_value, running_agg, running_sum
+from salonlake.operators.sequence import lag_scan, scan, sliced
 from salonlake.params import REQUEST_LIMIT, REQUEST_TTL_SECONDS
 
 # Key used when a request carries no client key.
@@ -57,18 +57,20 @@ def limit_requests(requests: DataFrame, key: str = "client_key", ts: str = "ts",
                    ttl_seconds: int = REQUEST_TTL_SECONDS, max_rounds: int = 64) -> DataFrame:
     """Every request with ``accepted`` (bool) and ``count_after`` (counter
     value after it). Exact equal of replaying the requests in order."""
-    spark = requests.sparkSession
     ttl = int(ttl_seconds) * 1_000_000
     L = int(limit)
     asc = [F.col("_us"), F.col("_rid")]
-    r = _prepare(requests, key, ts, rid).withColumn("_one", F.lit(1))
-    r = running_sum(r, ["_k"], asc, "_one", "_idx").drop("_one")
-    r = previous_value(r, ["_k"], asc, "_us", "_prev_us")
+    # One slicing (one checkpoint) serves the three ordered scans.
+    r = sliced(_prepare(requests, key, ts, rid).withColumn("_one", F.lit(1)), ["_k"], asc)
+    r = scan(r, ["_k"], asc, "_one", "_idx").drop("_one")
+    r = lag_scan(r, ["_k"], asc, "_us", "_prev_us")
     r = r.withColumn("_gap_idx", F.when(F.col("_prev_us").isNull()
                                         | (F.col("_us") - F.col("_prev_us") >= ttl), F.col("_idx")))
-    # g(s): first gap strictly after s (scan in descending order, exclusive).
-    desc = [F.col("_us").desc(), F.col("_rid").desc()]
-    r = running_agg(r, ["_k"], desc, "_gap_idx", "_g", "min", inclusive=False)
+    # A scan reads its input twice (local window and carry table); writing
+    # the input of the dependent scan once keeps the chain from recomputing.
+    r = r.checkpoint(eager=True)
+    # g(s): first gap strictly after s (suffix minimum, exclusive).
+    r = scan(r, ["_k"], ["_us", "_rid"], "_gap_idx", "_g", "min", inclusive=False, reverse=True)
     r = r.checkpoint(eager=True)
 
     # T(s) = t[s+L-1] + ttl, by an equi-join on (key, idx): unique, no skew.
@@ -82,19 +84,25 @@ def limit_requests(requests: DataFrame, key: str = "client_key", ts: str = "ts",
                     F.col("_idx").alias("_pos"))
     u = probes.unionByName(rows).withColumn(
         "_rowpos", F.when(F.col("_kind") == 1, F.col("_pos")))
-    # a(s): first request at or after T(s): suffix minimum in descending order.
-    u = running_agg(u, ["_k"], [F.col("_t").desc(), F.col("_kind").desc(), F.col("_pos").desc()],
-                    "_rowpos", "_a", "min", inclusive=True)
+    # a(s): first request at or after T(s): suffix minimum over the merged order.
+    uo = ["_t", "_kind", "_pos"]
+    u = scan(sliced(u, ["_k"], uo), ["_k"], uo, "_rowpos", "_a", "min", inclusive=True,
+             reverse=True)
     a = u.where(F.col("_kind") == 0).select(F.col("_k").alias("_ak"), F.col("_pos").alias("_apos"),
                                             "_a")
+    # A request after a gap >= ttl always meets an expired counter: it is a
+    # start whatever came before. So the chain only has to be followed inside
+    # the segments between such gap starts: from s the next start is the gap
+    # start g(s) (already known) unless a(s) comes strictly before it.
+    g, a_ = F.col("_g"), F.col("_a")
+    inside = (a_.isNotNull() & (g.isNull() | ((g > F.col("_idx") + (L - 1)) & (a_ < g))))
     nxt = (r.join(a, (r["_k"] == a["_ak"]) & (r["_idx"] == a["_apos"]), "left")
-           .select("_k", "_idx",
-                   F.when(F.col("_g").isNotNull() & (F.col("_g") <= F.col("_idx") + (L - 1)),
-                          F.col("_g")).otherwise(F.col("_a")).alias("_next")))
+           .select("_k", "_idx", F.col("_gap_idx").isNotNull().alias("_gap_start"),
+                   F.when(inside, a_).alias("_next")))
 
     starts = _follow_chain(nxt.checkpoint(eager=True), max_rounds)
-    s = (r.join(starts.withColumn("_start", F.col("_idx")), ["_k", "_idx"], "left"))
-    s = running_agg(s, ["_k"], asc, "_start", "_S", "max", inclusive=True)
+    s = r.join(starts.withColumn("_start", F.col("_idx")), ["_k", "_idx"], "left")
+    s = scan(s, ["_k"], asc, "_start", "_S", "max", inclusive=True)
     pos = F.col("_idx") - F.col("_S")
     return s.select(F.col("_k").alias(key), F.col("_ts").alias(ts), F.col("_rid").alias(rid),
                     (pos < L).alias("accepted"),
@@ -102,9 +110,12 @@ def limit_requests(requests: DataFrame, key: str = "client_key", ts: str = "ts",
 
 
 def _follow_chain(nxt: DataFrame, max_rounds: int) -> DataFrame:
-    """Nodes (key, idx) reached from idx 1 along ``_next`` (pointer doubling)."""
+    """Nodes (key, idx) reached from the gap starts along ``_next`` (pointer
+    doubling: after round k every chain prefix of 2**(k+1) nodes is in)."""
     jump = nxt.select("_k", "_idx", F.col("_next").alias("_j")).where(F.col("_j").isNotNull())
-    reached = nxt.where(F.col("_idx") == 1).select("_k", "_idx")
+    reached = nxt.where(F.col("_gap_start")).select("_k", "_idx")
+    if jump.isEmpty():
+        return reached
     for _ in range(max_rounds):
         hop = (reached.join(jump, ["_k", "_idx"], "inner")
                .select("_k", F.col("_j").alias("_idx")))

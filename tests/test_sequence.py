@@ -38,8 +38,8 @@ def test_previous_value_matches_lag(spark):
 
 def test_hot_key_is_split_across_slices(spark):
     df = _hot(spark)
-    from salonlake.operators.sequence import _split
-    s = _split(df, ["k"], [F.col("id")])
+    from salonlake.operators.sequence import sliced
+    s = sliced(df, ["k"], [F.col("id")])
     slices = s.where(F.col("k") == 0).select("_slice").distinct().count()
     assert slices > 1
 
