@@ -1,7 +1,8 @@
 """Dashboard: nine statistics, four short lists and the period, one row.
 
 Each statistic is a one-row aggregate; they are combined as scalar
-subqueries on the first one (no cross join). The lists are bounded top-k
+subqueries on the month's ledger statistics (no cross join, each source
+scanned once). The lists are bounded top-k
 results nested with ``collect_list(struct)`` over at most k rows.
 """
 
@@ -19,22 +20,23 @@ from salonlake.params import RECENT_ROWS, TOP_ROWS, Period
 
 def dashboard_stats(t, as_of: dt.date) -> DataFrame:
     month = Period.month_of(as_of)
-    customers = filters.active(t["customers"]).agg(F.count(F.lit(1)).alias("total_customers"))
+    customers = filters.active(t["customers"]).agg(F.count(F.lit(1)).alias("n"))
     services = filters.active(t["services"]).agg(F.count(F.lit(1)).alias("n"))
     today = (filters.open_only(t["appointments"])
              .where(F.col("appointment_date") == F.lit(as_of)).agg(F.count(F.lit(1)).alias("n")))
     low = stock.low_stock_count(t)
+    # The month's ledger statistics are the one-row anchor (one ledger scan);
+    # every other statistic is a scalar subquery referenced exactly once.
     ms = rollups.month_stats(t, month)
-    return customers.select(
-        "total_customers",
+    return ms.select(
+        customers.scalar().alias("total_customers"),
         services.scalar().alias("total_services"),
         today.scalar().alias("today_appointments"),
         low.scalar().alias("low_stock_items"),
-        ms.select("income").scalar().alias("monthly_income"),
-        ms.select("expense").scalar().alias("monthly_expense"),
-        ms.select("profit").scalar().alias("monthly_profit"),
-        ms.select("total_transactions").scalar().alias("total_transactions"),
-        ms.select("active_days").scalar().alias("active_days"),
+        F.col("income").alias("monthly_income"),
+        F.col("expense").alias("monthly_expense"),
+        F.col("profit").alias("monthly_profit"),
+        "total_transactions", "active_days",
         F.lit(as_of).alias("today"),
         F.lit(month.start).alias("month_start"),
         F.lit(month.end).alias("month_end"))
