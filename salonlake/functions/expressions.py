@@ -146,3 +146,13 @@ def parse_date(c: Column) -> Column:
 def blank(c: Column) -> Column:
     """Absent, NULL or empty text."""
     return c.isNull() | (c.cast("string") == "")
+
+
+def truthy(c: Column, zero_is_null: bool = True) -> Column:
+    """Presence test of an optional numeric field as the source makes it
+    (``x ? read(x) : null``): absent or empty text is falsy, and, with
+    ``zero_is_null`` (the default, for parity), so is a numeric zero."""
+    present = ~blank(c)
+    if zero_is_null:
+        present = present & F.coalesce(parse_number(c) != 0, F.lit(True))
+    return present

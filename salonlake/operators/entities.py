@@ -6,7 +6,9 @@ validate -> numeric reads -> partial update (``writes.apply_updates``).
 
 Value reads follow the source's request handling: an optional text field
 that is empty becomes NULL; a numeric field given as text is read when it
-is non-empty (so '0' counts); the stock threshold defaults to 0.
+is present, and a numeric zero counts as absent where the source tests the
+field for truthiness (SURVEY Q3, `functions.expressions.truthy`); the stock
+threshold defaults to 0.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salonlake.functions import validation as V
-from salonlake.functions.expressions import blank, escape_markup, parse_money, parse_number
+from salonlake.functions.expressions import (blank, escape_markup, parse_money, parse_number,
+                                             truthy)
 from salonlake.operators.sequence import previous_value
 from salonlake.operators.writes import (STOCK_CREATE_REASON, STOCK_UPDATE_REASON, apply_updates,
                                         assign_ids, booking_accept, max_id, parse_int_prefix)
@@ -77,7 +80,9 @@ def insert_transactions(ledger: DataFrame, creates: DataFrame,
                     parse_money(F.col("amount")).alias("amount"),
                     _clean("description", True).alias("description"),
                     F.to_date(F.col("date")).alias("date"),
-                    parse_number(_opt("appointment_id")).cast("bigint").alias("appointment_id"))
+                    F.when(truthy(F.col("appointment_id")),
+                           parse_number(F.col("appointment_id")).cast("bigint"))
+                     .alias("appointment_id"))
     return assign_ids(rows, max_id(ledger)).select(
         "id", "type", "category", "amount", "description", "date", "appointment_id",
         F.col("actor_id").alias("created_by"), "request_seq")
@@ -91,10 +96,10 @@ def insert_inventory(inventory: DataFrame, creates: DataFrame,
                     escape_markup(F.col("name")).alias("name"),
                     _clean("description", True).alias("description"),
                     parse_int_prefix(F.col("quantity")).alias("quantity"),
-                    F.when(~blank(F.col("unit_price")), parse_money(F.col("unit_price")))
+                    F.when(truthy(F.col("unit_price")), parse_money(F.col("unit_price")))
                      .alias("unit_price"),
                     _clean("category", True).alias("category"),
-                    F.coalesce(F.when(~blank(F.col("min_stock_level")),
+                    F.coalesce(F.when(truthy(F.col("min_stock_level")),
                                       parse_int_prefix(F.col("min_stock_level"))),
                                F.lit(0)).alias("min_stock_level"))
     items = assign_ids(rows, max_id(inventory)).select(
@@ -123,20 +128,22 @@ def insert_appointments(appointments: DataFrame, requests: DataFrame,
                     F.col("_status").alias("status"),
                     _opt("notes").alias("notes") if "notes" in requests.columns
                     else F.lit(None).cast("string").alias("notes"),
-                    F.when(~blank(F.col("price")), parse_money(F.col("price"))).alias("price"))
+                    F.when(truthy(F.col("price")), parse_money(F.col("price"))).alias("price"))
     return assign_ids(rows, max_id(appointments)).select(
         "id", "customer_id", "service_id", "employee_id", "appointment_date", "status", "notes",
         "price", F.col("actor_id").alias("created_by"), "request_seq")
 
 
 # ------------------------------------------------------------------ updates
-def _read_numbers(df: DataFrame, money: tuple[str, ...], ints: tuple[str, ...]) -> DataFrame:
-    """Non-empty numeric text is read; empty/absent stays NULL (= keep)."""
+def _read_numbers(df: DataFrame, money: tuple[str, ...], ints: tuple[str, ...],
+                  presence=truthy) -> DataFrame:
+    """Numeric text is read when present (see ``truthy``); otherwise NULL,
+    which keeps the stored value."""
     out = df
     for c in money:
-        out = out.withColumn(c, F.when(~blank(F.col(c)), parse_money(F.col(c))))
+        out = out.withColumn(c, F.when(presence(F.col(c)), parse_money(F.col(c))))
     for c in ints:
-        out = out.withColumn(c, F.when(~blank(F.col(c)), parse_int_prefix(F.col(c))))
+        out = out.withColumn(c, F.when(presence(F.col(c)), parse_int_prefix(F.col(c))))
     return out
 
 
@@ -166,7 +173,8 @@ def update_appointments(appointments: DataFrame, changes: DataFrame,
     v = _read_numbers(v, ("price",), ()).withColumn(
         "appointment_date", F.when(~blank(F.col("appointment_date")),
                                    F.to_date(F.col("appointment_date")))) \
-        .withColumn("employee_id", parse_number(_opt("employee_id")).cast("bigint"))
+        .withColumn("employee_id", F.when(truthy(F.col("employee_id")),
+                                          parse_number(F.col("employee_id")).cast("bigint")))
     cols = [c for c in ("status", "appointment_date", "employee_id", "notes", "price")
             if c in appointments.columns]
     return apply_updates(appointments, v, cols)
@@ -179,7 +187,10 @@ def update_inventory(inventory: DataFrame, changes: DataFrame,
     before that request."""
     v = (_valid(changes, rules).where(_numbers_ok("quantity", "unit_price", "min_stock_level"))
          .join(inventory.select("id"), "id", "left_semi"))
-    v = _read_numbers(v, ("unit_price",), ("quantity", "min_stock_level"))
+    # The quantity counts whenever it is sent (0 included); the price and the
+    # threshold only when truthy.
+    v = _read_numbers(v, ("unit_price",), ("min_stock_level",))
+    v = _read_numbers(v, (), ("quantity",), presence=lambda c: ~blank(c))
     cols = [c for c in ("name", "description", "quantity", "unit_price", "category",
                         "min_stock_level") if c in inventory.columns]
     snap = apply_updates(inventory, v, cols)

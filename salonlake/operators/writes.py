@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salonlake.functions.expressions import (OPEN_STATUSES, blank, escape_markup, parse_date,
-                                             parse_money, parse_number)
+                                             parse_money, parse_number, truthy)
 from salonlake.functions.validation import Rule, validate
 from salonlake.operators.sequence import previous_value, running_sum
 
@@ -167,7 +167,8 @@ def booking_accept(appointments: DataFrame, requests: DataFrame, rules: dict[str
     earliest open request per key: a partial aggregate, skew-safe."""
     v = validate(requests, rules)
     r = v.select("request_seq", "actor_id", "is_valid",
-                 parse_number(F.col("employee_id")).cast("bigint").alias("employee_id"),
+                 F.when(truthy(F.col("employee_id")),
+                        parse_number(F.col("employee_id")).cast("bigint")).alias("employee_id"),
                  parse_date(F.col("appointment_date")).alias("appointment_date"),
                  F.coalesce(F.when(~blank(F.col("status")), F.col("status")),
                             F.lit("scheduled")).alias("status"))
@@ -210,7 +211,7 @@ def post_completed(appointments: DataFrame, ledger: DataFrame, updates: DataFram
     non-empty price, and no ledger row for that appointment yet (neither
     before the batch nor from an earlier update of the batch)."""
     v = validate(updates, rules).where("is_valid")
-    q = (v.where((F.col("status") == "completed") & ~blank(F.col("price")))
+    q = (v.where((F.col("status") == "completed") & truthy(F.col("price")))
          .join(appointments.select("id"), "id", "left_semi"))
     first = q.groupBy("id").agg(F.min("request_seq").alias("request_seq"))
     q = q.join(first, ["id", "request_seq"], "left_semi")

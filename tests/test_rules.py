@@ -134,7 +134,7 @@ def test_booking_in_batch_rules(spark):
 
 def test_auto_posting(spark):
     d = dt.date(2024, 1, 5)
-    appts = _appts(spark, [(i, 1, 1, 1, d, "scheduled", None) for i in (1, 2, 3, 4, 5)])
+    appts = _appts(spark, [(i, 1, 1, 1, d, "scheduled", None) for i in (1, 2, 3, 4, 5, 6)])
     ledger = spark.createDataFrame([(100, 4)], "id long, appointment_id long")
     upd = spark.createDataFrame([
         (1, 7, 1, "completed", "12.5"),     # posts
@@ -143,7 +143,8 @@ def test_auto_posting(spark):
         (4, 7, 4, "completed", "3"),        # already posted
         (5, 7, 5, "completed", "1"),        # two updates: first posts
         (6, 8, 5, "completed", "2"),
-        (7, 7, 99, "completed", "2")],      # unknown appointment
+        (7, 7, 99, "completed", "2"),       # unknown appointment
+        (8, 7, 6, "completed", "0")],       # zero price counts as absent
         "request_seq long, actor_id long, id long, status string, price string")
     rows = writes.post_completed(appts, ledger, upd, V.APPOINTMENT_UPDATE, d).collect()
     got = sorted((r.appointment_id, float(r.amount), r.id) for r in rows)
