@@ -36,15 +36,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
-
-    A local folder is set only when the session names none (tests, local runs).
-    """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder named by the cluster
+    (``spark.checkpoint.dir``). A local folder is set only when the session
+    names none (tests, local runs)."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext  # absent on Spark Connect
+        d = sc.getCheckpointDir() or d
+    except Exception:  # noqa: BLE001 - Connect sessions expose no SparkContext
+        sc = None
     if not d:
         d = tempfile.mkdtemp(prefix="salonlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
