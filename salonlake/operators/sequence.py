@@ -59,9 +59,10 @@ def _combine(fn: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def _carry_join(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+def _carry_join(local: DataFrame, carry: DataFrame, keys: list[str],
+                carries: list[str] = ("_carry",)) -> DataFrame:
     c = carry.select(F.col(SLICE).alias("_cp"), *[F.col(k).alias("_ck_" + k) for k in keys],
-                     "_carry")
+                     *carries)
     cond = local[SLICE] == c["_cp"]
     for k in keys:
         cond = cond & local[k].eqNullSafe(c["_ck_" + k])
@@ -73,28 +74,38 @@ def _drop_carry(df: DataFrame, keys: list[str], *extra: str) -> DataFrame:
     return df.drop("_cp", "_carry", *extra, *["_ck_" + k for k in keys])
 
 
-def scan(s: DataFrame, keys: list[str], order: list[str | Column], value: str, out: str,
+def scan(s: DataFrame, keys: list[str], order: list[str | Column], value, out,
          fn: str = "sum", inclusive: bool = True, reverse: bool = False) -> DataFrame:
     """On ``sliced`` rows: ``out`` = fn(``value``) over the rows of the same key
     before this one in ``order`` (after it when ``reverse``), plus this row
     when ``inclusive``. NULL values are skipped; nothing to aggregate gives
     NULL. ``order`` is the ascending slicing order, given as column names
-    when ``reverse`` is used."""
+    when ``reverse`` is used. ``value``/``out`` may be lists (same fn, one
+    pass)."""
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     agg = _AGG[fn]
     if reverse:
         order = [F.col(c).desc() if isinstance(c, str) else _bad_reverse(c) for c in order]
     w = Window.partitionBy(SLICE, *keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    local = s.withColumn(out, agg(value).over(w))
-    tot = s.groupBy(SLICE, *keys).agg(agg(value).alias("_tot"), F.count(F.lit(1)).alias("_n"))
+    local = s
+    for v, o in zip(values, outs):
+        local = local.withColumn(o, agg(v).over(w))
+    tot = s.groupBy(SLICE, *keys).agg(*[agg(v).alias(f"_tot{i}") for i, v in enumerate(values)],
+                                      F.count(F.lit(1)).alias("_n"))
     slice_order = F.col(SLICE).desc() if reverse else F.col(SLICE)
     prior = Window.partitionBy(*keys).orderBy(slice_order).rowsBetween(
         Window.unboundedPreceding, -1)
-    carry = (tot.withColumn("_carry", agg("_tot").over(prior))
-                .withColumn("_has", F.sum("_n").over(prior) > 0)
-                .where("_has"))
-    j = _carry_join(local, carry, keys)
-    return _drop_carry(j.withColumn(out, _combine(fn, F.col(out), F.col("_carry"))), keys)
+    carry = tot.withColumn("_has", F.sum("_n").over(prior) > 0)
+    names = [f"_carry{i}" for i in range(len(values))]
+    for i, n in enumerate(names):
+        carry = carry.withColumn(n, agg(f"_tot{i}").over(prior))
+    carry = carry.where("_has")
+    j = _carry_join(local, carry, keys, names)
+    for o, n in zip(outs, names):
+        j = j.withColumn(o, _combine(fn, F.col(o), F.col(n)))
+    return _drop_carry(j, keys, *names)
 
 
 def _bad_reverse(c: Column):
