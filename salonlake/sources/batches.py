@@ -230,3 +230,27 @@ def inventory_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 == 0, F.lit("5")).alias("min_stock_level"),
         F.lit(None).cast("string").alias("category"),
         F.lit(None).cast("string").alias("description"))
+
+
+def appointment_mixed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed booking requests: new bookings, moves of existing appointments
+    to another employee/day, status changes and cancellations."""
+    e = raw(spark, sf_dir, "events")
+    k = F.col("event_id")
+    et = F.col("event_type")
+    day = F.date_format(F.date_sub(F.col("ts").cast("date"), LEDGER_DAY_SHIFT), "yyyy-MM-dd")
+    emp = _s(F.col("user_id") % 100)
+    op = (F.when(et == "view", F.lit("insert")).when(et == "error", F.lit("cancel"))
+           .otherwise(F.lit("update")))
+    return e.select(
+        k.alias("request_seq"), (k % 20).alias("actor_id"), F.col("ts").alias("now"),
+        op.alias("op"),
+        F.when(et != "view", k).alias("id"),
+        F.when(et == "view", _s(F.col("user_id"))).alias("customer_id"),
+        F.when(et == "view", _s(k % 200)).alias("service_id"),
+        F.when(et.isin("view", "click"), emp).alias("employee_id"),
+        F.when(et.isin("view", "click"), day).alias("appointment_date"),
+        F.when(et == "purchase", F.lit("completed")).when(et == "signup", F.lit("confirmed"))
+         .alias("status"),
+        F.lit(None).cast("string").alias("notes"),
+        F.lit(None).cast("string").alias("price"))
