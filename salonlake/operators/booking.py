@@ -180,3 +180,43 @@ def decide_batch(appointments: DataFrame, batch: DataFrame, max_rounds: int = 10
             return r.join(d, "request_seq").select("request_seq", "op", "id", "decision")
         acc = new
     raise RuntimeError("booking decisions did not settle")
+
+
+def apply_appointment_batch(appointments: DataFrame, batch: DataFrame,
+                            max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(decisions, new snapshot): accepted updates and cancellations are
+    applied with COALESCE semantics in request order, accepted inserts get
+    sequential ids after the largest existing id."""
+    from salonlake.functions.expressions import parse_money, truthy
+    from salonlake.operators.writes import apply_updates, assign_ids, max_id
+
+    d = decide_batch(appointments, batch, max_rounds).checkpoint(eager=True)
+    ok = batch.join(d.where(F.col("decision") == "accepted").select("request_seq"),
+                    "request_seq", "left_semi")
+    op = F.lower(F.col("op"))
+    ch = ok.where(op != "insert").select(
+        "request_seq", "actor_id", "now", F.col("id").cast("bigint").alias("id"),
+        F.when(op == "cancel", F.lit("cancelled"))
+         .when(~blank(F.col("status")), F.col("status")).alias("status"),
+        F.when(~blank(F.col("appointment_date")), parse_date(F.col("appointment_date")))
+         .alias("appointment_date"),
+        F.when(~blank(F.col("employee_id")), parse_number(F.col("employee_id")).cast("bigint"))
+         .alias("employee_id"),
+        F.when(truthy(F.col("price")), parse_money(F.col("price"))).alias("price"))
+    cols = [c for c in ("status", "appointment_date", "employee_id", "price")
+            if c in appointments.columns]
+    updated = apply_updates(appointments, ch, cols)
+    new = ok.where(op == "insert").select(
+        "request_seq",
+        parse_number(F.col("customer_id")).cast("bigint").alias("customer_id"),
+        parse_number(F.col("service_id")).cast("bigint").alias("service_id"),
+        F.when(truthy(F.col("employee_id")), parse_number(F.col("employee_id")).cast("bigint"))
+         .alias("employee_id"),
+        parse_date(F.col("appointment_date")).alias("appointment_date"),
+        F.coalesce(F.when(~blank(F.col("status")), F.col("status")), F.lit("scheduled"))
+         .alias("status"),
+        F.when(truthy(F.col("price")), parse_money(F.col("price"))).alias("price"),
+        F.col("actor_id").alias("updated_by"), F.col("now").alias("updated_at"))
+    new = assign_ids(new, max_id(appointments)).withColumn("n_updates", F.lit(0)) \
+        .drop("request_seq")
+    return d, updated.unionByName(new, allowMissingColumns=True)

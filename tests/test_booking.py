@@ -3,13 +3,14 @@
 import datetime as dt
 import random
 
-from salonlake.operators.booking import decide_batch
+from pyspark.sql import functions as F
+
+from salonlake.operators.booking import apply_appointment_batch
 
 OPEN = ("scheduled", "confirmed")
 
 
-def _replay(snapshot, batch):
-    table = {a["id"]: dict(a) for a in snapshot}
+def _replay(snapshot, batch, table):
     out = {}
     for r in sorted(batch, key=lambda r: r["request_seq"]):
         op = r["op"]
@@ -92,7 +93,17 @@ def test_mixed_batch_matches_replay(spark):
           r["status"], "1", "1") for r in batch],
         "request_seq long, op string, id long, employee_id string, appointment_date string, "
         "status string, customer_id string, service_id string")
-    got = {r.request_seq: r.decision for r in decide_batch(snap_df, batch_df).collect()}
-    want = _replay(snapshot, batch)
+    batch_df = batch_df.withColumn("actor_id", F.lit(1).cast("long")) \
+        .withColumn("now", F.lit(None).cast("timestamp")).withColumn("price", F.lit(None).cast("string"))
+    dec, snap = apply_appointment_batch(snap_df, batch_df)
+    got = {r.request_seq: r.decision for r in dec.collect()}
+    table = {a["id"]: dict(a) for a in snapshot}
+    want = _replay(snapshot, batch, table)
     bad = {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v}
     assert not bad, list(bad.items())[:10]
+    final = {r.id: (r.employee_id, r.appointment_date, r.status)
+             for r in snap.where("id < 40").collect()}
+    assert final == {i: (a["employee_id"], a["date"], a["status"])
+                     for i, a in table.items() if i >= 0}
+    assert snap.where("id >= 40").count() == sum(1 for v in got.values() if v == "accepted") \
+        - sum(1 for r in batch if r["op"] != "insert" and got[r["request_seq"]] == "accepted")
