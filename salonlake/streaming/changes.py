@@ -2,38 +2,63 @@
 and applied to versioned snapshots, one snapshot version per micro-batch.
 
 Replay safety without a transactional table format: micro-batch ``b`` writes
-version ``b + 1`` of the snapshot from version ``b`` (or the newest version
-below it). If the query restarts and replays batch ``b`` after that version
+version ``b + 1`` of the snapshot from the newest committed version below
+it. If the query restarts and replays batch ``b`` after that version
 committed, the write is skipped; if it failed half-way, the version folder
 has no ``_SUCCESS`` marker, is invisible to readers, and is rewritten.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salonlake.functions.validation import CUSTOMER_UPDATE
+from salonlake.operators.booking import apply_appointment_batch
 from salonlake.operators.writes import update_customers
 from salonlake.sources.changes import CORRUPT
 from salonlake.sources.tables import committed_versions, load, write_snapshot
 
 
-def apply_customer_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+def _customers(current: DataFrame, batch: DataFrame) -> DataFrame:
+    ch = batch.where(F.col("op") == "update")
+    return update_customers(current, ch, CUSTOMER_UPDATE).drop("n_updates")
+
+
+def _appointments(current: DataFrame, batch: DataFrame) -> DataFrame:
+    return apply_appointment_batch(current, batch)[1].drop("n_updates")
+
+
+APPLY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "customers": _customers,
+    "appointments": _appointments,
+}
+
+
+def apply_batch(batch: DataFrame, batch_id: int, root: str, entity: str) -> None:
     spark = batch.sparkSession
     target = int(batch_id) + 1
-    if target in committed_versions(spark, root, "customers"):
+    versions = committed_versions(spark, root, entity)
+    if target in versions:
         return  # replayed batch: its snapshot already committed
-    base = max(v for v in committed_versions(spark, root, "customers") if v < target)
-    current = load(spark, root, "customers", base)
-    ch = batch.where(F.col(CORRUPT).isNull() & (F.col("op") == "update"))
-    new = update_customers(current, ch, CUSTOMER_UPDATE).drop("n_updates")
-    write_snapshot(new, root, "customers", target)
+    base = max(v for v in versions if v < target)
+    current = load(spark, root, entity, base)
+    ok = batch.where(F.col(CORRUPT).isNull())
+    write_snapshot(APPLY[entity](current, ok), root, entity, target)
+
+
+def apply_customer_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+    apply_batch(batch, batch_id, root, "customers")
 
 
-def run_changes(stream: DataFrame, root: str, checkpoint: str, available_now: bool = True):
-    """Start the change-application query; returns the StreamingQuery."""
-    w = (stream.writeStream.foreachBatch(lambda df, bid: apply_customer_batch(df, bid, root))
+def run_changes(stream: DataFrame, root: str, checkpoint: str, available_now: bool = True,
+                entity: str = "customers"):
+    """Start the change-application query for ``entity``; returns the
+    StreamingQuery."""
+    w = (stream.writeStream
+         .foreachBatch(lambda df, bid: apply_batch(df, bid, root, entity))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -87,3 +87,36 @@ def test_streaming_change_application_is_replay_safe(spark):
     q2 = run_changes(stream_changes(spark, src, "customers", 1), root, ck)
     q2.awaitTermination(120)
     assert tables.committed_versions(spark, root, "customers") == vs
+
+
+def test_streaming_appointment_batches_equal_one_batch(spark):
+    from salonlake.operators.booking import apply_appointment_batch
+    root = tempfile.mkdtemp(prefix="salonlake-appt-")
+    src = tempfile.mkdtemp(prefix="salonlake-appt-src-")
+    snap = spark.createDataFrame(
+        [(1, 1, 1, 7, dt.date(2024, 1, 1), "scheduled", None),
+         (2, 1, 1, 8, dt.date(2024, 1, 1), "confirmed", None)],
+        "id long, customer_id long, service_id long, employee_id long, "
+        "appointment_date date, status string, price decimal(18,2)")
+    tables.write_snapshot(snap, root, "appointments", 0)
+    reqs = [
+        [{"request_seq": 1, "actor_id": 3, "op": "insert", "customer_id": "5", "service_id": "2",
+          "employee_id": "7", "appointment_date": "2024-01-01"},            # conflict (id 1)
+         {"request_seq": 2, "actor_id": 3, "op": "cancel", "id": 1}],
+        [{"request_seq": 3, "actor_id": 3, "op": "insert", "customer_id": "5", "service_id": "2",
+          "employee_id": "7", "appointment_date": "2024-01-01"},            # now free
+         {"request_seq": 4, "actor_id": 3, "op": "update", "id": 2, "employee_id": "7"}]]  # conflict
+    for i, batch in enumerate(reqs):
+        path = os.path.join(src, f"{i}.json")
+        with open(path, "w") as f:
+            f.write("\n".join(json.dumps(r) for r in batch) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))  # arrival order
+    q = run_changes(stream_changes(spark, src, "appointments", 1), root,
+                    tempfile.mkdtemp(prefix="salonlake-appt-ck-"), entity="appointments")
+    q.awaitTermination(300)
+    assert tables.committed_versions(spark, root, "appointments") == [0, 1, 2]
+    got = {r.id: (r.employee_id, r.status) for r in tables.load(spark, root, "appointments").collect()}
+    assert got == {1: (7, "cancelled"), 2: (8, "confirmed"), 3: (7, "scheduled")}
+    whole = read_changes(spark, src, "appointments")
+    _, one = apply_appointment_batch(tables.load(spark, root, "appointments", 0), whole)
+    assert {r.id: (r.employee_id, r.status) for r in one.collect()} == got
