@@ -182,13 +182,15 @@ def decide_batch(appointments: DataFrame, batch: DataFrame, max_rounds: int = 10
     raise RuntimeError("booking decisions did not settle")
 
 
-def apply_appointment_batch(appointments: DataFrame, batch: DataFrame,
-                            max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(decisions, new snapshot): accepted updates and cancellations are
-    applied with COALESCE semantics in request order, accepted inserts get
-    sequential ids after the largest existing id."""
+def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: DataFrame = None,
+                            as_of=None, max_rounds: int = 1000):
+    """(decisions, new snapshot[, ledger postings]): accepted updates and
+    cancellations are applied with COALESCE semantics in request order,
+    accepted inserts get sequential ids after the largest existing id. With
+    a ``ledger`` and ``as_of``, accepted updates that complete an
+    appointment with a price also yield the automatic income rows."""
     from salonlake.functions.expressions import parse_money, truthy
-    from salonlake.operators.writes import apply_updates, assign_ids, max_id
+    from salonlake.operators.writes import apply_updates, assign_ids, max_id, post_completed
 
     d = decide_batch(appointments, batch, max_rounds).checkpoint(eager=True)
     ok = batch.join(d.where(F.col("decision") == "accepted").select("request_seq"),
@@ -219,4 +221,9 @@ def apply_appointment_batch(appointments: DataFrame, batch: DataFrame,
         F.col("actor_id").alias("updated_by"), F.col("now").alias("updated_at"))
     new = assign_ids(new, max_id(appointments)).withColumn("n_updates", F.lit(0)) \
         .drop("request_seq")
-    return d, updated.unionByName(new, allowMissingColumns=True)
+    snapshot = updated.unionByName(new, allowMissingColumns=True)
+    if ledger is None:
+        return d, snapshot
+    posts = post_completed(appointments, ledger, ok.where(op == "update"), APPOINTMENT_UPDATE,
+                           as_of)
+    return d, snapshot, posts

@@ -167,17 +167,14 @@ def update_ledger(ledger: DataFrame, changes: DataFrame, rules=V.LEDGER_UPDATE)
 
 def update_appointments(appointments: DataFrame, changes: DataFrame,
                         rules=V.APPOINTMENT_UPDATE) -> DataFrame:
-    """Partial update of appointments. The double-booking check of updates
-    that move a booking is not applied here (see README: open item)."""
-    v = _valid(changes, rules)
-    v = _read_numbers(v, ("price",), ()).withColumn(
-        "appointment_date", F.when(~blank(F.col("appointment_date")),
-                                   F.to_date(F.col("appointment_date")))) \
-        .withColumn("employee_id", F.when(truthy(F.col("employee_id")),
-                                          parse_number(F.col("employee_id")).cast("bigint")))
-    cols = [c for c in ("status", "appointment_date", "employee_id", "notes", "price")
-            if c in appointments.columns]
-    return apply_updates(appointments, v, cols)
+    """Partial update of appointments with the double-booking check of
+    moves, decided exactly in request order (``booking``)."""
+    from salonlake.operators.booking import apply_appointment_batch
+    batch = changes.withColumn("op", F.lit("update"))
+    for c in ("employee_id", "appointment_date", "status", "price", "customer_id", "service_id"):
+        if c not in batch.columns:
+            batch = batch.withColumn(c, F.lit(None).cast("string"))
+    return apply_appointment_batch(appointments, batch)[1]
 
 
 def update_inventory(inventory: DataFrame, changes: DataFrame,

@@ -88,3 +88,58 @@ def test_uploads_storage_fallback(spark):
     users = spark.createDataFrame([(3, None)], "id long, avatar_url string")
     linked = uploads.attach_uploads(users, ok, "avatar", "user_id", "avatar_url").first()
     assert linked.avatar_url == "/files/avatar-3-2000.png"
+
+
+def test_cancel_outcome_and_stock_snapshot(spark):
+    d = dt.date(2024, 1, 5)
+    appts = spark.createDataFrame([(1, "scheduled"), (2, "confirmed")], "id long, status string")
+    now = dt.datetime(2024, 1, 1)
+    cancels = spark.createDataFrame([(1, 4, now, 1), (2, 5, now, 1), (3, 4, now, 9)],
+                                    "request_seq long, actor_id long, now timestamp, id long")
+    got = {r.id: (r.status, r.cancelled_by) for r in
+           writes.cancel_appointments(appts, cancels).collect()}
+    assert got == {1: ("cancelled", 5), 2: ("confirmed", None)}
+    out = {r.request_seq: r.outcome for r in writes.outcome(cancels, appts).collect()}
+    assert out == {1: "ok", 2: "ok", 3: "not_found"}
+    inv = spark.createDataFrame([(1, 5), (2, 7)], "id long, quantity int")
+    log = spark.createDataFrame([(1, 1, 9), (2, 1, 3)],
+                                "request_seq long, inventory_id long, new_quantity int")
+    snap = {r.id: r.quantity for r in writes.stock_after_sets(inv, log).collect()}
+    assert snap == {1: 3, 2: 7}
+
+
+def test_keyset_page_continues_offset_page(spark):
+    from salonlake.operators import filters
+    t = load_tables(spark, SF_SMALL)
+    first = filters.customer_page(t["customers"], 20, 0).collect()
+    second = filters.customer_page(t["customers"], 20, 20).collect()
+    last = first[-1]
+    after = filters.customer_page_after(t["customers"], last.created_at, last.id, 20).collect()
+    assert [r.id for r in after] == [r.id for r in second]
+
+
+def test_inventory_cards_nest_bounded_lists(spark):
+    from salonlake.operators import stock
+    t = load_tables(spark, SF_SMALL)
+    cards = stock.inventory_cards(t, 10)
+    assert cards.count() == t["inventory"].count()
+    assert cards.select(F.max(F.size("changes"))).first()[0] <= 10
+
+
+def test_mixed_batch_postings_only_for_accepted_updates(spark):
+    from salonlake.operators.booking import apply_appointment_batch
+    d = dt.date(2024, 1, 5)
+    appts = spark.createDataFrame(
+        [(1, 1, 1, 7, d, "scheduled", None), (2, 1, 1, 8, d, "scheduled", None)],
+        "id long, customer_id long, service_id long, employee_id long, appointment_date date, "
+        "status string, price decimal(18,2)")
+    ledger = spark.createDataFrame([(10, None)], "id long, appointment_id long")
+    batch = spark.createDataFrame([
+        (1, 3, None, "update", 2, None, None, "7", None, "completed", "50"),   # conflict: no post
+        (2, 3, None, "update", 1, None, None, None, None, "completed", "40")],  # posts
+        "request_seq long, actor_id long, now timestamp, op string, id long, customer_id string, "
+        "service_id string, employee_id string, appointment_date string, status string, "
+        "price string")
+    dec, snap, posts = apply_appointment_batch(appts, batch, ledger, d)
+    assert {r.request_seq: r.decision for r in dec.collect()} == {1: "conflict", 2: "accepted"}
+    assert [(r.appointment_id, float(r.amount), r.id) for r in posts.collect()] == [(1, 40.0, 11)]
