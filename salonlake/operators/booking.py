@@ -98,7 +98,7 @@ def _states(s: DataFrame) -> DataFrame:
     return s.drop(*[f"_v_{f}" for f, _, _ in fields], *[f"_l_{f}" for f, _, _ in fields])
 
 
-def _decide(s: DataFrame, appointments: DataFrame) -> DataFrame:
+def _decide(s: DataFrame, open_snap: DataFrame) -> DataFrame:
     """One bulk round: decisions from the states implied by ``acc``."""
     st = _states(s)
     ins = F.col("op") == "insert"
@@ -130,9 +130,8 @@ def _decide(s: DataFrame, appointments: DataFrame) -> DataFrame:
     enter = a.where(after_open & F.col("emp_a").isNotNull()).select(
         F.col("emp_a").alias("e"), F.col("date_a").alias("d"), "request_seq",
         F.lit(1).alias("w"), F.col("akey").alias("tie"))
-    snap = appointments.where(_is_open(F.col("status")) & F.col("employee_id").isNotNull()).select(
-        F.col("employee_id").alias("e"), F.col("appointment_date").alias("d"),
-        F.lit(_NEVER).alias("request_seq"), F.lit(1).alias("w"), F.col("id").alias("tie"))
+    snap = open_snap.select("e", "d", F.lit(_NEVER).alias("request_seq"), F.lit(1).alias("w"),
+                            "tie")
     events = leave.unionByName(enter).unionByName(snap).join(targets, ["e", "d"], "left_semi")
     # A request meets the events of strictly earlier requests: at equal
     # request_seq its query (kind 0) sorts before its own events (kind 1).
@@ -169,16 +168,27 @@ def decide_batch(appointments: DataFrame, batch: DataFrame, max_rounds: int = 10
     all as text like a JSON body."""
     r = _prepare(appointments, batch)
     r = sliced(r, ["akey"], [F.col("request_seq")])
+    # The snapshot's open, staffed appointments are read every round: keep
+    # that narrow projection (spills to disk if large; rebuilt from lineage
+    # if an executor is lost).
+    open_snap = (appointments
+                 .where(_is_open(F.col("status")) & F.col("employee_id").isNotNull())
+                 .select(F.col("employee_id").alias("e"), F.col("appointment_date").alias("d"),
+                         F.col("id").alias("tie"))
+                 .persist())
     acc = r.select("request_seq", (F.col("is_valid") & F.col("found")).alias("acc"))
-    for _ in range(max_rounds):
-        s = r.join(acc, "request_seq", "left")
-        d = _decide(s, appointments).checkpoint(eager=True)
-        new = d.select("request_seq", (F.col("decision") == "accepted").alias("acc"))
-        changed = new.join(acc.withColumnRenamed("acc", "_old"), "request_seq") \
-                     .where(F.col("acc") != F.col("_old"))
-        if changed.isEmpty():
-            return r.join(d, "request_seq").select("request_seq", "op", "id", "decision")
-        acc = new
+    try:
+        for _ in range(max_rounds):
+            s = r.join(acc, "request_seq", "left")
+            d = _decide(s, open_snap).checkpoint(eager=True)
+            new = d.select("request_seq", (F.col("decision") == "accepted").alias("acc"))
+            changed = new.join(acc.withColumnRenamed("acc", "_old"), "request_seq") \
+                         .where(F.col("acc") != F.col("_old"))
+            if changed.isEmpty():
+                return r.join(d, "request_seq").select("request_seq", "op", "id", "decision")
+            acc = new
+    finally:
+        open_snap.unpersist()
     raise RuntimeError("booking decisions did not settle")
 
 
