@@ -117,6 +117,22 @@ def pseudonym(c: Column, salt: str) -> Column:
     return F.sha2(F.concat(c, F.lit(salt)), 256)
 
 
+# --------------------------------------------------------------------- time
+def epoch_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch, independent of the session time zone:
+    a TIMESTAMP_NTZ is read as wall-clock time (no DST jumps), a TIMESTAMP
+    as an instant."""
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def epoch_seconds(df: DataFrame, ts: str) -> Column:
+    """Whole seconds since the epoch (floored), as session tokens count them."""
+    return F.floor(epoch_micros(df, ts) / 1_000_000)
+
+
 # ------------------------------------------------------------------- numbers
 _NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 

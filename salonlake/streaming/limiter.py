@@ -36,8 +36,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from salonlake.functions.expressions import epoch_micros
 from salonlake.operators.sequence import lag_scan, scan, sliced
 from salonlake.params import REQUEST_LIMIT, REQUEST_TTL_SECONDS
 
@@ -45,16 +45,6 @@ from salonlake.params import REQUEST_LIMIT, REQUEST_TTL_SECONDS
 UNKNOWN_CLIENT = "unknown"
 
 
-def epoch_micros(df: DataFrame, ts: str):
-    """Microseconds since the epoch, independent of the session time zone:
-    a TIMESTAMP_NTZ is read as wall-clock time (no DST jumps), a TIMESTAMP
-    as an instant."""
-    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
 def _prepare(requests: DataFrame, key: str, ts: str, rid: str) -> DataFrame:
     return requests.select(
         F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_CLIENT)).alias("_k"),
