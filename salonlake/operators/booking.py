@@ -44,9 +44,18 @@ def _is_open(status: Column) -> Column:
     return status.isin(*OPEN_STATUSES)
 
 
+def _normalise_op(batch: DataFrame) -> DataFrame:
+    """op in insert / update / cancel (DELETE of an appointment cancels it)."""
+    op = F.lower(F.col("op"))
+    return batch.withColumn("op", F.when(op.isin("delete", "cancel"), F.lit("cancel"))
+                            .when(op.isin("insert", "create", "post"), F.lit("insert"))
+                            .otherwise(F.lit("update")))
+
+
 def _prepare(appointments: DataFrame, batch: DataFrame) -> DataFrame:
     """Typed, validated requests with the snapshot state of their appointment."""
-    op = F.lower(F.col("op"))
+    batch = _normalise_op(batch)
+    op = F.col("op")
     ins = validate(batch.where(op == "insert"), APPOINTMENT_CREATE)
     upd = validate(batch.where(op != "insert"), APPOINTMENT_UPDATE)
     cols = ["request_seq", "op", "id", "employee_id", "appointment_date", "status", "is_valid"]
@@ -202,6 +211,7 @@ def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: D
     from salonlake.functions.expressions import parse_money, truthy
     from salonlake.operators.writes import apply_updates, assign_ids, max_id, post_completed
 
+    batch = _normalise_op(batch)
     d = decide_batch(appointments, batch, max_rounds).checkpoint(eager=True)
     ok = batch.join(d.where(F.col("decision") == "accepted").select("request_seq"),
                     "request_seq", "left_semi")
