@@ -29,7 +29,9 @@ Stream form
 ``limit_requests_stream`` keeps (count, last accepted time) per key in
 ``applyInPandasWithState`` and holds rows until the watermark passes them,
 so rows are folded in event-time order and on-time rows give the batch
-result; rows behind the watermark are dropped by Spark.
+result. A row that arrives behind the watermark cannot be placed in the
+order any more: it is emitted with ``accepted`` NULL (undecided) and counted
+by ``late_rows``.
 """
 
 from __future__ import annotations
@@ -147,14 +149,19 @@ def _limiter_fn(limit: int, ttl_us: int):
             pend = list(zip(pus or [], pid or [], pts or []))
         else:
             n, last, pend = 0, None, []
+        wm = state.getCurrentWatermarkMs() * 1000
+        out = []
         for pdf in pdfs:
             for us, i, t in zip(pdf["_us"], pdf["_rid"], pdf["_ts"]):
-                pend.append((int(us), int(i), t))
-        wm = state.getCurrentWatermarkMs() * 1000
+                if wm > 0 and int(us) <= wm:
+                    # Behind the watermark: its place in the order is gone.
+                    # Reported undecided instead of silently folded.
+                    out.append((key[0], t, int(i), None, None))
+                else:
+                    pend.append((int(us), int(i), t))
         pend.sort(key=lambda x: (x[0], x[1]))
         ready = [p for p in pend if p[0] <= wm]
         keep = [p for p in pend if p[0] > wm]
-        out = []
         for us, i, t in ready:
             if last is not None and n > 0 and us >= last + ttl_us:
                 n = 0
@@ -195,3 +202,8 @@ def limit_requests_stream(stream: DataFrame, key: str = "client_key", ts: str =
         "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnRenamed("client_key", key).withColumnRenamed("request_id", rid) \
               .withColumnRenamed("ts", ts)
+
+
+def late_rows(out: DataFrame) -> DataFrame:
+    """The undecided (late) rows of a limiter stream's output."""
+    return out.where(F.col("accepted").isNull())

@@ -37,3 +37,36 @@ def test_stream_equals_batch(spark):
             limit_requests(ev, limit=2, ttl_seconds=4 * 3600).collect()}
     assert len(got) == len(want)
     assert got == want
+
+
+def test_late_row_is_dropped_and_counted(spark):
+    from salonlake.streaming.limiter import late_rows
+    src = tempfile.mkdtemp(prefix="salonlake-late-")
+    schema = "client_key string, ts timestamp, request_id long"
+    base = dt.datetime(2024, 1, 1)
+    files = [
+        [("a", base, 1), ("a", base + dt.timedelta(minutes=1), 2)],
+        [("b", base + dt.timedelta(days=1), 3)],                 # moves the watermark
+        [("a", base + dt.timedelta(minutes=2), 4)],              # late: behind the watermark
+        [("z", base + dt.timedelta(days=30), 5)],
+        [("z", base + dt.timedelta(days=31), 6)],
+    ]
+    import os
+    for i, rows in enumerate(files):
+        p = os.path.join(src, f"part{i}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(p)
+        for f in os.listdir(p):
+            os.utime(os.path.join(p, f), (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", "1")
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+              .parquet(src))
+    out = limit_requests_stream(stream, limit=5, ttl_seconds=3600, lateness="0 seconds")
+    q = (out.writeStream.format("memory").queryName("late_out").outputMode("append")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="salonlake-late-ck-"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    res = spark.sql("SELECT * FROM late_out")
+    got = {r.request_id: r.accepted for r in res.collect()}
+    assert got[1] is True and got[2] is True and got[3] is True
+    assert got[4] is None
+    assert [r.request_id for r in late_rows(res).collect()] == [4]
