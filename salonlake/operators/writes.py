@@ -110,9 +110,16 @@ def soft_delete(snapshot: DataFrame, deletes: DataFrame, by_col: str = "deleted_
          .withColumnRenamed("id", "_did"))
     j = snapshot.join(d, snapshot["id"] == d["_did"], "left")
     hit = F.col("_did").isNotNull()
+    keep = [c for c in snapshot.columns if c not in (by_col, at_col)]
+
+    def merged(new: str, col: str):
+        if col not in snapshot.columns:
+            return F.col(new).alias(col)
+        return F.coalesce(F.col(new).cast(snapshot.schema[col].dataType), F.col(col)).alias(col)
+
     return j.select(*[F.when(hit, F.lit(0)).otherwise(F.col(c)).alias(c) if c == "is_active"
-                      else F.col(c) for c in snapshot.columns],
-                    F.col("_by").alias(by_col), F.col("_at").alias(at_col))
+                      else F.col(c) for c in keep],
+                    merged("_by", by_col), merged("_at", at_col))
 
 
 def cancel_appointments(appointments: DataFrame, cancels: DataFrame) -> DataFrame:

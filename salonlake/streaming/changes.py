@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salonlake.functions.validation import CUSTOMER_UPDATE
+from salonlake.operators import entities
 from salonlake.operators.booking import apply_appointment_batch
-from salonlake.operators.writes import update_customers
+from salonlake.operators.writes import hard_delete, soft_delete, update_customers
 from salonlake.sources.changes import CORRUPT
 from salonlake.sources.tables import committed_versions, load, write_snapshot
 
@@ -31,9 +32,36 @@ def _appointments(current: DataFrame, batch: DataFrame) -> DataFrame:
     return apply_appointment_batch(current, batch)[1].drop("n_updates")
 
 
+def _op(batch: DataFrame, *names: str) -> DataFrame:
+    return batch.where(F.lower(F.col("op")).isin(*names))
+
+
+def _services(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Creates, partial updates (active rows only) and soft deletes. Final
+    state does not depend on how these interleave: updates never touch the
+    new rows (their ids are not known to the sender yet), and a soft delete
+    only clears the active flag."""
+    upd = entities.update_services(current, _op(batch, "update")).drop(
+        "n_updates", "updated_by")
+    deleted = soft_delete(upd, _op(batch, "delete").select("request_seq", "actor_id", "now", "id"))
+    new = entities.insert_services(current, _op(batch, "insert")).drop("request_seq")
+    return deleted.unionByName(new, allowMissingColumns=True)
+
+
+def _transactions(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Creates, partial updates and hard deletes (a deleted row is gone
+    whatever was sent to it before or after)."""
+    upd = entities.update_ledger(current, _op(batch, "update")).drop("n_updates")
+    kept = hard_delete(upd, _op(batch, "delete").select("id"))
+    new = entities.insert_transactions(current, _op(batch, "insert")).drop("request_seq")
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
 APPLY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "customers": _customers,
     "appointments": _appointments,
+    "services": _services,
+    "transactions": _transactions,
 }
 
 

@@ -120,3 +120,48 @@ def test_streaming_appointment_batches_equal_one_batch(spark):
     whole = read_changes(spark, src, "appointments")
     _, one = apply_appointment_batch(tables.load(spark, root, "appointments", 0), whole)
     assert {r.id: (r.employee_id, r.status) for r in one.collect()} == got
+
+
+def test_streaming_ledger_changes(spark):
+    root = tempfile.mkdtemp(prefix="salonlake-led-")
+    src = tempfile.mkdtemp(prefix="salonlake-led-src-")
+    led = spark.createDataFrame(
+        [(1, "income", "a", 10.0, dt.date(2024, 1, 1)), (2, "expense", "b", 5.0, dt.date(2024, 1, 1))],
+        "id long, type string, category string, amount double, date date")
+    tables.write_snapshot(led, root, "transactions", 0)
+    reqs = [[{"request_seq": 1, "actor_id": 3, "op": "update", "id": 1, "amount": "12.5"},
+             {"request_seq": 2, "actor_id": 3, "op": "insert", "type": "income",
+              "category": "tips", "amount": "3", "date": "2024-01-02"}],
+            [{"request_seq": 3, "actor_id": 3, "op": "delete", "id": 2},
+             {"request_seq": 4, "actor_id": 3, "op": "update", "id": 2, "category": "zz"}]]
+    for i, batch in enumerate(reqs):
+        path = os.path.join(src, f"{i}.json")
+        with open(path, "w") as f:
+            f.write("\n".join(json.dumps(r) for r in batch) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    q = run_changes(stream_changes(spark, src, "transactions", 1), root,
+                    tempfile.mkdtemp(prefix="salonlake-led-ck-"), entity="transactions")
+    q.awaitTermination(300)
+    got = {r.id: (r.category, float(r.amount)) for r in tables.load(spark, root, "transactions").collect()}
+    assert got == {1: ("a", 12.5), 3: ("tips", 3.0)}
+
+
+def test_streaming_service_changes(spark):
+    root = tempfile.mkdtemp(prefix="salonlake-svc-")
+    src = tempfile.mkdtemp(prefix="salonlake-svc-src-")
+    svc = spark.createDataFrame([(1, "Cut", 10.0, 30, "hair", 1), (2, "Dye", 20.0, 60, "hair", 1)],
+                                "id long, name string, price double, duration_minutes int, "
+                                "category string, is_active int")
+    tables.write_snapshot(svc, root, "services", 0)
+    reqs = [[{"request_seq": 1, "actor_id": 3, "op": "update", "id": 1, "price": "12"},
+             {"request_seq": 2, "actor_id": 3, "op": "delete", "id": 2, "now": "2024-01-01T00:00:00"},
+             {"request_seq": 3, "actor_id": 3, "op": "insert", "name": "Nails", "price": "7",
+              "duration_minutes": "20"}]]
+    with open(os.path.join(src, "0.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in reqs[0]) + "\n")
+    q = run_changes(stream_changes(spark, src, "services", 1), root,
+                    tempfile.mkdtemp(prefix="salonlake-svc-ck-"), entity="services")
+    q.awaitTermination(300)
+    got = {r.id: (r.name, float(r.price), r.is_active, r.deleted_at is not None)
+           for r in tables.load(spark, root, "services").collect()}
+    assert got == {1: ("Cut", 12.0, 1, False), 2: ("Dye", 20.0, 0, True), 3: ("Nails", 7.0, 1, False)}
