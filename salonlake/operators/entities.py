@@ -204,3 +204,73 @@ def update_inventory(inventory: DataFrame, changes: DataFrame,
         new.alias("new_quantity"), F.lit(STOCK_UPDATE_REASON).alias("reason"),
         F.col("actor_id").alias("created_by"))
     return snap, log
+
+
+# ----------------------------------------------------- mixed inventory batch
+def inventory_batch(inventory: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new snapshot, stock-log rows) for a mixed batch of item requests,
+    equal to applying them one by one in ``request_seq`` order.
+
+    ``op``: 'set' (short quantity form: id, quantity, reason), 'update' (full
+    form), 'insert', 'delete'. A request for an id deleted earlier in the
+    batch finds nothing. Quantities from sets and updates form one sequence
+    per item: each request's previous quantity is the one set just before it
+    (a skew-safe lag over that sequence) or the stored one. Sets log every
+    change, no_change included; full updates log only real changes; inserts
+    log 'initial'. Deleted items disappear; their log rows stay."""
+    from salonlake.operators.writes import STOCK_SET_REASON
+    for c in ("reason", "name", "description", "unit_price", "min_stock_level", "category"):
+        if c not in batch.columns:
+            batch = batch.withColumn(c, F.lit(None).cast("string"))
+    op = F.lower(F.col("op"))
+    first_del = (batch.where(op == "delete").groupBy(F.col("id").cast("bigint").alias("_did"))
+                 .agg(F.min("request_seq").alias("_del_seq")))
+    stored = inventory.select(F.col("id").alias("_iid"), F.col("quantity").alias("_stored"))
+
+    def alive(df: DataFrame) -> DataFrame:
+        j = df.join(first_del, df["id"] == first_del["_did"], "left")
+        j = j.where(F.col("_del_seq").isNull() | (F.col("request_seq") < F.col("_del_seq")))
+        return j.drop("_did", "_del_seq").join(inventory.select("id"), "id", "left_semi")
+
+    sets = batch.where(op == "set")
+    sets = sets.where(F.col("id").isNotNull() & (F.col("id") != 0)
+                      & parse_number(F.col("quantity")).isNotNull())
+    sets = alive(sets.withColumn("id", F.col("id").cast("bigint")))
+    sets = sets.select("request_seq", "actor_id", "now", "id",
+                       parse_int_prefix(F.col("quantity")).alias("quantity"),
+                       F.coalesce(_opt("reason"), F.lit(STOCK_SET_REASON)).alias("reason"),
+                       F.lit(True).alias("_short")).where(F.col("quantity").isNotNull())
+    upd = _valid(batch.where(op == "update"), V.INVENTORY_UPDATE) \
+        .where(_numbers_ok("quantity", "unit_price", "min_stock_level"))
+    upd = alive(upd.withColumn("id", F.col("id").cast("bigint")))
+    upd = _read_numbers(upd, ("unit_price",), ("min_stock_level",))
+    upd = _read_numbers(upd, (), ("quantity",), presence=lambda c: ~blank(c))
+
+    # One quantity sequence per item, from both forms.
+    qseq = sets.select("request_seq", "actor_id", "id", "quantity", "reason", "_short").unionByName(
+        upd.where(F.col("quantity").isNotNull()).select(
+            "request_seq", "actor_id", "id", "quantity",
+            F.lit(STOCK_UPDATE_REASON).alias("reason"), F.lit(False).alias("_short")))
+    qseq = previous_value(qseq, ["id"], [F.col("request_seq")], "quantity", "_prev")
+    j = qseq.join(stored, qseq["id"] == stored["_iid"], "left")
+    prev = F.coalesce(F.col("_prev"), F.col("_stored"))
+    new = F.col("quantity")
+    log = j.where(F.col("_short") | (new != prev)).select(
+        "request_seq", F.col("id").alias("inventory_id"),
+        F.when(new > prev, F.lit("increase")).when(new < prev, F.lit("decrease"))
+         .otherwise(F.lit("no_change")).alias("change_type"),
+        (new - prev).alias("quantity_change"), prev.alias("previous_quantity"),
+        new.alias("new_quantity"), "reason", F.col("actor_id").alias("created_by"))
+
+    cols = [c for c in ("name", "description", "quantity", "unit_price", "category",
+                        "min_stock_level") if c in inventory.columns]
+    changes = upd.select("request_seq", "actor_id", "now", "id",
+                         *[F.col(c) if c in upd.columns else F.lit(None).alias(c) for c in cols])
+    changes = changes.unionByName(sets.select(
+        "request_seq", "actor_id", "now", "id",
+        *[F.col("quantity") if c == "quantity" else F.lit(None).alias(c) for c in cols]))
+    snap = apply_updates(inventory, changes, cols)
+    snap = snap.join(first_del.select(F.col("_did").alias("id")), "id", "left_anti")
+    items, initial = insert_inventory(inventory, batch.where(op == "insert"))
+    snap = snap.unionByName(items.drop("request_seq"), allowMissingColumns=True)
+    return snap, log.unionByName(initial.select(*log.columns))

@@ -85,7 +85,7 @@ CHANGES = {
     "inventory": _s(*_META, ("op", T.StringType()), ("id", T.LongType()), ("name", T.StringType()),
                     ("quantity", T.StringType()), ("unit_price", T.StringType()),
                     ("min_stock_level", T.StringType()), ("category", T.StringType()),
-                    ("description", T.StringType())),
+                    ("description", T.StringType()), ("reason", T.StringType())),
     "stock_sets": _s(*_META, ("id", T.LongType()), ("quantity", T.StringType()),
                      ("reason", T.StringType())),
     "users": _s(*_META, ("full_name", T.StringType()), ("email", T.StringType()),

@@ -74,6 +74,18 @@ def append(df: DataFrame, root: str, table: str) -> None:
     df.select(*cols).write.mode("append").parquet(f"{root}/{table}/log")
 
 
+def write_log_batch(df: DataFrame, root: str, table: str, batch: int) -> None:
+    """Log rows of one change batch, written idempotently: a replay of the
+    batch overwrites its own folder instead of appending twice."""
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
+    df.select(*cols).write.mode("overwrite").parquet(f"{root}/{table}/log/batch={batch}")
+
+
+def load_log(spark: SparkSession, root: str, table: str) -> DataFrame:
+    return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/log")
+
+
 def write_report(results: DataFrame, summary: DataFrame, path: str, kind: str, start: dt.date,
                  end: dt.date, generated_at: dt.datetime) -> None:
     """Report output as JSON: the result rows are written by the executors as

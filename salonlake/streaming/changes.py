@@ -20,7 +20,8 @@ from salonlake.operators import entities
 from salonlake.operators.booking import apply_appointment_batch
 from salonlake.operators.writes import hard_delete, soft_delete, update_customers
 from salonlake.sources.changes import CORRUPT
-from salonlake.sources.tables import committed_versions, load, write_snapshot
+from salonlake.sources.tables import (committed_versions, load, write_log_batch,
+                                     write_snapshot)
 
 
 def _customers(current: DataFrame, batch: DataFrame) -> DataFrame:
@@ -57,11 +58,17 @@ def _transactions(current: DataFrame, batch: DataFrame) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-APPLY: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+def _inventory(current: DataFrame, batch: DataFrame):
+    snap, log = entities.inventory_batch(current, batch)
+    return snap.drop("n_updates", "updated_by"), {"inventory_changes": log}
+
+
+APPLY: dict[str, Callable] = {
     "customers": _customers,
     "appointments": _appointments,
     "services": _services,
     "transactions": _transactions,
+    "inventory": _inventory,
 }
 
 
@@ -74,7 +81,15 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, entity: str) -> None
     base = max(v for v in versions if v < target)
     current = load(spark, root, entity, base)
     ok = batch.where(F.col(CORRUPT).isNull())
-    write_snapshot(APPLY[entity](current, ok), root, entity, target)
+    out = APPLY[entity](current, ok)
+    if isinstance(out, tuple):
+        out, logs = out
+        # Logs first: a crash before the snapshot commits replays the batch,
+        # which rewrites the same log folder.
+        for table, log in logs.items():
+            write_log_batch(log.withColumn("created_at", F.col("now") if "now" in log.columns
+                                           else F.lit(None)), root, table, target)
+    write_snapshot(out, root, entity, target)
 
 
 def apply_customer_batch(batch: DataFrame, batch_id: int, root: str) -> None:

@@ -143,3 +143,29 @@ def test_mixed_batch_postings_only_for_accepted_updates(spark):
     dec, snap, posts = apply_appointment_batch(appts, batch, ledger, d)
     assert {r.request_seq: r.decision for r in dec.collect()} == {1: "conflict", 2: "accepted"}
     assert [(r.appointment_id, float(r.amount), r.id) for r in posts.collect()] == [(1, 40.0, 11)]
+
+
+def test_inventory_mixed_batch(spark):
+    inv = spark.createDataFrame([(1, "Gel", 5, 10), (2, "Wax", 7, 10), (3, "Oil", 1, 10)],
+                                "id long, name string, quantity int, min_stock_level int")
+    now = dt.datetime(2024, 1, 1)
+    rows = [
+        (1, "set", 1, "5", None, None),        # no_change is logged by the short form
+        (2, "update", 1, "9", None, None),     # 5 -> 9 increase
+        (3, "update", 1, "9", "Gel2", None),   # 9 -> 9: full form logs nothing
+        (4, "set", 1, "2", None, "count"),     # 9 -> 2 decrease, own reason
+        (5, "delete", 2, None, None, None),
+        (6, "set", 2, "3", None, None),        # item deleted: nothing
+        (7, "set", 0, "3", None, None),        # id 0 counts as missing
+        (8, "insert", None, "4", "Soap", None)]
+    b = spark.createDataFrame(
+        [(s, 9, now, op, i, q, n, r) for s, op, i, q, n, r in rows],
+        "request_seq long, actor_id long, now timestamp, op string, id long, quantity string, "
+        "name string, reason string")
+    snap, log = entities.inventory_batch(inv, b)
+    got = sorted((r.request_seq, r.inventory_id, r.change_type, r.previous_quantity,
+                  r.new_quantity) for r in log.collect())
+    assert got == [(1, 1, "no_change", 5, 5), (2, 1, "increase", 5, 9),
+                   (4, 1, "decrease", 9, 2), (8, 4, "initial", 0, 4)]
+    s = {r.id: (r.name, r.quantity) for r in snap.collect()}
+    assert s == {1: ("Gel2", 2), 3: ("Oil", 1), 4: ("Soap", 4)}

@@ -165,3 +165,27 @@ def test_streaming_service_changes(spark):
     got = {r.id: (r.name, float(r.price), r.is_active, r.deleted_at is not None)
            for r in tables.load(spark, root, "services").collect()}
     assert got == {1: ("Cut", 12.0, 1, False), 2: ("Dye", 20.0, 0, True), 3: ("Nails", 7.0, 1, False)}
+
+
+def test_streaming_inventory_changes_with_log(spark):
+    root = tempfile.mkdtemp(prefix="salonlake-inv-")
+    src = tempfile.mkdtemp(prefix="salonlake-inv-src-")
+    inv = spark.createDataFrame([(1, "Gel", 5, 10)], "id long, name string, quantity int, "
+                                                     "min_stock_level int")
+    tables.write_snapshot(inv, root, "inventory", 0)
+    reqs = [[{"request_seq": 1, "actor_id": 3, "op": "set", "id": 1, "quantity": "8"}],
+            [{"request_seq": 2, "actor_id": 3, "op": "update", "id": 1, "quantity": "6"},
+             {"request_seq": 3, "actor_id": 3, "op": "insert", "name": "Soap", "quantity": "4"}]]
+    for i, batch in enumerate(reqs):
+        path = os.path.join(src, f"{i}.json")
+        with open(path, "w") as f:
+            f.write("\n".join(json.dumps(r) for r in batch) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    ck = tempfile.mkdtemp(prefix="salonlake-inv-ck-")
+    q = run_changes(stream_changes(spark, src, "inventory", 1), root, ck, entity="inventory")
+    q.awaitTermination(300)
+    got = {r.id: r.quantity for r in tables.load(spark, root, "inventory").collect()}
+    assert got == {1: 6, 2: 4}
+    log = sorted((r.inventory_id, r.change_type, r.previous_quantity, r.new_quantity)
+                 for r in tables.load_log(spark, root, "inventory_changes").collect())
+    assert log == [(1, "decrease", 8, 6), (1, "increase", 5, 8), (2, "initial", 0, 4)]
