@@ -194,6 +194,22 @@ SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now,
        CAST(NULL AS VARCHAR) AS unit_price,
        CASE WHEN event_id % 7 = 0 THEN '5' END AS min_stock_level,
        CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS description
+FROM events""",
+    "inventory_mixed": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now,
+       CASE WHEN event_type = 'purchase' THEN 'insert' WHEN event_type = 'click' THEN 'update'
+            WHEN event_type = 'error' AND event_id % 10 = 0 THEN 'delete' ELSE 'set' END AS op,
+       CASE WHEN event_type <> 'purchase' THEN user_id END AS id,
+       CASE WHEN event_type = 'purchase' THEN 'Item ' || CAST(event_id AS VARCHAR)
+            WHEN event_type = 'click' AND event_id % 5 = 0
+              THEN 'Renamed ' || CAST(event_id AS VARCHAR) END AS name,
+       CASE WHEN event_type = 'click' AND event_id % 4 = 0 THEN NULL
+            WHEN event_id % 31 = 0 THEN 'abc'
+            ELSE CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR) END AS quantity,
+       CASE WHEN event_type = 'purchase' THEN CAST(value AS VARCHAR) END AS unit_price,
+       CASE WHEN event_type = 'purchase' THEN '5' END AS min_stock_level,
+       CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS description,
+       CASE WHEN event_type <> 'click' AND event_id % 3 = 0 THEN event_type END AS reason
 FROM events""",
 })
 
@@ -201,7 +217,7 @@ _ORDER = ["users", "customers", "services", "appointments", "transactions", "inv
           "inventory_changes", "customer_changes", "customer_creates", "ledger_creates",
           "customer_deletes", "ledger_deletes", "new_users", "appointment_requests",
           "appointment_updates", "stock_sets", "session_requests", "upload_manifest", "service_changes",
-          "inventory_creates", "inventory_updates"]
+          "inventory_creates", "inventory_updates", "inventory_mixed"]
 
 _NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INF = r"^\s*[+-]?Infinity\s*$"

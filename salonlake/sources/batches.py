@@ -254,3 +254,27 @@ def appointment_mixed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("status"),
         F.lit(None).cast("string").alias("notes"),
         F.lit(None).cast("string").alias("price"))
+
+
+def inventory_mixed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed item requests: quantity sets, full updates, new items and a few
+    deletions, addressed to item user_id."""
+    e = raw(spark, sf_dir, "events")
+    k = F.col("event_id")
+    et = F.col("event_type")
+    op = (F.when(et == "purchase", F.lit("insert")).when(et == "click", F.lit("update"))
+           .when((et == "error") & (k % 10 == 0), F.lit("delete")).otherwise(F.lit("set")))
+    qty = F.when(k % 31 == 0, F.lit("abc")).otherwise(_s(F.floor(F.col("value")).cast("bigint") % 60))
+    return e.select(
+        k.alias("request_seq"), (k % 20).alias("actor_id"), F.col("ts").alias("now"),
+        op.alias("op"),
+        F.when(et != "purchase", F.col("user_id")).alias("id"),
+        F.when(et == "purchase", F.concat(F.lit("Item "), _s(k)))
+         .when((et == "click") & (k % 5 == 0), F.concat(F.lit("Renamed "), _s(k))).alias("name"),
+        F.when((et == "click") & (k % 4 == 0), F.lit(None).cast("string")).otherwise(qty)
+         .alias("quantity"),
+        F.when(et == "purchase", _s(F.col("value"))).alias("unit_price"),
+        F.when(et == "purchase", F.lit("5")).alias("min_stock_level"),
+        F.lit(None).cast("string").alias("category"),
+        F.lit(None).cast("string").alias("description"),
+        F.when((et != "click") & (k % 3 == 0), et).alias("reason"))
