@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from salonlake.functions.expressions import OPEN_STATUSES, blank, parse_date, parse_number
 from salonlake.functions.validation import APPOINTMENT_CREATE, APPOINTMENT_UPDATE, validate
-from salonlake.operators.sequence import SLICE, scan, sliced
+from salonlake.operators.sequence import scan, sliced
 
 _NEVER = -(2 ** 62)  # event time of the snapshot: before every request
 
