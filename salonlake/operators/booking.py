@@ -73,9 +73,13 @@ def _prepare(appointments: DataFrame, batch: DataFrame) -> DataFrame:
         F.when(F.lower(F.col("op")) == "cancel", F.lit("cancelled"))
          .when(~blank(F.col("status")), F.col("status"))
          .when(F.lower(F.col("op")) == "insert", F.lit("scheduled")).alias("status_req"))
-    snap = appointments.select(F.col("id").alias("_sid"), F.col("employee_id").alias("emp0"),
-                               F.col("appointment_date").alias("date0"),
-                               F.col("status").alias("status0"))
+    # Only the appointments the batch names: a semi join first, so the
+    # (large) snapshot is filtered where it is read instead of shuffled whole
+    # into the left join (AQE broadcasts the id list when it is small).
+    ids = r.where(F.col("id").isNotNull()).select("id").distinct()
+    snap = appointments.join(ids, "id", "left_semi").select(
+        F.col("id").alias("_sid"), F.col("employee_id").alias("emp0"),
+        F.col("appointment_date").alias("date0"), F.col("status").alias("status0"))
     r = r.join(snap, r["id"] == snap["_sid"], "left")
     found = (F.col("op") == "insert") | F.col("_sid").isNotNull()
     # Inserts act on a new appointment keyed by -request_seq; its "snapshot"
