@@ -21,7 +21,8 @@ from salonlake.functions.expressions import (blank, escape_markup, parse_money,
                                              truthy)
 from salonlake.operators.sequence import previous_value
 from salonlake.operators.writes import (STOCK_CREATE_REASON, STOCK_UPDATE_REASON, apply_updates,
-                                        assign_ids, booking_accept, max_id, parse_int_prefix)
+                                        assign_ids, booking_accept, known, max_id,
+                                        parse_int_prefix)
 
 
 def _opt(c: str) -> Column:
@@ -183,7 +184,7 @@ def update_inventory(inventory: DataFrame, changes: DataFrame,
     written only when a quantity is sent and differs from the quantity just
     before that request."""
     v = (_valid(changes, rules).where(_numbers_ok("quantity", "unit_price", "min_stock_level"))
-         .join(inventory.select("id"), "id", "left_semi"))
+         .transform(lambda df: known(df, inventory)))
     # The quantity counts whenever it is sent (0 included); the price and the
     # threshold only when truthy.
     v = _read_numbers(v, ("unit_price",), ("min_stock_level",))
@@ -230,7 +231,7 @@ def inventory_batch(inventory: DataFrame, batch: DataFrame) -> tuple[DataFrame,
     def alive(df: DataFrame) -> DataFrame:
         j = df.join(first_del, df["id"] == first_del["_did"], "left")
         j = j.where(F.col("_del_seq").isNull() | (F.col("request_seq") < F.col("_del_seq")))
-        return j.drop("_did", "_del_seq").join(inventory.select("id"), "id", "left_semi")
+        return known(j.drop("_did", "_del_seq"), inventory)
 
     sets = batch.where(op == "set")
     sets = sets.where(F.col("id").isNotNull() & (F.col("id") != 0)

@@ -53,6 +53,18 @@ def assign_ids(df: DataFrame, base: Column | int, out: str = "id",
     return r.withColumn(out, (b + F.col("_rank")).cast("bigint")).drop("_one", "_rank")
 
 
+def known(batch: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``batch`` whose ``key`` exists in ``table``.
+
+    The table side is first cut to the ids the batch names (a semi join whose
+    small side is the batch's distinct ids, which AQE broadcasts when it is
+    small), so a large table is filtered where it is read rather than
+    shuffled whole for a small batch."""
+    ids = batch.select(F.col(key).alias("id")).where(F.col("id").isNotNull()).distinct()
+    hit = table.select("id").join(ids, "id", "left_semi").withColumnRenamed("id", key)
+    return batch.join(hit, key, "left_semi")
+
+
 def max_id(table: DataFrame) -> Column:
     """Scalar subquery: the largest id of ``table`` (0 when empty)."""
     return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
@@ -65,7 +77,7 @@ def apply_updates(snapshot: DataFrame, changes: DataFrame, columns: list[str],
     inactive ones when ``require_active``) do nothing. Adds ``updated_by``,
     ``updated_at`` (of the last applied change) and ``n_updates``."""
     target = snapshot.where(F.col("is_active") == 1) if require_active else snapshot
-    applied = changes.join(target.select("id"), "id", "left_semi")
+    applied = known(changes, target)
     fold = applied.groupBy("id").agg(
         *[_last_non_null(c).alias("_new_" + c) for c in columns],
         F.max_by("actor_id", "request_seq").alias("_by"),
@@ -218,8 +230,7 @@ def post_completed(appointments: DataFrame, ledger: DataFrame, updates: DataFram
     non-empty price, and no ledger row for that appointment yet (neither
     before the batch nor from an earlier update of the batch)."""
     v = validate(updates, rules).where("is_valid")
-    q = (v.where((F.col("status") == "completed") & truthy(F.col("price")))
-         .join(appointments.select("id"), "id", "left_semi"))
+    q = known(v.where((F.col("status") == "completed") & truthy(F.col("price"))), appointments)
     first = q.groupBy("id").agg(F.min("request_seq").alias("request_seq"))
     q = q.join(first, ["id", "request_seq"], "left_semi")
     q = q.join(ledger.where(F.col("appointment_id").isNotNull())
@@ -251,9 +262,8 @@ def stock_change_log(inventory: DataFrame, sets: DataFrame) -> DataFrame:
     """Log rows of short-form quantity sets. Each set needs an id (0 counts
     as missing), a numeric quantity and an existing item; the previous
     quantity is the one set just before for that item, or the stored one."""
-    ok = (sets.where(F.col("id").isNotNull() & (F.col("id") != 0)
-                     & parse_number(F.col("quantity")).isNotNull())
-          .join(inventory.select("id"), "id", "left_semi")
+    ok = (known(sets.where(F.col("id").isNotNull() & (F.col("id") != 0)
+                           & parse_number(F.col("quantity")).isNotNull()), inventory)
           .withColumn("new_quantity", parse_int_prefix(F.col("quantity")))
           .where(F.col("new_quantity").isNotNull()))
     ok = previous_value(ok, ["id"], [F.col("request_seq")], "new_quantity", "_prev")
