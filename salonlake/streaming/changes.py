@@ -25,8 +25,21 @@ from salonlake.sources.tables import (committed_versions, load, write_log_batch,
 
 
 def _customers(current: DataFrame, batch: DataFrame) -> DataFrame:
-    ch = batch.where(F.col("op") == "update")
-    return update_customers(current, ch, CUSTOMER_UPDATE).drop("n_updates")
+    """Creates, partial updates (active customers only) and soft deletes.
+    An update after a delete of the same customer finds it inactive and
+    does nothing; one before it still lands; a delete only clears the
+    active flag and records who/when, so applying updates (each checked
+    against the customer being active at its own time) then deletes is
+    exact."""
+    op = F.lower(F.col("op"))
+    dels = batch.where(op == "delete").groupBy("id").agg(F.min("request_seq").alias("_del_seq"))
+    upd = batch.where(op == "update").join(dels, "id", "left")
+    upd = upd.where(F.col("_del_seq").isNull() | (F.col("request_seq") < F.col("_del_seq")))
+    updated = update_customers(current, upd.drop("_del_seq"), CUSTOMER_UPDATE).drop("n_updates")
+    deleted = soft_delete(updated, batch.where(op == "delete")
+                          .select("request_seq", "actor_id", "now", "id"))
+    new = entities.insert_customers(current, batch.where(op == "insert")).drop("request_seq")
+    return deleted.unionByName(new, allowMissingColumns=True)
 
 
 def _appointments(current: DataFrame, batch: DataFrame) -> DataFrame:

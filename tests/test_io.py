@@ -189,3 +189,22 @@ def test_streaming_inventory_changes_with_log(spark):
     log = sorted((r.inventory_id, r.change_type, r.previous_quantity, r.new_quantity)
                  for r in tables.load_log(spark, root, "inventory_changes").collect())
     assert log == [(1, "decrease", 8, 6), (1, "increase", 5, 8), (2, "initial", 0, 4)]
+
+
+def test_streaming_customer_create_update_delete(spark):
+    root = tempfile.mkdtemp(prefix="salonlake-cus-")
+    src = tempfile.mkdtemp(prefix="salonlake-cus-src-")
+    cur = spark.createDataFrame([(1, "Ann", 1), (2, "Bob", 1)], "id long, full_name string, is_active int")
+    tables.write_snapshot(cur, root, "customers", 0)
+    reqs = [{"request_seq": 1, "actor_id": 3, "op": "update", "id": 2, "full_name": "Bobby"},
+            {"request_seq": 2, "actor_id": 4, "op": "delete", "id": 2, "now": "2024-01-01T00:00:00"},
+            {"request_seq": 3, "actor_id": 3, "op": "update", "id": 2, "full_name": "Robert"},
+            {"request_seq": 4, "actor_id": 3, "op": "insert", "full_name": "Cy <x>"}]
+    with open(os.path.join(src, "0.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in reqs) + "\n")
+    q = run_changes(stream_changes(spark, src, "customers", 1), root,
+                    tempfile.mkdtemp(prefix="salonlake-cus-ck-"), entity="customers")
+    q.awaitTermination(300)
+    got = {r.id: (r.full_name, r.is_active, r.deleted_by) for r in
+           tables.load(spark, root, "customers").collect()}
+    assert got == {1: ("Ann", 1, None), 2: ("Bobby", 0, 4), 3: ("Cy &lt;x&gt;", 1, None)}
