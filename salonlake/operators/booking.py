@@ -232,6 +232,17 @@ def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: D
     cols = [c for c in ("status", "appointment_date", "employee_id", "price")
             if c in appointments.columns]
     updated = apply_updates(appointments, ch, cols)
+    # A cancellation also records who cancelled and when (the last one wins).
+    canc = (ok.where(op == "cancel").groupBy(F.col("id").cast("bigint").alias("_cid"))
+            .agg(F.max_by("actor_id", "request_seq").alias("_cby"),
+                 F.max_by("now", "request_seq").alias("_cat")))
+    updated = updated.join(canc, updated["id"] == canc["_cid"], "left")
+    for c, v in (("cancelled_by", "_cby"), ("cancelled_at", "_cat")):
+        old = F.col(c) if c in appointments.columns else F.lit(None)
+        typ = appointments.schema[c].dataType if c in appointments.columns else None
+        newv = F.col(v).cast(typ) if typ is not None else F.col(v)
+        updated = updated.withColumn(c, F.coalesce(newv, old))
+    updated = updated.drop("_cid", "_cby", "_cat")
     new = ok.where(op == "insert").select(
         "request_seq",
         parse_number(F.col("customer_id")).cast("bigint").alias("customer_id"),

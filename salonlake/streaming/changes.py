@@ -71,6 +71,14 @@ def _transactions(current: DataFrame, batch: DataFrame) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def _users(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """Sign-ups: valid, first of their email, email not taken."""
+    from salonlake.functions.validation import USER_CREATE
+    from salonlake.operators.writes import insert_users
+    new = insert_users(current, batch, USER_CREATE).drop("request_seq")
+    return current.unionByName(new, allowMissingColumns=True)
+
+
 def _inventory(current: DataFrame, batch: DataFrame):
     snap, log = entities.inventory_batch(current, batch)
     return snap.drop("n_updates", "updated_by"), {"inventory_changes": log}
@@ -82,6 +90,7 @@ APPLY: dict[str, Callable] = {
     "services": _services,
     "transactions": _transactions,
     "inventory": _inventory,
+    "users": _users,
 }
 
 

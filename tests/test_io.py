@@ -115,8 +115,10 @@ def test_streaming_appointment_batches_equal_one_batch(spark):
                     tempfile.mkdtemp(prefix="salonlake-appt-ck-"), entity="appointments")
     q.awaitTermination(300)
     assert tables.committed_versions(spark, root, "appointments") == [0, 1, 2]
-    got = {r.id: (r.employee_id, r.status) for r in tables.load(spark, root, "appointments").collect()}
+    final = tables.load(spark, root, "appointments").collect()
+    got = {r.id: (r.employee_id, r.status) for r in final}
     assert got == {1: (7, "cancelled"), 2: (8, "confirmed"), 3: (7, "scheduled")}
+    assert {r.id: r.cancelled_by for r in final} == {1: 3, 2: None, 3: None}
     whole = read_changes(spark, src, "appointments")
     _, one = apply_appointment_batch(tables.load(spark, root, "appointments", 0), whole)
     assert {r.id: (r.employee_id, r.status) for r in one.collect()} == got
@@ -208,3 +210,22 @@ def test_streaming_customer_create_update_delete(spark):
     got = {r.id: (r.full_name, r.is_active, r.deleted_by) for r in
            tables.load(spark, root, "customers").collect()}
     assert got == {1: ("Ann", 1, None), 2: ("Bobby", 0, 4), 3: ("Cy &lt;x&gt;", 1, None)}
+
+
+def test_streaming_signups(spark):
+    root = tempfile.mkdtemp(prefix="salonlake-usr-")
+    src = tempfile.mkdtemp(prefix="salonlake-usr-src-")
+    cur = spark.createDataFrame([(1, "Ann", "a@x.co", "admin", 1)],
+                                "id long, full_name string, email string, role string, is_active int")
+    tables.write_snapshot(cur, root, "users", 0)
+    reqs = [{"request_seq": 1, "full_name": "Bo", "email": "b@x.co"},
+            {"request_seq": 2, "full_name": "Bo2", "email": "b@x.co"},     # duplicate in batch
+            {"request_seq": 3, "full_name": "An", "email": "a@x.co"},      # taken
+            {"request_seq": 4, "full_name": "C", "email": "c@x.co"}]       # name too short
+    with open(os.path.join(src, "0.json"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in reqs) + "\n")
+    q = run_changes(stream_changes(spark, src, "users", 1), root,
+                    tempfile.mkdtemp(prefix="salonlake-usr-ck-"), entity="users")
+    q.awaitTermination(300)
+    got = {r.id: (r.email, r.role) for r in tables.load(spark, root, "users").collect()}
+    assert got == {1: ("a@x.co", "admin"), 2: ("b@x.co", "employee")}
