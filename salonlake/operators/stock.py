@@ -30,7 +30,8 @@ def recent_changes(t, n: int = RECENT_ROWS) -> DataFrame:
     ic = t["inventory_changes"]
     w = Window.partitionBy("inventory_id").orderBy(F.col("created_at").desc_nulls_last(),
                                                    F.col("id").desc())
-    top = ic.withColumn("change_rank", F.row_number().over(w)).where(F.col("change_rank") <= n)
+    top = (ic.withColumn("change_rank", F.row_number().over(w)).where(F.col("change_rank") <= n)
+           .withColumn("change_rank", F.col("change_rank").cast("bigint")))
     top = top.join(t["inventory"].select(F.col("id").alias("inventory_id")), "inventory_id",
                    "left_semi")
     u = t["users"].select(F.col("id").alias("_uid"), F.col("full_name").alias("user_name"))
