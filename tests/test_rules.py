@@ -171,3 +171,21 @@ def test_partial_update(spark):
     assert out[2].full_name == "Bob" and out[2].n_updates == 0
     assert out[3].full_name == "Cy"
     assert 9 not in out
+
+
+def test_search_escapes_markup_and_caps_page(spark):
+    rows = [(1, "O'Neil", None, None, 1, None), (2, "O&#39;Brien", None, None, 1, None)]
+    rows += [(10 + i, f"Name {i}", None, None, 1, None) for i in range(150)]
+    df = spark.createDataFrame(
+        rows, "id long, full_name string, phone string, email string, is_active int, "
+              "created_at timestamp")
+    # The term is escaped like stored text, so a quote matches its escaped form.
+    assert [r.id for r in filters.search_customers(df, "o'").collect()] == [2]
+    assert filters.search_customers(df, "name", limit=500).count() == 100
+    assert filters.customer_page(df, limit=500, offset=0).count() == 100
+
+
+def test_by_ids_never_duplicates(spark):
+    t = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    ids = spark.createDataFrame([(1,), (1,), (3,), (None,)], "x long")
+    assert sorted(r.id for r in filters.by_ids(t, ids).collect()) == [1, 3]
