@@ -229,3 +229,20 @@ def test_streaming_signups(spark):
     q.awaitTermination(300)
     got = {r.id: (r.email, r.role) for r in tables.load(spark, root, "users").collect()}
     assert got == {1: ("a@x.co", "admin"), 2: ("b@x.co", "employee")}
+
+
+def test_stored_table_scan_prunes_and_pushes(spark):
+    from salonlake.operators.filters import in_period
+    root = tempfile.mkdtemp(prefix="salonlake-store-")
+    t = load_tables(spark, SF_SMALL)
+    tables.write_snapshot(t["appointments"], root, "appointments", 0)
+    a = in_period(tables.load(spark, root, "appointments"), "appointment_date", PERIOD)
+    df = a.select("id", "status")
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = [ln for ln in plan.splitlines() if "FileScan parquet" in ln][0]
+    assert "GreaterThanOrEqual(appointment_date" in scan and "LessThanOrEqual(ap" in scan
+    assert "ReadSchema: struct<id:bigint,appointment_date:date,status:string>" in scan
+    want = t["appointments"].where(
+        F.col("appointment_date").between(F.lit(PERIOD.start), F.lit(PERIOD.end))).count()
+    assert df.count() == want
