@@ -78,7 +78,7 @@ def customer_page_after(customers: DataFrame, after_created_at, after_id: int,
     if after_created_at is None:
         after = c.isNull() & (i < after_id)
     else:
-        ts = F.lit(after_created_at)
+        ts = after_created_at if isinstance(after_created_at, Column) else F.lit(after_created_at)
         after = c.isNull() | (c < ts) | ((c == ts) & (i < after_id))
     return (active(customers).where(after)
             .orderBy(c.desc_nulls_last(), i.desc()).limit(n))
