@@ -88,3 +88,25 @@ def test_limiter_ttl_edge(spark):
     got = {r.request_id: r.accepted
            for r in limit_requests(df, limit=2, ttl_seconds=60).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_limiter_property_random_streams(spark):
+    """Random request streams (several keys, bursts, gaps around the TTL)
+    give the in-order replay, whatever the limit."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    base = dt.datetime(2024, 1, 1)
+    row = st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 400))
+
+    @settings(max_examples=4, deadline=None, derandomize=True,
+              suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=1, max_size=60), st.integers(1, 4), st.integers(10, 120))
+    def check(rows, limit, ttl):
+        reqs = [(k, base + dt.timedelta(seconds=s), i) for i, (k, s) in enumerate(rows)]
+        df = spark.createDataFrame(reqs, "client_key string, ts timestamp, request_id long")
+        got = {r.request_id: r.accepted
+               for r in limit_requests(df, limit=limit, ttl_seconds=ttl).collect()}
+        assert got == _replay(reqs, limit, dt.timedelta(seconds=ttl))
+
+    check()
