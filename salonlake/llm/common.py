@@ -4,6 +4,9 @@ shared checkpoint folder, ASCII word splitting and hashing of words in bulk.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,8 +27,15 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches stay small whatever the length of the texts."""
+def ready(spark: SparkSession) -> None:
+    """Before Python code runs on executors: they get this package (sent once
+    by Spark), and Arrow batches stay small whatever the length of the texts."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_salonlake_sent", False):
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        if os.path.isdir(os.path.join(top, "salonlake")):  # else it came as an archive itself
+            sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "salonlake"), "zip", top, "salonlake"))
+        sc._salonlake_sent = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -173,7 +173,7 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     (hit [start, end) word ranges), items (sorted ids of the items with an
     occurring window) and clean (the text without the hit spans)."""
     spark = docs.sparkSession
-    common.bound_batches(spark)
+    common.ready(spark)
     added = {"n_words": pa.int64(), "longest": pa.int64(), "spans": pa.list_(pa.list_(pa.int64())),
              "items": pa.list_(pa.string())}
     kinds = "`n_words` long, `longest` long, `spans` array<array<bigint>>, `items` array<string>"

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, pii
+from . import decontam, language, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": language.query,
     "op4_pii": pii.query,
     "op6_decontamination": decontam.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE: dict[str, str] = {}
