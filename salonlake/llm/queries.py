@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, pii, quality
+from . import decontam, language, merkle, packing, pii, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language.query,
+    "op3_packing": packing.query,
     "op4_pii": pii.query,
     "op6_decontamination": decontam.query,
+    "op7_merkle_fingerprints": merkle.query,
+    "op9_token_counts": tokens.query,
     "op10_quality": quality.query,
 }
 
