@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, language, merkle, packing, pii, quality, tokens
+from . import ctw, decontam, language, merkle, packing, pii, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": pii.query,
     "op6_decontamination": decontam.query,
     "op7_merkle_fingerprints": merkle.query,
+    "op8_context_tree_lm": ctw.query,
     "op9_token_counts": tokens.query,
     "op10_quality": quality.query,
 }
