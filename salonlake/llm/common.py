@@ -126,7 +126,7 @@ def window_hash(words: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np
         if done >= k:
             return mix(h)
         powers = powers[:-spans] * bp + powers[spans:]
-        bp = bp * bp
+        bp = _U64(int(bp) ** 2 & 0xFFFFFFFFFFFFFFFF)
         spans *= 2
 
 

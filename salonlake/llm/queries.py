@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, language, merkle, packing, pii, quality, tokens
+from . import ctw, decontam, language, merkle, packing, pii, quality, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substrings.query,
     "op2_language_id": language.query,
     "op3_packing": packing.query,
     "op4_pii": pii.query,
