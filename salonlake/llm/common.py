@@ -47,6 +47,9 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark deletes a finished job's shuffle files only after the driver's JVM
+    # has collected its plan; at scale they would fill the executors' disks.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +69,16 @@ def keyed(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return staged(docs.select(F.monotonically_increasing_id().alias("_k"), *cols))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns under names that no operator uses."""
+    return docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns})
+
+
+def unwrapped(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in ``df``, which came from ``wrapped(docs)``."""
+    return df.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns))
+
+
 def held_out(id_col: str, mod: int, rest: int) -> Column:
     """crc32 of the id as text, modulo ``mod``, equals ``rest`` (a null id: no)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))

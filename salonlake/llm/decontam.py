@@ -242,9 +242,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max
                   max_coverage: float = 0.5, **kw) -> DataFrame:
     """``docs`` without the spans of ``max_span`` or more matching item words;
     documents of which more than ``max_coverage`` of the words are hit go."""
-    found = contamination(docs, items, text_col, window=max_span, **kw)
+    text = f"_doc_{text_col}"
+    found = contamination(common.wrapped(docs), items, text, window=max_span, **kw)
     kept = found.filter(F.col("n_hit") <= max_coverage * F.col("n_words"))
-    return kept.select(*(F.col("clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return common.unwrapped(kept.withColumn(text, F.col("clean")), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,14 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text)).drop("spans")
 
 
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its personal data replaced, whatever its columns' names."""
+    own = f"_doc_{id_col}"
+    rows = common.wrapped(docs)
+    rows = common.keyed(rows, own, *(c for c in rows.columns if c != own))
+    return common.unwrapped(redact(rows, f"_doc_{text_col}"), docs)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.keyed(common.documents(spark, sf_dir), "doc_id", "text")
     found = detect(docs)

@@ -229,6 +229,12 @@ def learnt(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Chain:
     return train(docs.filter(~common.held_out("doc_id", 4, 2)), common.documents(spark, sf_dir, "labels"))
 
 
+def good(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The documents that are not rejected."""
+    scores = score(common.wrapped(docs), chain, f"_doc_{text_col}")
+    return common.unwrapped(scores.filter(F.col("score") >= THRESHOLD), docs)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     chain = learnt(spark, docs, sf_dir)
