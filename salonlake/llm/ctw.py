@@ -36,7 +36,7 @@ from . import common
 
 DEPTH = 4
 #: Documents of one chunk as a power of two; runs of one group of families.
-CHUNK_BITS, FAMILY_RUNS = 12, 200_000
+CHUNK_BITS, FAMILY_RUNS = 13, 200_000
 #: Additive smoothing of the base score.
 ALPHA = 0.1
 #: Closes a text; no UTF-8 text holds this byte.
@@ -162,8 +162,8 @@ class Upper:
 
 
 def _tally(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their weights."""
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    """Distinct keys, in no order, and the sums of their weights."""
+    place, distinct = pd.factorize(np.concatenate(keys))
     return distinct, np.bincount(place, np.concatenate(weights), len(distinct)).astype(np.int64)
 
 
@@ -277,21 +277,24 @@ def _scorer(total: int, known: int, ends: int):  # noqa: ANN202
         learn = docs.column("learn").to_numpy().astype(np.float64)
         out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
         cuts = list(common.slices(texts))
-        split = [[t.split() for t in texts[a:b]] for a, b in cuts]
-        hashed = [words_of.of([w for ws in part for w in ws]).view(np.int64) for part in split]
-        sizes = [np.array([len(ws) for ws in part]) for part in split]
-        own = _tally([np.zeros(0, np.int64), *hashed],
-                     [np.zeros(0), *(np.repeat(learn[a:b], n) for (a, b), n in zip(cuts, sizes))])
-        c = own[1].astype(np.float64)
-        at, there = _look_up(count[0], own[0])
+        hashed, sizes = [], []
+        for a, b in cuts:
+            split = [t.split() for t in texts[a:b]]
+            hashed.append(words_of.of([w for ws in split for w in ws]).view(np.int64))
+            sizes.append(np.array([len(ws) for ws in split]))
+        own, n_own = _tally([np.zeros(0, np.int64), *hashed],
+                            [np.zeros(0), *(np.repeat(learn[a:b], n) for (a, b), n in zip(cuts, sizes))])
+        own, n_own = own[order := np.argsort(own)], n_own[order]
+        c = n_own.astype(np.float64)
+        at, there = _look_up(count[0], own)
         c[there] = count[1][at[there]]  # words that other chunks hold as well
         for (a, b), n, flat in zip(cuts, sizes, hashed):
             codes, length = runs(texts[a:b])
-            distinct, place = np.unique(codes, return_inverse=True)
+            place, distinct = pd.factorize(codes)
             p = price[1][np.searchsorted(price[0], distinct)][place]
             out["score"].append(np.add.reduceat(p, np.concatenate(([0], np.cumsum(length)[:-1]))))
             out["n_bytes"].append(length)
-            each, which = c[np.searchsorted(own[0], flat)], np.repeat(np.arange(b - a), n)
+            each, which = c[np.searchsorted(own, flat)], np.repeat(np.arange(b - a), n)
             out["base_score"].append(np.bincount(which, np.log10((each + ALPHA) / scale), b - a) + np.log10((ends + ALPHA) / scale))
             out["n_known"].append(np.bincount(which, each > 0, b - a).astype(np.int64) + (ends > 0))
             out["n_tokens"].append(n + 1)
