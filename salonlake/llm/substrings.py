@@ -43,6 +43,7 @@ WINDOW, ANCHOR = 35, 10
 CHUNK_BITS, PHRASES, STREAMED = 12, 1500, 20_000
 
 _SECOND = 0xD6E8FEB86659FD93
+_SINGLE = 1 << 62
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,39 +134,71 @@ def _signed(x: int) -> int:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w1, w2, n, single, f1, f2, at) of every window of the distinct fragments."""
+    """(w1, w2, n, x) of every window of the distinct fragments. ``x`` names one
+    place of it: whether its fragment occurs once, 56 bits of the fragment's
+    hash, and the window's number in the fragment."""
     words_of = common.WordHash()
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("phrase", "n", "f1", "f2")]
-        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for phrase, n, f1, f2 in zip(*cols):
-            words = words_of.of(phrase.split())
-            w1 = common.as_long(common.window_hash(words, WINDOW))
-            w2 = common.as_long(common.window_hash(words, WINDOW, _SECOND))
-            same = np.ones(len(w1), np.int64)
-            for part, v in zip(parts, (w1, w2, same * n, same * (n == 1), same * f1, same * f2, np.arange(len(w1)))):
-                part.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p or [np.empty(0, np.int64)])) for p in parts],
-                                         names=["w1", "w2", "n", "single", "f1", "f2", "at"])
+        split = [p.split() for p in batch.column("phrase").to_pylist()]
+        size = np.array([len(ws) for ws in split], np.int64)
+        words = words_of.of([w for ws in split for w in ws])
+        end = np.cumsum(size)
+        # Windows over all phrases end to end; those across an edge are left out.
+        at = np.arange(max(0, len(words) - WINDOW + 1))
+        row = np.searchsorted(end, at, side="right")
+        within = at + WINDOW <= end[row] if len(at) else np.zeros(0, bool)
+        at, row = at[within], row[within]
+        w1 = common.as_long(common.window_hash(words, WINDOW))[within]
+        w2 = common.as_long(common.window_hash(words, WINDOW, _SECOND))[within] >> 32
+        n, f1 = batch.column("n").to_numpy(), batch.column("f1").to_numpy()
+        x = ((f1 >> 7 & (1 << 56) - 1) << 6 | np.where(n == 1, _SINGLE, 0))[row] | (at - (end - size)[row])
+        yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2.astype(np.int32)), pa.array(np.minimum(n, 2)[row].astype(np.int32)),
+                                          pa.array(x)], names=["w1", "w2", "n", "x"])
 
 
 def _locate(streamed: pa.Table, phrases: pa.Table) -> pa.Table:
-    """(f1, f2, at): the windows of the streamed fragments in which a phrase of
-    the shard's automaton occurs."""
+    """(f1, f2, at): the windows of the streamed fragments in which a window of
+    a phrase occurs.
+
+    The words that all confirmed windows of a phrase share, its core, go into
+    the automaton; where a core occurs, the words on both sides tell which of
+    the phrase's windows do.
+    """
     ids: dict[bytes, int] = {}
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase, at in zip(phrases.column("phrase").to_pylist(), phrases.column("at").to_pylist()):
-        words = tuple(ids.setdefault(w, len(ids) + 1) for w in phrase.split())
-        for a in range(len(words) - WINDOW + 1) if at is None else at:
-            machine.add_word(words[a:a + WINDOW], 1)
+    cores: dict[tuple[int, ...], list[tuple[tuple[int, ...], int, int, frozenset[int]]]] = {}
+    for phrase, at, w1 in zip(*(phrases.column(c).to_pylist() for c in ("phrase", "at", "w1"))):
+        split = phrase.split()
+        words = tuple(ids.setdefault(w, len(ids) + 1) for w in split)
+        if at is None:
+            sure = range(len(words) - WINDOW + 1)
+        else:  # a place's hash bits may be another fragment's: its window's hash decides
+            own = common.as_long(common.window_hash(common.WordHash().of(split), WINDOW))
+            sure = [a for a, h in zip(at, w1) if a < len(own) and own[a] == h]
+        if len(sure):
+            low, high = max(sure), min(sure) + WINDOW
+            cores.setdefault(words[low:high], []).append((words, low, high, frozenset(sure)))
+    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for core, found in cores.items():
+        machine.add_word(core, (len(core), found))
     out: list[list] = [[], [], []]
     if len(machine):
         machine.make_automaton()
         for f1, f2, phrase in zip(*(streamed.column(c).to_pylist() for c in ("f1", "f2", "phrase"))):
             words = tuple(ids.get(w, 0) for w in phrase.split())
-            found = [end - WINDOW + 1 for end, _ in machine.iter(words)]
-            if found:
-                for col, v in zip(out, (f1, f2, found)):
+            starts: set[int] = set()
+            for last, (size, found) in machine.iter(words):
+                end = last + 1
+                for known, low, high, sure in found:
+                    shift = end - high  # the phrase's first word, were it all there
+                    left = low
+                    while left and shift + left > 0 and known[left - 1] == words[shift + left - 1]:
+                        left -= 1
+                    right = high
+                    while right < len(known) and shift + right < len(words) and known[right] == words[shift + right]:
+                        right += 1
+                    starts.update(shift + a for a in range(left, right - WINDOW + 1) if a in sure)
+            if starts:
+                for col, v in zip(out, (f1, f2, sorted(starts))):
                     col.append(v)
     return pa.table({"f1": pa.array(out[0], pa.int64()), "f2": pa.array(out[1], pa.int64()),
                      "at": pa.array(out[2], pa.list_(pa.int64()))})
@@ -175,7 +208,7 @@ def _sharded(distinct: DataFrame, phrases: DataFrame) -> DataFrame:
     """Occurrences of ``phrases`` in the ``distinct`` fragments."""
     shards = max(1, -(-phrases.count() // PHRASES))
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")
-    asked, held = distinct.select(shard, "f1", "f2", "phrase"), phrases.select(shard, "f1", "phrase", "at")
+    asked, held = distinct.select(shard, "f1", "f2", "phrase"), phrases.select(shard, "f1", "phrase", "at", "w1")
     size = (asked.select("shard", F.lit(1).alias("s"), F.lit(0).alias("p")).unionByName(
         held.select("shard", F.lit(0).alias("s"), F.lit(1).alias("p"))).groupBy("shard").agg(F.sum("s").alias("s"), F.sum("p").alias("p"))
         .filter("p > 0").select("shard", F.ceil(F.col("s") / STREAMED).alias("salts"), F.ceil(F.col("p") / PHRASES).alias("cuts")))
@@ -185,7 +218,7 @@ def _sharded(distinct: DataFrame, phrases: DataFrame) -> DataFrame:
                                            F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("salts", F.lit(1)) - 1)).alias("salt"))
     part = ("shard", "cut", "salt")
     return asked.select(*part, "f1", "f2", "phrase").groupBy(*part).cogroup(
-        held.select(*part, "phrase", "at").groupBy(*part)).applyInArrow(_locate, "f1 long, f2 long, at array<bigint>")
+        held.select(*part, "phrase", "at", "w1").groupBy(*part)).applyInArrow(_locate, "f1 long, f2 long, at array<bigint>")
 
 
 def _clean(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -212,15 +245,18 @@ def occurrences(marked: DataFrame) -> DataFrame:
         _fragments, "_k long, first long, h long, f1 long, f2 long, phrase binary")
     distinct = common.staged(found.groupBy("f1", "f2").agg(
         F.count(F.lit(1)).alias("n"), F.first("h").alias("h"), F.first("phrase").alias("phrase")))
-    windows = distinct.mapInArrow(_windows, "w1 long, w2 long, n long, single long, f1 long, f2 long, at long")
+    windows = distinct.select("phrase", "n", "f1").mapInArrow(_windows, "w1 long, w2 int, n int, x long")
     # A confirmed window is compiled from one fragment that holds it, at best
     # one that recurs as a whole, whose windows are all compiled anyway.
-    sure = (windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min(F.struct("single", "f1", "f2", "at")).alias("x"))
-            .filter("n > 1 and x.single = 1").select("x.f1", "x.f2", "x.at"))
-    partly = sure.groupBy("f1", "f2").agg(F.collect_list("at").alias("at"))
+    sure = (windows.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("x").alias("x"))
+            .filter((F.col("n") > 1) & (F.col("x").bitwiseAND(F.lit(_SINGLE)) != 0)))
+    partly = sure.groupBy(F.shiftright("x", 6).bitwiseAND(F.lit((1 << 56) - 1)).alias("f")).agg(
+        F.collect_list(F.struct(F.col("x").bitwiseAND(F.lit(63)).alias("at"), "w1")).alias("s"))
+    none = F.lit(None).cast("array<bigint>")
+    single = distinct.filter("n = 1").withColumn("f", F.shiftright("f1", 7).bitwiseAND(F.lit((1 << 56) - 1)))
     phrases = common.staged(
-        distinct.filter("n > 1").select("h", "f1", "phrase", F.lit(None).cast("array<bigint>").alias("at"))
-        .unionByName(distinct.join(partly, ["f1", "f2"]).select("h", "f1", "phrase", "at")))
+        distinct.filter("n > 1").select("h", "f1", "phrase", none.alias("at"), none.alias("w1"))
+        .unionByName(single.join(partly, "f").select("h", "f1", "phrase", F.col("s.at").alias("at"), F.col("s.w1").alias("w1"))))
     hits = _sharded(distinct, phrases)
     placed = found.select("_k", "first", "f1", "f2").join(hits, ["f1", "f2"])
     starts = placed.select("_k", F.transform("at", lambda a: a + F.col("first")).alias("s"))
