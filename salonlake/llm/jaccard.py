@@ -46,7 +46,7 @@ from . import common
 SHINGLE, PERCENT = 5, 80
 SKETCH, SKETCH_T, LONG = 64, 16, 40
 #: Entries of one block of a list, and postings of one task.
-BLOCK, BUCKET = 400, 50_000
+BLOCK, BUCKET = 400, 4_000
 
 _UPPER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
