@@ -82,8 +82,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` with ``next``: the text of the next row in falling order of the
     id, of the first row for the last."""
     spark = docs.sparkSession
-    rows = common.keyed(docs, id_col, *(c for c in docs.columns if c != id_col))
-    rows = rows.withColumn("_o", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
+    own = f"_doc_{id_col}"
+    rows = common.wrapped(docs)
+    rows = common.keyed(rows, own, *(c for c in rows.columns if c != own))
+    rows = rows.withColumn("_o", F.coalesce(F.col(own).cast("long"), F.lit(-(1 << 63))))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.agg(F.max("_o").alias("top"), F.percentile_approx("_o", [i / n for i in range(1, n)], 100 * n).alias("at")).first()
     bounds = sorted({cut.top, *cut.at}, reverse=True) if cut.top is not None else [0]
@@ -101,8 +103,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.array(F.struct(F.col("_s").alias("s"), F.lit(0).alias("ghost"))))
     dealt = rows.withColumn("_to", F.explode(sent))
     w = Window.partitionBy("_to.s").orderBy("_to.ghost", F.desc("_o"), F.desc("_k"))
-    led = dealt.withColumn("next", F.lead(F.coalesce(F.col(text_col), F.lit(""))).over(w)).filter("_to.ghost = 0")
-    return led.select(*docs.columns, "next")
+    led = dealt.withColumn("_next", F.lead(F.coalesce(F.col(f"_doc_{text_col}"), F.lit(""))).over(w)).filter("_to.ghost = 0")
+    return led.select(*(F.col(f"_doc_{c}").alias(c) for c in docs.columns), F.col("_next").alias("next"))
 
 
 def _long(x: int) -> Column:
