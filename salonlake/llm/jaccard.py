@@ -4,24 +4,25 @@ A text's set holds the hashes of its five-word shingles. Texts with equal sets
 fold into one class first, so thousands of copies are one record. Two classes
 are linked when their sets' Jaccard coefficient is at least 0.8.
 
-1. Search lists: a class is listed under the ``SKETCH`` least hashes of its set
-   (a smaller set: all of them). If two sets are linked, each of the least
-   ``SKETCH`` hashes of their union is shared with probability 0.8 or more, and
-   a shared one is among the least of both sets; fewer than ``SKETCH_T`` of 64
-   are shared with probability below 1e-19 (as certain as the 64-bit hashes
-   themselves). Smaller sets need the exact share of all their hashes. So a
-   link is a T-occurrence: a class that stands in at least T of the lists.
-2. DivideSkip: of a class's lists the longest, at most T - 1 of those above
-   ``LONG`` entries, are skipped. The shortest list of a link is skipped by
-   neither side, so the pair still meets in a short one; what the skipped lists
-   may add is allowed for in T, and they are probed for the survivors.
-3. In every list each class is first tried with the list's least class: one
+1. Least hashes: of two linked sets each of the least k hashes of the union is
+   shared with probability 0.8 or more, and a shared one is among the least k of
+   both sets. For (k, T) of ``SCREEN`` and of ``SEARCH`` fewer than T are shared
+   with probability below 1e-19 (as certain as the 64-bit hashes themselves).
+   Smaller sets are listed whole and need the exact share of their hashes.
+   So a link is a T-occurrence: a class stands in at least T of the lists.
+2. The screen keeps classes of which T of the least hashes recur at all; only
+   those are searched, with four times as many hashes.
+3. DivideSkip: the T - 1 longest lists of a class are skipped. The shortest list
+   of a link is skipped by neither side, so the pair still meets there.
+4. In every list each class is first tried with the list's least class: one
    candidate per class, the most frequent. Linked ones are joined to components.
-   Only then are the remaining pairs of a list generated, those whose classes
-   are not yet in one component, merged and counted, and kept from T on.
-4. Survivors are verified with the full sets, made again from the texts.
+5. Lists that still hold two components are gathered by their least class and
+   cut into pairs of class blocks, so that a task holds a bounded number of
+   classes. There the short lists are merged to the pairs that occur, and these
+   are probed, by binary search, for their other hashes. Pairs that reach T go
+   on; of the links among sets that are listed whole only a spanning forest does.
+6. Survivors are verified with the full sets, made again from the texts.
 
-Lists that stay long are cut into blocks whose pairs are spread over tasks.
 Links are only followed to components; no pair inside a component is needed.
 
 Defined results: a text with one to four words has one shingle, all its words;
@@ -33,6 +34,7 @@ has another id); an empty table gives an empty table.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +46,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common
 
 SHINGLE, PERCENT = 5, 80
-SKETCH, SKETCH_T, LONG = 64, 16, 40
-#: Entries of one block of a list, and postings of one task.
-BLOCK, BUCKET = 400, 4_000
+#: Least hashes of a set, and how many of them a link shares at least.
+SCREEN, SEARCH = (64, 16), (256, 138)
+#: Classes of one block, list entries of one task, and occurrences of pairs up
+#: to which lists are merged by a heap rather than by a product of matrices.
+BLOCK, BUCKET, HEAP = 400, 20_000, 20_000
 
 _UPPER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -67,32 +71,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingles(text, words_of)
             n.append(len(s))
             cls.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None)
-            sketch.append(s[:SKETCH].view(np.int64))
+            sketch.append(s[:SCREEN[0]].view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
                                           pa.array(sketch, pa.list_(pa.int64()))], names=["_k", "n", "cls", "sketch"])
 
 
-def _allowed(n: Column) -> Column:
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words_of = common.WordHash()
+    for batch in batches:
+        sets = [shingles(text, words_of) for text in common.text_bytes(batch.column("t"))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("cls"), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([np.sort(s[:SEARCH[0]].view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["cls", "n", "sketch"])
+
+
+def _allowed(n: Column, least: tuple[int, int]) -> Column:
     """Lists that a class may skip: one less than its least T."""
     # All partners of a set this small are listed whole, like itself, and have
     # at least 0.8 n of its hashes in common.
-    return F.when(n * 100 < SKETCH * PERCENT, F.ceil(n * PERCENT / 100)).otherwise(SKETCH_T) - 1
+    size, t = least
+    return F.when(n * 100 < size * PERCENT, F.ceil(n * PERCENT / 100)).otherwise(t).cast("int") - 1
 
 
-def lists(classes: DataFrame) -> DataFrame:
-    """(token, cls, n, skipped, df): the lists' entries after DivideSkip; a
-    class appears only if it stands in T recurring lists."""
+def recurring(classes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(cls, n, x): the classes with T recurring hashes; x holds those hashes
+    as (df, token), the shortest lists first."""
     each = classes.select("cls", "n", F.explode("sketch").alias("token")).repartition("token")
     counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    recurring = each.join(counts, "token").groupBy("cls", "n").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("d"), "token"))).alias("x"))
-    allowed = _allowed(F.col("n"))
-    able = recurring.filter(F.size("x") > allowed)
-    # x is sorted by falling df: the first entries are the longest lists.
-    long = F.least(F.size(F.filter("x", lambda e: -e["d"] > LONG)), allowed.cast("int"))
-    able = able.withColumn("skipped", long).withColumn("x", F.slice("x", F.col("skipped") + 1, F.size("x")))
-    return able.select("cls", "n", "skipped", F.explode("x").alias("e")).select(
-        F.col("e.token").alias("token"), "cls", "n", "skipped", (-F.col("e.d")).alias("df"))
+    held = each.join(counts, "token").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"))
+    return held.filter(F.size("x") > _allowed(F.col("n"), least))
+
+
+def lists(classes: DataFrame) -> DataFrame:
+    """(token, cls, n): the lists' entries after DivideSkip."""
+    able = recurring(classes, SEARCH)
+    short = F.slice("x", F.lit(1), F.size("x") - _allowed(F.col("n"), SEARCH))
+    return able.select("cls", "n", F.explode(short).alias("e")).select("e.token", "cls", "n")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -108,60 +122,95 @@ def hubs(entries: DataFrame) -> DataFrame:
     return votes.groupBy("cls").agg(F.max(F.struct("v", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("cls").alias("b"))
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one group of list blocks whose components differ.
-
-    Entries come sorted by token; a block pairs its entries with themselves or
-    with those of another block of the same list. The heap-merged occurrences
-    of every pair are counted here and summed by Spark across groups.
-    """
-    merged: list[Iterator[tuple[int, int]]] = []
-    for _, x in rows.groupby(["token", "left", "right"], sort=False):
-        one, two = x[x["side"] == 0], x[x["side"] == 1]
-        two = one if len(two) == 0 else two
-        cls, n, comp = (one[c].to_numpy() for c in ("cls", "n", "comp"))
-        cls2, n2, comp2 = (two[c].to_numpy() for c in ("cls", "n", "comp"))
-        fit = (comp[:, None] != comp2) & (100 * np.minimum(n[:, None], n2) >= PERCENT * np.maximum(n[:, None], n2))
-        if two is one:
-            fit &= cls[:, None] < cls2
-        i, j = np.nonzero(fit)
-        low, high = np.minimum(cls[i], cls2[j]), np.maximum(cls[i], cls2[j])
-        order = np.lexsort((high, low))
-        merged.append(zip(low[order].tolist(), high[order].tolist()))
-    out: list[list[int]] = [[], [], []]
-    last = None
-    for pair in heapq.merge(*merged):
-        if pair == last:
-            out[2][-1] += 1
-        else:
-            last = pair
-            for col, v in zip(out, (*pair, 1)):
-                col.append(v)
-    return pd.DataFrame({"a": np.array(out[0], np.int64), "b": np.array(out[1], np.int64), "c": np.array(out[2], np.int64)})
-
-
-def occurring(entries: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that can occur T times."""
+def _short(tokens: np.ndarray, one: np.ndarray, two: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (i in block one, j in block two) that stand in one of the
+    lists; ``one`` and ``two`` hold the entries' places, -1 outside the block."""
+    order = np.argsort(tokens, kind="stable")
+    edges = np.flatnonzero(np.diff(tokens[order])) + 1
+    parts = [(x[x >= 0], y[y >= 0]) for x, y in zip(np.split(one[order], edges), np.split(two[order], edges))]
+    if sum(len(x) * len(y) for x, y in parts) <= HEAP:
+        codes = (sorted(i * classes + j for i in x.tolist() for j in y.tolist()) for x, y in parts)
+        found = np.array([code for code, _ in itertools.groupby(heapq.merge(*codes))], np.int64)
+        return found // classes, found % classes
+    sides = [np.zeros((classes, len(parts)), np.float32) for _ in range(2)]
+    for t, (x, y) in enumerate(parts):
+        sides[0][x, t] = 1
+        sides[1][y, t] = 1
+    return np.nonzero(sides[0] @ sides[1].T)
+
+
+def _probe(rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components that reach T, of some pairs of blocks."""
+    held = dict(zip(sets["cls"].tolist(), sets["sketch"].tolist()))
+    out: list[list[int]] = [[], []]
+    for _, x in rows.groupby(["head", "left", "right"], sort=False):
+        same = bool((x["left"] == x["right"]).iloc[0])
+        ids, place = np.unique(x["cls"].to_numpy(), return_inverse=True)
+        where = np.empty(len(ids), np.int64)
+        where[place] = np.arange(len(x))
+        n, comp = x["n"].to_numpy()[where], x["comp"].to_numpy()[where]
+        in_one = x["side"].to_numpy() == 0
+        one, two = np.where(in_one, place, -1), np.where(~in_one | same, place, -1)
+        i, j = _short(x["token"].to_numpy(), one, two, len(ids))
+        fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        if same:
+            fit &= i < j
+        i, j = i[fit], j[fit]
+        up = {int(c): int(c) for c in np.unique(comp)}
+        maybe = []
+        for a in np.unique(i).tolist():
+            of = j[i == a]
+            own = held[int(ids[a])]
+            others = [held[int(ids[b])] for b in of.tolist()]
+            flat = np.concatenate(others)
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            ends = np.cumsum([len(o) for o in others])
+            hits = np.concatenate(([0], np.cumsum(own[at] == flat)))[np.concatenate(([0], ends))]
+            hits = np.diff(hits)
+            whole = (n[a] <= SEARCH[0]) & (n[of] <= SEARCH[0])
+            reach = np.where(whole, 100 * hits >= PERCENT * (n[a] + n[of] - hits), hits >= SEARCH[1])
+            for b, sure in zip(of[reach].tolist(), whole[reach].tolist()):
+                if not sure:
+                    maybe.append((a, b))
+                elif (p := _root(up, int(comp[a]))) != (q := _root(up, int(comp[b]))):
+                    up[p] = q
+                    out[0].append(int(ids[a]))
+                    out[1].append(int(ids[b]))
+        for a, b in maybe:
+            if _root(up, int(comp[a])) != _root(up, int(comp[b])):
+                out[0].append(int(ids[a]))
+                out[1].append(int(ids[b]))
+    low, high = np.minimum(*map(np.array, out)), np.maximum(*map(np.array, out))
+    return pd.DataFrame({"a": low.astype(np.int64), "b": high.astype(np.int64)})
+
+
+def _root(up: dict[int, int], x: int) -> int:
+    while up[x] != x:
+        up[x] = x = up[up[x]]
+    return x
+
+
+def occurring(entries: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that occur T times, ``classes``
+    (cls, n, sketch) with their least hashes."""
     named = entries.join(component.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = named.repartition("token")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high")
-    kept = common.staged(named.join(mixed.select("token", "m"), "token"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    kept = kept.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    mixed = (named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cls").alias("head"))
+             .filter("low <> high").select("token", "head"))
+    kept = common.staged(named.join(mixed, "token"))
+    blocks = (kept.select("head", "cls").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("m"))
+              .select("head", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    kept = kept.join(blocks, "head").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # Every entry goes to the pairs of blocks (left <= right) that hold its own.
     kept = kept.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     kept = (kept.withColumn("left", F.least("own", "o")).withColumn("right", F.greatest("own", "o"))
             .withColumn("side", (F.col("own") > F.col("o")).cast("int")))
     groups = max(1, -(-kept.count() // BUCKET))
-    dealt = kept.withColumn("_g", F.pmod(F.xxhash64("token", "left", "right"), F.lit(groups)))
-    counted = dealt.select("_g", "token", "left", "right", "side", "cls", "n", "comp").groupBy("_g").applyInPandas(
-        _merge, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    # T less what skipped lists can add: only what either side has skipped.
-    sides = entries.groupBy("cls").agg(F.first("n").alias("n"), F.first("skipped").alias("s"))
-    both = (counted.join(sides.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
-            .join(sides.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b"))
-    least = F.least(_allowed(F.col("na")), _allowed(F.col("nb"))) + 1
-    return both.filter(F.col("c") + F.col("sa") + F.col("sb") >= least).select("a", "b")
+    dealt = kept.select(F.pmod(F.xxhash64("head", "left", "right"), F.lit(groups)).alias("_g"),
+                        "head", "left", "right", "side", "token", "cls", "n", "comp")
+    asked = dealt.select(F.col("_g").alias("_h"), "cls").distinct()
+    sets = classes.select("cls", "sketch").join(asked, "cls").select(F.col("_h").alias("_g"), "cls", "sketch")
+    return dealt.groupBy("_g").cogroup(sets.groupBy("_g")).applyInPandas(_probe, "a long, b long").distinct()
 
 
 def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -229,12 +278,12 @@ def classed(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFra
         _sets, "_k long, n long, cls long, sketch array<bigint>"))
     # One document speaks for each class; its text is the class's.
     first = sets.filter("cls is not null").groupBy("cls").agg(F.min("_k").alias("_k"))
-    classes = sets.join(first.select("_k"), "_k", "left_semi")
+    able = recurring(sets.join(first.select("_k"), "_k", "left_semi"), SCREEN).select("cls")
+    texts = common.staged(docs.select("_k", F.col(text_col).cast("binary").alias("t")).join(first.join(able, "cls"), "_k").select("cls", "t"))
+    classes = common.staged(texts.mapInArrow(_searched, "cls long, n long, sketch array<bigint>"))
     entries = common.staged(lists(classes))
-    needed_texts = entries.select("cls").distinct().join(first, "cls")
-    texts = common.staged(docs.select("_k", F.col(text_col).cast("binary").alias("t")).join(needed_texts, "_k").select("cls", "t"))
     links = verified(hubs(entries), texts)
-    rest = verified(occurring(entries, components(links)), texts)
+    rest = verified(occurring(entries, components(links), classes), texts)
     return sets.select("_k", "n", "cls"), links.union(rest)
 
 
