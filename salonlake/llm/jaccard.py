@@ -6,8 +6,8 @@ are linked when their sets' Jaccard coefficient is at least 0.8.
 
 1. Least hashes: of two linked sets each of the least k hashes of the union is
    shared with probability 0.8 or more, and a shared one is among the least k of
-   both sets. For (k, T) of ``SCREEN`` and of ``SEARCH`` fewer than T are shared
-   with probability below 1e-19 (as certain as the 64-bit hashes themselves).
+   both sets. For (k, T) of ``SCREEN``, ``SEARCH`` and ``PROBE`` fewer than T are
+   shared with probability below 1e-18 (as certain as the 64-bit hashes themselves).
    Smaller sets are listed whole and need the exact share of their hashes.
    So a link is a T-occurrence: a class stands in at least T of the lists.
 2. The screen keeps classes of which T of the least hashes recur at all; only
@@ -20,7 +20,7 @@ are linked when their sets' Jaccard coefficient is at least 0.8.
    cut into pairs of class blocks, so that a task holds a bounded number of
    classes. There the short lists are merged to the pairs that occur, and these
    are probed, by binary search, for their other hashes. Pairs that reach T go
-   on; of the links among sets that are listed whole only a spanning forest does.
+   on; of the links among sets that are probed whole only a spanning forest does.
 6. Survivors are verified with the full sets, made again from the texts.
 
 Links are only followed to components; no pair inside a component is needed.
@@ -47,7 +47,7 @@ from . import common
 
 SHINGLE, PERCENT = 5, 80
 #: Least hashes of a set, and how many of them a link shares at least.
-SCREEN, SEARCH = (64, 16), (256, 138)
+SCREEN, SEARCH, PROBE = (64, 16), (256, 138), (1024, 691)
 #: Classes of one block, list entries of one task, and occurrences of pairs up
 #: to which lists are merged by a heap rather than by a product of matrices.
 BLOCK, BUCKET, HEAP = 400, 20_000, 20_000
@@ -82,7 +82,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(text, words_of) for text in common.text_bytes(batch.column("t"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("cls"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array([np.sort(s[:SEARCH[0]].view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["cls", "n", "sketch"])
+             pa.array([np.sort(s.view(np.int64))[:PROBE[0]] for s in sets], pa.list_(pa.int64()))], names=["cls", "n", "sketch"])
 
 
 def _allowed(n: Column, least: tuple[int, int]) -> Column:
@@ -104,7 +104,7 @@ def recurring(classes: DataFrame, least: tuple[int, int]) -> DataFrame:
 
 def lists(classes: DataFrame) -> DataFrame:
     """(token, cls, n): the lists' entries after DivideSkip."""
-    able = recurring(classes, SEARCH)
+    able = recurring(classes.withColumn("sketch", F.slice("sketch", 1, SEARCH[0])), SEARCH)
     short = F.slice("x", F.lit(1), F.size("x") - _allowed(F.col("n"), SEARCH))
     return able.select("cls", "n", F.explode(short).alias("e")).select("e.token", "cls", "n")
 
@@ -164,11 +164,17 @@ def _probe(rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             others = [held[int(ids[b])] for b in of.tolist()]
             flat = np.concatenate(others)
             at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            ends = np.cumsum([len(o) for o in others])
-            hits = np.concatenate(([0], np.cumsum(own[at] == flat)))[np.concatenate(([0], ends))]
-            hits = np.diff(hits)
-            whole = (n[a] <= SEARCH[0]) & (n[of] <= SEARCH[0])
-            reach = np.where(whole, 100 * hits >= PERCENT * (n[a] + n[of] - hits), hits >= SEARCH[1])
+            size = np.array([len(o) for o in others])
+            edge = np.concatenate(([0], np.cumsum(size)))
+            hit = own[at] == flat
+            before = np.concatenate(([0], np.cumsum(hit)))
+            hits = np.diff(before[edge])
+            # A shared hash's rank in the union: its places, shared ones once.
+            start = np.repeat(edge[:-1], size)
+            rank = at + np.arange(len(flat)) - start - (before[:-1] - before[start])
+            least = np.diff(np.concatenate(([0], np.cumsum(hit & (rank < PROBE[0]))))[edge])
+            whole = (n[a] <= PROBE[0]) & (n[of] <= PROBE[0])
+            reach = np.where(whole, 100 * hits >= PERCENT * (n[a] + n[of] - hits), least >= PROBE[1])
             for b, sure in zip(of[reach].tolist(), whole[reach].tolist()):
                 if not sure:
                     maybe.append((a, b))
