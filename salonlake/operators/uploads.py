@@ -19,13 +19,15 @@ def check_uploads(manifest: DataFrame, has_bucket: bool = True, has_kv: bool = F
     (bucket / kv / NULL) and the stored ``file_key`` kind-id-millis.ext."""
     kind, mime, size = F.col("kind"), F.col("mime"), F.col("size_bytes")
     avatar, receipt = kind == "avatar", kind == "receipt"
+    # An unknown kind, type or size never passes.
+    in_types = F.coalesce(F.when(avatar, mime.isin(*AVATAR_TYPES)).when(receipt, mime.isin(*RECEIPT_TYPES)), F.lit(False))
     reason = (F.when(F.col("file_name").isNull(), F.lit("missing_file"))
                .when(receipt & F.col("transaction_id").isNull(), F.lit("missing_transaction"))
-               .when(avatar & ~mime.isin(*AVATAR_TYPES), F.lit("bad_type"))
-               .when(receipt & ~mime.isin(*RECEIPT_TYPES), F.lit("bad_type"))
+               .when(~F.coalesce(avatar | receipt, F.lit(False)), F.lit("unknown_kind"))
+               .when(~in_types, F.lit("bad_type"))
+               .when(size.isNull(), F.lit("unknown_size"))
                .when(avatar & (size > AVATAR_MAX_BYTES), F.lit("too_large"))
-               .when(receipt & (size > RECEIPT_MAX_BYTES), F.lit("too_large"))
-               .when(~avatar & ~receipt, F.lit("unknown_kind")))
+               .when(receipt & (size > RECEIPT_MAX_BYTES), F.lit("too_large")))
     if has_bucket:
         target = F.lit("bucket")
     elif has_kv:

@@ -122,16 +122,7 @@ def soft_delete(snapshot: DataFrame, deletes: DataFrame, by_col: str = "deleted_
          .withColumnRenamed("id", "_did"))
     j = snapshot.join(d, snapshot["id"] == d["_did"], "left")
     hit = F.col("_did").isNotNull()
-    keep = [c for c in snapshot.columns if c not in (by_col, at_col)]
-
-    def merged(new: str, col: str):
-        if col not in snapshot.columns:
-            return F.col(new).alias(col)
-        return F.coalesce(F.col(new).cast(snapshot.schema[col].dataType), F.col(col)).alias(col)
-
-    return j.select(*[F.when(hit, F.lit(0)).otherwise(F.col(c)).alias(c) if c == "is_active"
-                      else F.col(c) for c in keep],
-                    merged("_by", by_col), merged("_at", at_col))
+    return _marked(j, snapshot, {by_col: "_by", at_col: "_at"}, is_active=F.when(hit, F.lit(0)).otherwise(F.col("is_active")))
 
 
 def cancel_appointments(appointments: DataFrame, cancels: DataFrame) -> DataFrame:
@@ -141,9 +132,24 @@ def cancel_appointments(appointments: DataFrame, cancels: DataFrame) -> DataFram
          .withColumnRenamed("id", "_did"))
     j = appointments.join(d, appointments["id"] == d["_did"], "left")
     hit = F.col("_did").isNotNull()
-    return j.select(*[F.when(hit, F.lit("cancelled")).otherwise(F.col(c)).alias(c)
-                      if c == "status" else F.col(c) for c in appointments.columns],
-                    F.col("_by").alias("cancelled_by"), F.col("_at").alias("cancelled_at"))
+    return _marked(j, appointments, {"cancelled_by": "_by", "cancelled_at": "_at"},
+                   status=F.when(hit, F.lit("cancelled")).otherwise(F.col("status")))
+
+
+def _marked(j: DataFrame, snapshot: DataFrame, who: dict[str, str], **changed) -> DataFrame:
+    """Columns of ``snapshot`` with the ``changed`` ones, and who/when columns
+    that keep earlier values of rows without a request. ``updated_at``, where
+    the snapshot has it, follows the request's time."""
+    if "updated_at" in snapshot.columns:
+        who = {**who, "updated_at": "_at"}
+
+    def merged(new: str, col: str):
+        if col not in snapshot.columns:
+            return F.col(new).alias(col)
+        return F.coalesce(F.col(new).cast(snapshot.schema[col].dataType), F.col(col)).alias(col)
+
+    return j.select(*[changed.get(c, F.col(c)).alias(c) for c in snapshot.columns if c not in who],
+                    *[merged(new, col) for col, new in who.items()])
 
 
 def hard_delete(snapshot: DataFrame, deletes: DataFrame) -> DataFrame:

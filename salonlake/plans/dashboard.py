@@ -42,22 +42,26 @@ def dashboard_stats(t, as_of: dt.date) -> DataFrame:
         F.lit(month.end).alias("month_end"))
 
 
-def _nest(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    df = decimals_to_double(df)
-    return df.agg(F.sort_array(F.collect_list(F.struct(*order, *[
-        c for c in df.columns if c not in order]))).alias(name))
+def _nest(df: DataFrame, *rank) -> DataFrame:
+    """The rows as one array in the order of ``rank``, whose keys are not part
+    of the elements."""
+    keys = [k.alias(f"_r{i}") for i, k in enumerate(rank)]
+    rows = decimals_to_double(df)
+    ordered = F.sort_array(F.collect_list(F.struct(*keys, F.struct(*rows.columns).alias("row"))))
+    return rows.agg(F.transform(ordered, lambda e: e["row"]).alias("x"))
 
 
 def dashboard(t, as_of: dt.date) -> DataFrame:
-    """Statistics plus the recent/top lists, as one row."""
+    """Statistics plus the recent/top lists in their listed order, as one row."""
     month = Period.month_of(as_of)
     stats = dashboard_stats(t, as_of)
-    recent_a = listings.recent_appointments(t, as_of, RECENT_ROWS).withColumn(
-        "_k", -F.col("id"))
+    by_id = F.col("id")
+    spent, created = F.col("total_spent"), F.unix_micros(F.col("created_at").cast("timestamp"))
     lists = {
-        "recent_appointments": _nest(recent_a, "x", ["_k"]),
-        "recent_transactions": _nest(listings.recent_transactions(t, RECENT_ROWS), "x", ["id"]),
-        "top_services": _nest(rollups.top_services(t, month, TOP_ROWS), "x", ["id"]),
-        "top_customers": _nest(rollups.top_customers(t, month, TOP_ROWS), "x", ["id"]),
+        "recent_appointments": _nest(listings.recent_appointments(t, as_of, RECENT_ROWS),
+                                     -F.unix_date("appointment_date"), -by_id),
+        "recent_transactions": _nest(listings.recent_transactions(t, RECENT_ROWS), created.isNull(), -created, -by_id),
+        "top_services": _nest(rollups.top_services(t, month, TOP_ROWS), -F.col("count"), by_id),
+        "top_customers": _nest(rollups.top_customers(t, month, TOP_ROWS), spent.isNull(), -spent, by_id),
     }
     return stats.select("*", *[df.scalar().alias(n) for n, df in lists.items()])

@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from salonlake.operators import entities, uploads, writes
-from salonlake.params import AS_OF
+from salonlake.operators import entities, listings, rollups, uploads, writes
+from salonlake.params import AS_OF, Period
 from salonlake.plans.dashboard import dashboard
 from salonlake.sources import batches
 from salonlake.sources.fixtures import load_tables
@@ -66,6 +66,40 @@ def test_dashboard_one_row(spark):
     r = rows[0]
     assert r.month_start == dt.date(1998, 6, 1) and r.month_end == dt.date(1998, 6, 30)
     assert len(r.recent_transactions) == 10 and len(r.top_services) <= 5
+    for name, listed in (("recent_appointments", listings.recent_appointments(t, AS_OF)),
+                         ("recent_transactions", listings.recent_transactions(t)),
+                         ("top_services", rollups.top_services(t, Period.month_of(AS_OF), 5)),
+                         ("top_customers", rollups.top_customers(t, Period.month_of(AS_OF), 5))):
+        rows = r[name]
+        order = {"recent_appointments": lambda x: (x["appointment_date"], x["id"]),
+                 "recent_transactions": lambda x: (str(x["created_at"] or ""), x["id"]),
+                 "top_services": lambda x: (x["count"], -x["id"]),
+                 "top_customers": lambda x: (x["total_spent"] is not None, x["total_spent"] or 0, -x["id"])}[name]
+        assert [x["id"] for x in rows] == [x["id"] for x in sorted(listed.collect(), key=order, reverse=True)]
+        assert set(rows[0].asDict()) == set(listed.columns) if rows else True
+
+
+def test_cancel_and_delete_keep_earlier_marks(spark):
+    stored = spark.createDataFrame([(1, "pending", 7, "2024-01-01", "u", 1), (2, "cancelled", 8, "2024-01-02", "v", 1)],
+                                   "id long, status string, cancelled_by long, cancelled_at string, updated_at string, is_active int")
+    asked = spark.createDataFrame([(5, 9, "2024-02-02", 1)], "request_seq long, actor_id long, now string, id long")
+    got = {r.id: r for r in writes.cancel_appointments(stored, asked).collect()}
+    assert sorted(got[1].asDict()) == sorted(stored.columns)
+    assert (got[1].status, got[1].cancelled_by, got[1].cancelled_at, got[1].updated_at) == ("cancelled", 9, "2024-02-02", "2024-02-02")
+    assert (got[2].cancelled_by, got[2].cancelled_at, got[2].updated_at) == (8, "2024-01-02", "v")
+    gone = {r.id: r for r in writes.soft_delete(stored, asked).collect()}
+    assert (gone[1].is_active, gone[1].deleted_by, gone[1].updated_at) == (0, 9, "2024-02-02")
+    assert (gone[2].is_active, gone[2].deleted_by, gone[2].updated_at) == (1, None, "v")
+
+
+def test_uploads_reject_unknown_values(spark):
+    m = spark.createDataFrame([
+        (1, None, "a.png", "image/png", 5, 3, None, 1), (2, "avatar", "a.png", None, 5, 3, None, 1),
+        (3, "avatar", "a.png", "image/png", None, 3, None, 1), (4, "avatar", "a.png", "image/png", 5, 3, None, 1)],
+        "upload_id long, kind string, file_name string, mime string, size_bytes long, "
+        "user_id long, transaction_id long, uploaded_ms long")
+    got = {r.upload_id: (r.reason, r.target) for r in uploads.check_uploads(m).collect()}
+    assert got == {1: ("unknown_kind", None), 2: ("bad_type", None), 3: ("unknown_size", None), 4: (None, "bucket")}
 
 
 def test_uploads_storage_fallback(spark):
