@@ -51,6 +51,8 @@ SCREEN, SEARCH, PROBE = (64, 16), (256, 138), (1024, 691)
 #: Classes of one block, list entries of one task, and occurrences of pairs up
 #: to which lists are merged by a heap rather than by a product of matrices.
 BLOCK, BUCKET, HEAP = 400, 20_000, 20_000
+#: Parts into which one list head's entries are dealt.
+SALTS = 32
 
 _UPPER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -206,7 +208,10 @@ def occurring(entries: DataFrame, component: DataFrame, classes: DataFrame) -> D
     kept = common.staged(named.join(mixed, "token"))
     blocks = (kept.select("head", "cls").distinct().groupBy("head").agg(F.count(F.lit(1)).alias("m"))
               .select("head", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    kept = kept.join(blocks, "head").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # Salted: one head may stand for a large share of the entries.
+    blocks = blocks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = kept.withColumn("_s", F.pmod(F.xxhash64("token", "cls"), F.lit(SALTS)).cast("int"))
+    kept = kept.join(blocks, ["head", "_s"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # Every entry goes to the pairs of blocks (left <= right) that hold its own.
     kept = kept.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     kept = (kept.withColumn("left", F.least("own", "o")).withColumn("right", F.greatest("own", "o"))
