@@ -46,11 +46,20 @@ def staged(df: DataFrame) -> DataFrame:
     lost executors, and is read by every later step with pruned columns."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     # Spark deletes a finished job's shuffle files only after the driver's JVM
     # has collected its plan; at scale they would fill the executors' disks.
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``staged`` returned and that nothing reads any
+    more, since all that was made of it has been staged itself."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:

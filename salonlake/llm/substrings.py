@@ -269,10 +269,12 @@ def dedup(docs: DataFrame, text_col: str = "text", texts: bool = True) -> DataFr
     without ``texts``, only their SHA-256 in hex."""
     common.ready(docs.sparkSession)
     lean = _lean(docs, text_col)
-    asked = common.staged(lean.mapInArrow(_gather, "_c long, h long, n long")).repartition("h")
+    gathered = common.staged(lean.mapInArrow(_gather, "_c long, h long, n long"))
+    asked = gathered.repartition("h")
     again = asked.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     answers = asked.select("_c", "h").join(again, "h")
     marked = common.staged(lean.groupBy("_c").cogroup(answers.groupBy("_c")).applyInArrow(_mark, _MARKED))
+    common.discard(gathered)
     starts = occurrences(marked)
     some = marked.filter("text is not null").select("_k", "n_words", "text").join(starts, "_k", "left")
     done = some.mapInArrow(lambda b: _clean(b, texts), "_k long, n_words long, n_removed long, kept binary")
