@@ -257,10 +257,16 @@ def occurrences(marked: DataFrame) -> DataFrame:
     phrases = common.staged(
         distinct.filter("n > 1").select("h", "f1", "phrase", none.alias("at"), none.alias("w1"))
         .unionByName(single.join(partly, "f").select("h", "f1", "phrase", F.col("s.at").alias("at"), F.col("s.w1").alias("w1"))))
-    hits = _sharded(distinct, phrases)
+    # Each step is staged, so that the phrases' shuffles and tables are gone
+    # before the next one writes its own.
+    hits = common.staged(_sharded(distinct, phrases))
+    common.discard(distinct)
+    common.discard(phrases)
     placed = found.select("_k", "first", "f1", "f2").join(hits, ["f1", "f2"])
     starts = placed.select("_k", F.transform("at", lambda a: a + F.col("first")).alias("s"))
-    return starts.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
+    starts = common.staged(starts.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
+    common.discard(hits)
+    return starts
 
 
 def dedup(docs: DataFrame, text_col: str = "text", texts: bool = True) -> DataFrame:
