@@ -26,6 +26,8 @@ below ``WINDOW`` words is kept; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -38,6 +40,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common
 
 WINDOW, ANCHOR = 35, 10
+#: Bytes of texts hashed at a time.
+BYTES = 1 << 18
 #: Documents of a chunk as a power of two; fragments with phrases and streamed
 #: fragments of one part of a shard.
 CHUNK_BITS, PHRASES, STREAMED = 12, 1500, 20_000
@@ -46,25 +50,74 @@ _SECOND = 0xD6E8FEB86659FD93
 _SINGLE = 1 << 62
 
 
-def anchors(words: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's word hashes: first and last window of each fragment, and the
-    anchor's hash. The windows from first to last share one anchor."""
+def anchors(words: np.ndarray, size: np.ndarray, window: int = WINDOW,
+            gram: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the word hashes of texts of ``size`` words, end to end: each
+    fragment's text, its first and last window there, and its anchor's hash.
+    The windows from first to last share one anchor."""
     n = len(words) - window + 1
     if n < 1:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty
-    grams = common.window_hash(words, size)
+        return empty, empty, empty, empty
+    end = np.cumsum(size)
+    grams = common.window_hash(words, gram)
     bits = np.uint64(max(24, len(grams).bit_length()))
     least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)  # leftmost of equals
-    width, span = window - size + 1, 1
+    width, span = window - gram + 1, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:n], least[width - span:width - span + n])
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    text = np.repeat(np.arange(len(size)), size)[:n]
+    at = np.flatnonzero(np.arange(window, window + n) <= end[text])  # windows inside one text
+    if not len(at):
+        return at, at, at, at
+    place = (least[at] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    last = np.append(first[1:] - 1, n - 1)
-    return first, last, common.as_long(grams[place[first]])
+    last = np.append(first[1:] - 1, len(at) - 1)
+    text = text[at[first]]
+    start = (end - size)[text]
+    return text, at[first] - start, at[last] - start, common.as_long(grams[place[first]])
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the base, and of its inverse modulo 2 ** 64."""
+    steps = (np.full(n - 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), step))) for step in steps)
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words, end to end, and each text's number of words.
+
+    Polynomial hashes by prefix sums over the bytes, a block of ``BYTES`` at a
+    time, cut after a blank.
+    """
+    data = b" ".join([*texts, b""])
+    edge = np.cumsum([len(t) + 1 for t in texts])
+    out, size, pos = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64), 0
+    while pos < len(data):
+        most = BYTES
+        while True:
+            u = np.frombuffer(data, np.uint8, min(most, len(data) - pos), pos)
+            blank = (u == 32) | ((u >= 9) & (u <= 13))
+            if blank.any():
+                break
+            most *= 2  # one word longer than the block; the data ends with a blank
+        cut = len(u) - int(np.argmax(blank[::-1]))
+        u, blank = u[:cut], blank[:cut]
+        before = np.concatenate(([True], blank[:-1]))
+        start, end = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
+        up, down = _powers(most)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((u + np.uint64(1)) * up[:cut])))
+        out.append(common.mix((total[end] - total[start]) * down[start]))
+        if len(start):
+            size += np.bincount(np.searchsorted(edge, start + pos, side="right"), minlength=len(texts))
+        pos += cut
+    return np.concatenate(out), size
 
 
 def _lean(docs: DataFrame, text_col: str) -> DataFrame:
@@ -74,39 +127,50 @@ def _lean(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_c, h, n): how often a chunk's documents hold each anchor."""
-    words_of, chunk, held = common.WordHash(), None, []
+    chunk, held = None, []
 
     def counted() -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk, np.int64)), pa.array(h), pa.array(n)], names=["_c", "h", "n"])
 
     for batch in batches:
-        for c, text in zip(batch.column("_c").to_pylist(), common.text_bytes(batch.column("t"))):
+        chunks, texts = batch.column("_c").to_numpy(), common.text_bytes(batch.column("t"))
+        for c in np.unique(chunks).tolist():
             if c != chunk:
                 if held:
                     yield counted()
                 chunk, held = c, []
-            held.append(anchors(words_of.of(text.split()))[2])
+            own = [texts[i] for i in np.flatnonzero(chunks == c).tolist()]
+            for a, b in common.slices(own):
+                held.append(anchors(*hashed(own[a:b]))[3])
     if held:
         yield counted()
 
 
 def _mark(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """A chunk's documents with their fragments; the text only where there are any."""
-    again, words_of = np.sort(answers.column("h").to_numpy()), common.WordHash()
-    out: dict[str, list] = {c: [] for c in ("first", "last", "h", "n_words", "text", "sha")}
-    for text in common.text_bytes(docs.column("t").combine_chunks()):
-        words = text.split()
-        first, last, h = anchors(words_of.of(words))
-        at = np.searchsorted(again, h)
-        m = again[np.minimum(at, len(again) - 1)] == h if len(again) else np.zeros(len(h), bool)
-        for k, v in (("first", first[m]), ("last", last[m]), ("h", h[m]), ("n_words", len(words))):
-            out[k].append(v)
-        out["text"].append(text if m.any() else None)
-        out["sha"].append(None if m.any() else hashlib.sha256(b" ".join(words)).hexdigest())
-    lists, longs = pa.list_(pa.int64()), pa.int64()
-    return pa.table({"_k": docs.column("_k"), "n_words": pa.array(out["n_words"], longs), "sha": pa.array(out["sha"], pa.string()),
-                     "text": pa.array(out["text"], pa.binary()), **{c: pa.array(out[c], lists) for c in ("first", "last", "h")}})
+    again = np.sort(answers.column("h").to_numpy())
+    texts = common.text_bytes(docs.column("t").combine_chunks())
+    n_words, count, kept, sha = [], [], [], []
+    lists: list[list[np.ndarray]] = [[], [], []]
+    for a, b in common.slices(texts):
+        words, size = hashed(texts[a:b])
+        text, first, last, h = anchors(words, size)
+        at = np.minimum(np.searchsorted(again, h), max(0, len(again) - 1))
+        m = again[at] == h if len(again) else np.zeros(len(h), bool)
+        held = np.bincount(text[m], minlength=b - a)
+        n_words.append(size)
+        count.append(held)
+        for own, values in zip(lists, (first, last, h)):
+            own.append(values[m])
+        for t, some in zip(texts[a:b], held.tolist()):
+            kept.append(t if some else None)
+            sha.append(None if some else hashlib.sha256(b" ".join(t.split())).hexdigest())
+    edge = pa.array(np.concatenate([[0], *count]).cumsum().astype(np.int32))
+    listed = [pa.ListArray.from_arrays(edge, pa.array(np.concatenate([np.empty(0, np.int64), *own]))) for own in lists]
+    return pa.table({"_k": docs.column("_k"), "n_words": pa.array(np.concatenate([np.empty(0, np.int64), *n_words])),
+                     "sha": pa.array(sha, pa.string()), "text": pa.array(kept, pa.binary()),
+                     **dict(zip(("first", "last", "h"), listed))})
 
 
 _MARKED = "_k long, n_words long, sha string, text binary, first array<bigint>, last array<bigint>, h array<bigint>"
@@ -137,11 +201,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(w1, w2, n, x) of every window of the distinct fragments. ``x`` names one
     place of it: whether its fragment occurs once, 56 bits of the fragment's
     hash, and the window's number in the fragment."""
-    words_of = common.WordHash()
     for batch in batches:
-        split = [p.split() for p in batch.column("phrase").to_pylist()]
-        size = np.array([len(ws) for ws in split], np.int64)
-        words = words_of.of([w for ws in split for w in ws])
+        words, size = hashed(batch.column("phrase").to_pylist())
         end = np.cumsum(size)
         # Windows over all phrases end to end; those across an edge are left out.
         at = np.arange(max(0, len(words) - WINDOW + 1))
@@ -156,7 +217,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(x)], names=["w1", "w2", "n", "x"])
 
 
-def _locate(streamed: pa.Table, phrases: pa.Table) -> pa.Table:
+def _located(streamed: pa.Table, phrases: pa.Table) -> pa.Table:
     """(f1, f2, at): the windows of the streamed fragments in which a window of
     a phrase occurs.
 
@@ -166,14 +227,15 @@ def _locate(streamed: pa.Table, phrases: pa.Table) -> pa.Table:
     """
     ids: dict[bytes, int] = {}
     cores: dict[tuple[int, ...], list[tuple[tuple[int, ...], int, int, frozenset[int]]]] = {}
-    for phrase, at, w1 in zip(*(phrases.column(c).to_pylist() for c in ("phrase", "at", "w1"))):
-        split = phrase.split()
-        words = tuple(ids.setdefault(w, len(ids) + 1) for w in split)
+    texts = phrases.column("phrase").to_pylist()
+    hashes, size = hashed(texts)
+    windows = common.as_long(common.window_hash(hashes, WINDOW))
+    for phrase, n, end, at, w1 in zip(texts, size.tolist(), np.cumsum(size).tolist(), *(phrases.column(c).to_pylist() for c in ("at", "w1"))):
+        words = tuple(ids.setdefault(w, len(ids) + 1) for w in phrase.split())
         if at is None:
-            sure = range(len(words) - WINDOW + 1)
+            sure = range(n - WINDOW + 1)
         else:  # a place's hash bits may be another fragment's: its window's hash decides
-            own = common.as_long(common.window_hash(common.WordHash().of(split), WINDOW))
-            sure = [a for a, h in zip(at, w1) if a < len(own) and own[a] == h]
+            sure = [a for a, h in zip(at, w1) if a <= n - WINDOW and windows[end - n + a] == h]
         if len(sure):
             low, high = max(sure), min(sure) + WINDOW
             cores.setdefault(words[low:high], []).append((words, low, high, frozenset(sure)))
@@ -204,6 +266,14 @@ def _locate(streamed: pa.Table, phrases: pa.Table) -> pa.Table:
                      "at": pa.array(out[2], pa.list_(pa.int64()))})
 
 
+def _locate(streamed: pa.Table, phrases: pa.Table) -> pa.Table:
+    gc.disable()  # millions of small tuples without cycles: scanning them is in vain
+    try:
+        return _located(streamed, phrases)
+    finally:
+        gc.enable()
+
+
 def _sharded(distinct: DataFrame, phrases: DataFrame) -> DataFrame:
     """Occurrences of ``phrases`` in the ``distinct`` fragments."""
     shards = max(1, -(-phrases.count() // PHRASES))
@@ -252,6 +322,7 @@ def occurrences(marked: DataFrame) -> DataFrame:
             .filter((F.col("n") > 1) & (F.col("x").bitwiseAND(F.lit(_SINGLE)) != 0)))
     partly = sure.groupBy(F.shiftright("x", 6).bitwiseAND(F.lit((1 << 56) - 1)).alias("f")).agg(
         F.collect_list(F.struct(F.col("x").bitwiseAND(F.lit(63)).alias("at"), "w1")).alias("s"))
+    partly = common.staged(partly)  # the windows' shuffle goes before the phrases are joined
     none = F.lit(None).cast("array<bigint>")
     single = distinct.filter("n = 1").withColumn("f", F.shiftright("f1", 7).bitwiseAND(F.lit((1 << 56) - 1)))
     phrases = common.staged(
@@ -262,6 +333,7 @@ def occurrences(marked: DataFrame) -> DataFrame:
     hits = common.staged(_sharded(distinct, phrases))
     common.discard(distinct)
     common.discard(phrases)
+    common.discard(partly)
     placed = found.select("_k", "first", "f1", "f2").join(hits, ["f1", "f2"])
     starts = placed.select("_k", F.transform("at", lambda a: a + F.col("first")).alias("s"))
     starts = common.staged(starts.groupBy("_k").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts")))
