@@ -60,7 +60,9 @@ def _prepare(appointments: DataFrame, batch: DataFrame) -> DataFrame:
     upd = validate(batch.where(op != "insert"), APPOINTMENT_UPDATE)
     cols = ["request_seq", "op", "id", "employee_id", "appointment_date", "status", "is_valid"]
     r = ins.select(*cols).unionByName(upd.select(*cols))
-    emp_sent = ~blank(F.col("employee_id"))
+    # A cancellation has no fields of its own; what comes with it is ignored.
+    moves = F.lower(F.col("op")) != "cancel"
+    emp_sent = moves & ~blank(F.col("employee_id"))
     emp = parse_number(F.col("employee_id")).cast("bigint")
     r = r.select(
         "request_seq", F.lower(F.col("op")).alias("op"),
@@ -68,7 +70,7 @@ def _prepare(appointments: DataFrame, batch: DataFrame) -> DataFrame:
          .otherwise(F.col("id").cast("bigint")).alias("id"),
         "is_valid",
         emp_sent.alias("emp_sent"), F.when(emp_sent, emp).alias("emp_req"),
-        F.when(~blank(F.col("appointment_date")), parse_date(F.col("appointment_date")))
+        F.when(moves & ~blank(F.col("appointment_date")), parse_date(F.col("appointment_date")))
          .alias("date_req"),
         F.when(F.lower(F.col("op")) == "cancel", F.lit("cancelled"))
          .when(~blank(F.col("status")), F.col("status"))
@@ -173,7 +175,7 @@ def _decide(s: DataFrame, open_snap: DataFrame) -> DataFrame:
     return j.select("request_seq", decision.alias("decision"))
 
 
-def decide_batch(appointments: DataFrame, batch: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def decide_batch(appointments: DataFrame, batch: DataFrame) -> DataFrame:
     """Decision per request: accepted / conflict / invalid / not_found.
 
     ``batch``: request_seq, op (insert|update|cancel), id (updates, cancels),
@@ -191,7 +193,7 @@ def decide_batch(appointments: DataFrame, batch: DataFrame, max_rounds: int = 10
                  .persist())
     acc = r.select("request_seq", (F.col("is_valid") & F.col("found")).alias("acc"))
     try:
-        for _ in range(max_rounds):
+        while True:
             s = r.join(acc, "request_seq", "left")
             d = _decide(s, open_snap).checkpoint(eager=True)
             new = d.select("request_seq", (F.col("decision") == "accepted").alias("acc"))
@@ -202,11 +204,10 @@ def decide_batch(appointments: DataFrame, batch: DataFrame, max_rounds: int = 10
             acc = new
     finally:
         open_snap.unpersist()
-    raise RuntimeError("booking decisions did not settle")
 
 
 def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: DataFrame = None,
-                            as_of=None, max_rounds: int = 1000):
+                            as_of=None):
     """(decisions, new snapshot[, ledger postings]): accepted updates and
     cancellations are applied with COALESCE semantics in request order,
     accepted inserts get sequential ids after the largest existing id. With
@@ -216,20 +217,24 @@ def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: D
     from salonlake.operators.writes import apply_updates, assign_ids, max_id, post_completed
 
     batch = _normalise_op(batch)
-    d = decide_batch(appointments, batch, max_rounds).checkpoint(eager=True)
+    if "notes" not in batch.columns:
+        batch = batch.withColumn("notes", F.lit(None).cast("string"))
+    d = decide_batch(appointments, batch).checkpoint(eager=True)
     ok = batch.join(d.where(F.col("decision") == "accepted").select("request_seq"),
                     "request_seq", "left_semi")
     op = F.lower(F.col("op"))
+    moves = op != "cancel"
     ch = ok.where(op != "insert").select(
         "request_seq", "actor_id", "now", F.col("id").cast("bigint").alias("id"),
         F.when(op == "cancel", F.lit("cancelled"))
          .when(~blank(F.col("status")), F.col("status")).alias("status"),
-        F.when(~blank(F.col("appointment_date")), parse_date(F.col("appointment_date")))
+        F.when(moves & ~blank(F.col("appointment_date")), parse_date(F.col("appointment_date")))
          .alias("appointment_date"),
-        F.when(~blank(F.col("employee_id")), parse_number(F.col("employee_id")).cast("bigint"))
+        F.when(moves & ~blank(F.col("employee_id")), parse_number(F.col("employee_id")).cast("bigint"))
          .alias("employee_id"),
-        F.when(truthy(F.col("price")), parse_money(F.col("price"))).alias("price"))
-    cols = [c for c in ("status", "appointment_date", "employee_id", "price")
+        F.when(moves, F.col("notes")).alias("notes"),
+        F.when(moves & truthy(F.col("price")), parse_money(F.col("price"))).alias("price"))
+    cols = [c for c in ("status", "appointment_date", "employee_id", "notes", "price")
             if c in appointments.columns]
     updated = apply_updates(appointments, ch, cols)
     # A cancellation also records who cancelled and when (the last one wins).
@@ -252,8 +257,9 @@ def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: D
         parse_date(F.col("appointment_date")).alias("appointment_date"),
         F.coalesce(F.when(~blank(F.col("status")), F.col("status")), F.lit("scheduled"))
          .alias("status"),
+        F.when(~blank(F.col("notes")), F.col("notes")).alias("notes"),
         F.when(truthy(F.col("price")), parse_money(F.col("price"))).alias("price"),
-        F.col("actor_id").alias("updated_by"), F.col("now").alias("updated_at"))
+        F.col("actor_id").alias("created_by"), F.col("now").alias("created_at"))
     new = assign_ids(new, max_id(appointments)).withColumn("n_updates", F.lit(0)) \
         .drop("request_seq")
     snapshot = updated.unionByName(new, allowMissingColumns=True)

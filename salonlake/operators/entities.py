@@ -42,6 +42,11 @@ def _numbers_ok(*cols: str) -> Column:
     return cond
 
 
+def _when(df: DataFrame) -> list[Column]:
+    """``created_at`` of new rows: the request's time, where requests carry one."""
+    return [F.col("now").alias("created_at")] if "now" in df.columns else []
+
+
 def _valid(df: DataFrame, rules) -> DataFrame:
     return V.validate(df, rules).where("is_valid").drop("errors", "is_valid")
 
@@ -50,18 +55,18 @@ def _valid(df: DataFrame, rules) -> DataFrame:
 def insert_customers(customers: DataFrame, creates: DataFrame,
                      rules=V.CUSTOMER_CREATE) -> DataFrame:
     v = _valid(creates, rules)
-    rows = v.select("request_seq", "actor_id",
+    rows = v.select("request_seq", *_when(v), "actor_id",
                     escape_markup(F.col("full_name")).alias("full_name"),
                     *[_clean(c, True).alias(c) for c in ("phone", "email", "notes")])
     return assign_ids(rows, max_id(customers)).select(
         "id", "full_name", "phone", "email", "notes", F.lit(1).alias("is_active"),
-        F.col("actor_id").alias("created_by"), "request_seq")
+        F.col("actor_id").alias("created_by"), *[c for c in rows.columns if c == "created_at"], "request_seq")
 
 
 def insert_services(services: DataFrame, creates: DataFrame,
                     rules=V.SERVICE_CREATE) -> DataFrame:
     v = _valid(creates, rules).where(_numbers_ok("price", "duration_minutes"))
-    rows = v.select("request_seq",
+    rows = v.select("request_seq", *_when(v),
                     escape_markup(F.col("name")).alias("name"),
                     _clean("description", True).alias("description"),
                     parse_money(F.col("price")).alias("price"),
@@ -69,13 +74,13 @@ def insert_services(services: DataFrame, creates: DataFrame,
                     _clean("category", True).alias("category"))
     return assign_ids(rows, max_id(services)).select(
         "id", "name", "description", "price", "duration_minutes", "category",
-        F.lit(1).alias("is_active"), "request_seq")
+        F.lit(1).alias("is_active"), *[c for c in rows.columns if c == "created_at"], "request_seq")
 
 
 def insert_transactions(ledger: DataFrame, creates: DataFrame,
                         rules=V.LEDGER_CREATE) -> DataFrame:
     v = _valid(creates, rules).where(_numbers_ok("amount"))
-    rows = v.select("request_seq", "actor_id",
+    rows = v.select("request_seq", *_when(v), "actor_id",
                     escape_markup(F.col("type")).alias("type"),
                     escape_markup(F.col("category")).alias("category"),
                     parse_money(F.col("amount")).alias("amount"),
@@ -86,14 +91,14 @@ def insert_transactions(ledger: DataFrame, creates: DataFrame,
                      .alias("appointment_id"))
     return assign_ids(rows, max_id(ledger)).select(
         "id", "type", "category", "amount", "description", "date", "appointment_id",
-        F.col("actor_id").alias("created_by"), "request_seq")
+        F.col("actor_id").alias("created_by"), *[c for c in rows.columns if c == "created_at"], "request_seq")
 
 
 def insert_inventory(inventory: DataFrame, creates: DataFrame,
                      rules=V.INVENTORY_CREATE) -> tuple[DataFrame, DataFrame]:
     """New items and their 'initial' stock-log rows."""
     v = _valid(creates, rules).where(_numbers_ok("quantity", "unit_price", "min_stock_level"))
-    rows = v.select("request_seq", "actor_id",
+    rows = v.select("request_seq", *_when(v), "actor_id",
                     escape_markup(F.col("name")).alias("name"),
                     _clean("description", True).alias("description"),
                     parse_int_prefix(F.col("quantity")).alias("quantity"),
@@ -105,12 +110,12 @@ def insert_inventory(inventory: DataFrame, creates: DataFrame,
                                F.lit(0)).alias("min_stock_level"))
     items = assign_ids(rows, max_id(inventory)).select(
         "id", "name", "description", "quantity", "unit_price", "category", "min_stock_level",
-        F.col("actor_id").alias("created_by"), "request_seq")
+        F.col("actor_id").alias("created_by"), *[c for c in rows.columns if c == "created_at"], "request_seq")
     log = items.select(
         "request_seq", F.col("id").alias("inventory_id"), F.lit("initial").alias("change_type"),
         F.col("quantity").alias("quantity_change"), F.lit(0).alias("previous_quantity"),
         F.col("quantity").alias("new_quantity"), F.lit(STOCK_CREATE_REASON).alias("reason"),
-        "created_by")
+        "created_by", *[c for c in items.columns if c == "created_at"])
     return items, log
 
 
@@ -122,7 +127,7 @@ def insert_appointments(appointments: DataFrame, requests: DataFrame,
     r = requests.join(d.select("request_seq", F.col("employee_id").alias("_emp"),
                                F.col("appointment_date").alias("_date"),
                                F.col("status").alias("_status")), "request_seq", "inner")
-    rows = r.select("request_seq", "actor_id",
+    rows = r.select("request_seq", *_when(r), "actor_id",
                     parse_number(F.col("customer_id")).cast("bigint").alias("customer_id"),
                     parse_number(F.col("service_id")).cast("bigint").alias("service_id"),
                     F.col("_emp").alias("employee_id"), F.col("_date").alias("appointment_date"),
@@ -132,7 +137,7 @@ def insert_appointments(appointments: DataFrame, requests: DataFrame,
                     F.when(truthy(F.col("price")), parse_money(F.col("price"))).alias("price"))
     return assign_ids(rows, max_id(appointments)).select(
         "id", "customer_id", "service_id", "employee_id", "appointment_date", "status", "notes",
-        "price", F.col("actor_id").alias("created_by"), "request_seq")
+        "price", F.col("actor_id").alias("created_by"), *[c for c in rows.columns if c == "created_at"], "request_seq")
 
 
 # ------------------------------------------------------------------ updates
@@ -172,7 +177,7 @@ def update_appointments(appointments: DataFrame, changes: DataFrame,
     moves, decided exactly in request order (``booking``)."""
     from salonlake.operators.booking import apply_appointment_batch
     batch = changes.withColumn("op", F.lit("update"))
-    for c in ("employee_id", "appointment_date", "status", "price", "customer_id", "service_id"):
+    for c in ("employee_id", "appointment_date", "status", "price", "customer_id", "service_id", "notes"):
         if c not in batch.columns:
             batch = batch.withColumn(c, F.lit(None).cast("string"))
     return apply_appointment_batch(appointments, batch)[1]
@@ -248,9 +253,9 @@ def inventory_batch(inventory: DataFrame, batch: DataFrame) -> tuple[DataFrame,
     upd = _read_numbers(upd, (), ("quantity",), presence=lambda c: ~blank(c))
 
     # One quantity sequence per item, from both forms.
-    qseq = sets.select("request_seq", "actor_id", "id", "quantity", "reason", "_short").unionByName(
+    qseq = sets.select("request_seq", "actor_id", "now", "id", "quantity", "reason", "_short").unionByName(
         upd.where(F.col("quantity").isNotNull()).select(
-            "request_seq", "actor_id", "id", "quantity",
+            "request_seq", "actor_id", "now", "id", "quantity",
             F.lit(STOCK_UPDATE_REASON).alias("reason"), F.lit(False).alias("_short")))
     qseq = previous_value(qseq, ["id"], [F.col("request_seq")], "quantity", "_prev")
     j = qseq.join(stored, qseq["id"] == stored["_iid"], "left")
@@ -261,7 +266,8 @@ def inventory_batch(inventory: DataFrame, batch: DataFrame) -> tuple[DataFrame,
         F.when(new > prev, F.lit("increase")).when(new < prev, F.lit("decrease"))
          .otherwise(F.lit("no_change")).alias("change_type"),
         (new - prev).alias("quantity_change"), prev.alias("previous_quantity"),
-        new.alias("new_quantity"), "reason", F.col("actor_id").alias("created_by"))
+        new.alias("new_quantity"), "reason", F.col("actor_id").alias("created_by"),
+        F.col("now").alias("created_at"))
 
     cols = [c for c in ("name", "description", "quantity", "unit_price", "category",
                         "min_stock_level") if c in inventory.columns]

@@ -63,7 +63,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster
     (``spark.checkpoint.dir``). A local folder is set only when the session
-    names none (tests, local runs)."""
+    names none and runs on this machine alone (tests, local runs); on a
+    cluster that would be one machine's disk, so there a missing folder is an
+    error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
     try:
@@ -72,6 +74,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - Connect sessions expose no SparkContext
         sc = None
     if not d:
+        master = sc.master if sc is not None else ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         d = tempfile.mkdtemp(prefix="salonlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():

@@ -80,11 +80,15 @@ def write_snapshot(df: DataFrame, root: str, table: str, version: int) -> bool:
     return True
 
 
+#: Log folder of rows that come outside change batches (those count from 1).
+APPENDED = 0
+
+
 def append(df: DataFrame, root: str, table: str) -> None:
     """Append rows to a log table (e.g. the stock change log)."""
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
             else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
-    df.select(*cols).write.mode("append").parquet(f"{root}/{table}/log")
+    df.select(*cols).write.mode("append").parquet(f"{root}/{table}/log/batch={APPENDED}")
 
 
 def write_log_batch(df: DataFrame, root: str, table: str, batch: int) -> None:
@@ -96,7 +100,8 @@ def write_log_batch(df: DataFrame, root: str, table: str, batch: int) -> None:
 
 
 def load_log(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/log")
+    """All rows of a log, appended ones and those of change batches."""
+    return spark.read.schema(TABLES[table]).parquet(f"{root}/{table}/log").select(*TABLES[table].fieldNames())
 
 
 def write_report(results: DataFrame, summary: DataFrame, path: str, kind: str, start: dt.date,

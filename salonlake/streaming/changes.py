@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 from salonlake.functions.validation import CUSTOMER_UPDATE
 from salonlake.operators import entities
 from salonlake.operators.booking import apply_appointment_batch
-from salonlake.operators.writes import hard_delete, soft_delete, update_customers
+from salonlake.operators.writes import assign_ids, hard_delete, soft_delete, update_customers
 from salonlake.sources.changes import CORRUPT
 from salonlake.sources.tables import (committed_versions, load, write_log_batch,
                                      write_snapshot)
 
 
+def _before_delete(batch: DataFrame) -> DataFrame:
+    """The batch's updates that precede the first delete of their id."""
+    op = F.lower(F.col("op"))
+    dels = batch.where(op == "delete").groupBy("id").agg(F.min("request_seq").alias("_del_seq"))
+    upd = batch.where(op == "update").join(dels, "id", "left")
+    return upd.where(F.col("_del_seq").isNull() | (F.col("request_seq") < F.col("_del_seq"))).drop("_del_seq")
+
+
 def _customers(current: DataFrame, batch: DataFrame) -> DataFrame:
     """Creates, partial updates (active customers only) and soft deletes.
     An update after a delete of the same customer finds it inactive and
@@ -32,10 +40,7 @@ def _customers(current: DataFrame, batch: DataFrame) -> DataFrame:
     against the customer being active at its own time) then deletes is
     exact."""
     op = F.lower(F.col("op"))
-    dels = batch.where(op == "delete").groupBy("id").agg(F.min("request_seq").alias("_del_seq"))
-    upd = batch.where(op == "update").join(dels, "id", "left")
-    upd = upd.where(F.col("_del_seq").isNull() | (F.col("request_seq") < F.col("_del_seq")))
-    updated = update_customers(current, upd.drop("_del_seq"), CUSTOMER_UPDATE).drop("n_updates")
+    updated = update_customers(current, _before_delete(batch), CUSTOMER_UPDATE).drop("n_updates")
     deleted = soft_delete(updated, batch.where(op == "delete")
                           .select("request_seq", "actor_id", "now", "id"))
     new = entities.insert_customers(current, batch.where(op == "insert")).drop("request_seq")
@@ -51,11 +56,11 @@ def _op(batch: DataFrame, *names: str) -> DataFrame:
 
 
 def _services(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """Creates, partial updates (active rows only) and soft deletes. Final
-    state does not depend on how these interleave: updates never touch the
-    new rows (their ids are not known to the sender yet), and a soft delete
-    only clears the active flag."""
-    upd = entities.update_services(current, _op(batch, "update")).drop(
+    """Creates, partial updates (active rows only) and soft deletes. An update
+    after a delete of the same service finds it inactive and does nothing;
+    updates never touch the new rows (their ids are not known to the sender
+    yet)."""
+    upd = entities.update_services(current, _before_delete(batch)).drop(
         "n_updates", "updated_by")
     deleted = soft_delete(upd, _op(batch, "delete").select("request_seq", "actor_id", "now", "id"))
     new = entities.insert_services(current, _op(batch, "insert")).drop("request_seq")
@@ -109,8 +114,9 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, entity: str) -> None
         # Logs first: a crash before the snapshot commits replays the batch,
         # which rewrites the same log folder.
         for table, log in logs.items():
-            write_log_batch(log.withColumn("created_at", F.col("now") if "now" in log.columns
-                                           else F.lit(None)), root, table, target)
+            # Ids ascend within the batch and from batch to batch, and a
+            # replay gives the same ones.
+            write_log_batch(assign_ids(log, target << 32), root, table, target)
     write_snapshot(out, root, entity, target)
 
 

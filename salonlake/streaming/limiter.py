@@ -57,7 +57,7 @@ def _prepare(requests: DataFrame, key: str, ts: str, rid: str) -> DataFrame:
 
 def limit_requests(requests: DataFrame, key: str = "client_key", ts: str = "ts",
                    rid: str = "request_id", limit: int = REQUEST_LIMIT,
-                   ttl_seconds: int = REQUEST_TTL_SECONDS, max_rounds: int = 64) -> DataFrame:
+                   ttl_seconds: int = REQUEST_TTL_SECONDS) -> DataFrame:
     """Every request with ``accepted`` (bool) and ``count_after`` (counter
     value after it). Exact equal of replaying the requests in order."""
     ttl = int(ttl_seconds) * 1_000_000
@@ -103,7 +103,7 @@ def limit_requests(requests: DataFrame, key: str = "client_key", ts: str = "ts",
            .select("_k", "_idx", F.col("_gap_idx").isNotNull().alias("_gap_start"),
                    F.when(inside, a_).alias("_next")))
 
-    starts = _follow_chain(nxt.checkpoint(eager=True), max_rounds)
+    starts = _follow_chain(nxt.checkpoint(eager=True))
     s = r.join(starts.withColumn("_start", F.col("_idx")), ["_k", "_idx"], "left")
     s = scan(s, ["_k"], asc, "_start", "_S", "max", inclusive=True)
     pos = F.col("_idx") - F.col("_S")
@@ -112,14 +112,14 @@ def limit_requests(requests: DataFrame, key: str = "client_key", ts: str = "ts",
                     F.least(pos + 1, F.lit(L)).cast("int").alias("count_after"))
 
 
-def _follow_chain(nxt: DataFrame, max_rounds: int) -> DataFrame:
+def _follow_chain(nxt: DataFrame) -> DataFrame:
     """Nodes (key, idx) reached from the gap starts along ``_next`` (pointer
     doubling: after round k every chain prefix of 2**(k+1) nodes is in)."""
     jump = nxt.select("_k", "_idx", F.col("_next").alias("_j")).where(F.col("_j").isNotNull())
     reached = nxt.where(F.col("_gap_start")).select("_k", "_idx")
     if jump.isEmpty():
         return reached
-    for _ in range(max_rounds):
+    while True:  # a jump doubles each round, and chains end
         hop = (reached.join(jump, ["_k", "_idx"], "inner")
                .select("_k", F.col("_j").alias("_idx")))
         reached = reached.unionByName(hop).distinct().checkpoint(eager=True)
@@ -129,7 +129,6 @@ def _follow_chain(nxt: DataFrame, max_rounds: int) -> DataFrame:
                          F.col("y._j").alias("_j")).checkpoint(eager=True)
         if jump.isEmpty():
             return reached
-    raise RuntimeError("limiter chain longer than 2**max_rounds")
 
 
 # ----------------------------------------------------------------- streaming

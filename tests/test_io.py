@@ -246,3 +246,52 @@ def test_stored_table_scan_prunes_and_pushes(spark):
     want = t["appointments"].where(
         F.col("appointment_date").between(F.lit(PERIOD.start), F.lit(PERIOD.end))).count()
     assert df.count() == want
+
+
+def test_log_reads_appended_rows_and_batches(spark):
+    root = tempfile.mkdtemp(prefix="salonlake-log-")
+    row = spark.createDataFrame([(1, 5)], "id long, inventory_id long")
+    tables.append(row, root, "inventory_changes")
+    tables.append(row.withColumn("id", row.id + 1), root, "inventory_changes")
+    tables.write_log_batch(row.withColumn("id", row.id + 2), root, "inventory_changes", 1)
+    got = tables.load_log(spark, root, "inventory_changes")
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3]
+    assert got.columns == tables.TABLES["inventory_changes"].fieldNames()
+
+
+def test_batch_keeps_times_notes_and_order(spark):
+    import datetime as dt
+    from salonlake.operators.booking import apply_appointment_batch
+    from salonlake.streaming import changes
+    now = dt.datetime(2024, 5, 1, 9)
+    appts = spark.createDataFrame(
+        [(1, 1, 1, 7, dt.date(2024, 5, 2), "scheduled", "old", None, None)],
+        "id long, customer_id long, service_id long, employee_id long, appointment_date date, status string, "
+        "notes string, created_by long, created_at timestamp")
+    batch = spark.createDataFrame(
+        [(1, 3, now, "update", 1, None, None, None, None, None, "new"),
+         (2, 4, now, "cancel", 1, None, None, "9", "2024-06-01", None, None),
+         (3, 5, now, "insert", None, "1", "1", "7", "2024-05-02", None, "first")],
+        "request_seq long, actor_id long, now timestamp, op string, id long, customer_id string, service_id string, "
+        "employee_id string, appointment_date string, status string, notes string").withColumn("price", F.lit(None).cast("string"))
+    got = {r.id: r for r in apply_appointment_batch(appts, batch)[1].collect()}
+    assert (got[1].notes, got[1].status, got[1].employee_id, str(got[1].appointment_date)) == ("new", "cancelled", 7, "2024-05-02")
+    assert (got[2].notes, got[2].created_by, got[2].created_at, got[2].updated_by) == ("first", 5, now, None)
+    services = spark.createDataFrame([(1, "cut", None, 1)], "id long, name string, updated_at timestamp, is_active int")
+    asked = spark.createDataFrame(
+        [(1, 3, now, "update", 1, "early"), (2, 3, now, "delete", 1, None), (3, 3, now, "update", 1, "late")],
+        "request_seq long, actor_id long, now timestamp, op string, id long, name string")
+    for c in ("price", "duration_minutes", "category", "description"):
+        asked = asked.withColumn(c, F.lit(None).cast("string"))
+    r = changes._services(services, asked).first()
+    assert (r["name"], r.is_active) == ("early", 0)
+
+
+def test_cluster_without_shared_folder_is_an_error(monkeypatch):
+    import pytest
+    from types import SimpleNamespace
+    from salonlake.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d),
+                           sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(fake)
