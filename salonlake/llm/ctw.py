@@ -37,6 +37,8 @@ from . import common
 DEPTH = 4
 #: Documents of one chunk as a power of two; runs of one group of families.
 CHUNK_BITS, FAMILY_RUNS = 13, 200_000
+#: Bytes of text whose runs and words are held at a time.
+SLICE = 1 << 20
 #: Additive smoothing of the base score.
 ALPHA = 0.1
 #: Closes a text; no UTF-8 text holds this byte.
@@ -176,7 +178,7 @@ class _Chunk:
         self._parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
     def add(self, texts: list[bytes], learn: np.ndarray) -> None:
-        for a, b in common.slices(texts):
+        for a, b in common.slices(texts, SLICE):
             codes, sizes = runs(texts[a:b])
             split = [t.split() for t in texts[a:b]]
             flat = self._words_of.of([w for ws in split for w in ws]).view(np.int64)
@@ -276,7 +278,7 @@ def _scorer(total: int, known: int, ends: int):  # noqa: ANN202
         texts = [fold(t) for t in common.text_bytes(docs.column("t").combine_chunks())]
         learn = docs.column("learn").to_numpy().astype(np.float64)
         out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
-        cuts = list(common.slices(texts))
+        cuts = list(common.slices(texts, SLICE))
         hashed, sizes = [], []
         for a, b in cuts:
             split = [t.split() for t in texts[a:b]]
