@@ -55,9 +55,28 @@ def test_substring_planted_and_odd(make, odd):
 
 def test_every_window_has_one_anchor_fragment():
     words = np.random.default_rng(3).integers(0, 5, 400).astype(np.uint64)
-    first, last, _ = substrings.anchors(words)
+    whole = substrings.anchors(words, np.array([400]))
+    _, first, last, _ = whole
     assert first[0] == 0 and last[-1] == 400 - substrings.WINDOW and (first[1:] == last[:-1] + 1).all()
     assert (last - first < substrings.WINDOW - substrings.ANCHOR + 1).all()
+    # Texts end to end have the fragments that each has alone.
+    many = substrings.anchors(np.concatenate((words[:7], words, words[:100])), np.array([7, 0, 400, 100]))
+    alone = substrings.anchors(words[:100], np.array([100]))
+    for i in (1, 2, 3):
+        assert many[i].tolist() == whole[i].tolist() + alone[i].tolist()
+    assert set(many[0].tolist()) == {2, 3}
+
+
+def test_words_hashed_from_bytes(monkeypatch):
+    texts = ["a bb\x0bbb\u00a0c  a\n".encode(), b"", b" ", b"x" * 50 + b"\x1cy a", b"bb"]
+    for block in (4, 16, 1 << 18):
+        monkeypatch.setattr(substrings, "BYTES", block)
+        hashes, size = substrings.hashed(texts)
+        words = [w for t in texts for w in t.split()]
+        assert size.tolist() == [len(t.split()) for t in texts] and len(hashes) == len(words)
+        seen = dict(zip(words, hashes.tolist()))
+        assert [seen[w] for w in words] == hashes.tolist() and len(set(seen.values())) == len(seen)
+    assert len(substrings.hashed([])[0]) == 0
 
 
 # 2. Language
