@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salonlake.session import ensure_checkpoint_dir
@@ -78,6 +79,24 @@ def keyed(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return staged(docs.select(F.monotonically_increasing_id().alias("_k"), *cols))
 
 
+def chunked(docs: DataFrame, bits: int, *cols: Column | str) -> DataFrame:
+    """``cols`` of ``docs`` with ``_c``, which names a row's chunk: 2**``bits``
+    rows that follow each other in a file. It depends on the row's place in its
+    file alone, so every pass sees the same chunks however a scan is cut into
+    tasks (a task may see a part of a chunk). What is no scan is staged first."""
+    chunk = F.xxhash64("_metadata.file_path", F.shiftright("_metadata.row_index", bits)).alias("_c")
+    try:
+        return docs.select(chunk, *cols)
+    except AnalysisException:  # rows without a file
+        return staged(docs).select(chunk, *cols)
+
+
+def stretches(ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """[start, end) ranges of equal neighbours."""
+    edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if a < b)
+
+
 def wrapped(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns under names that no operator uses."""
     return docs.withColumnsRenamed({c: f"_doc_{c}" for c in docs.columns})

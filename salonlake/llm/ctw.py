@@ -200,10 +200,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [fold(t) for t in common.text_bytes(batch.column("t"))]
         learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.float64)
         ids = batch.column("_c").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
+        for a, b in common.stretches(ids):
             if ids[a] != chunk:
                 if held:
                     yield from held.rows(chunk)
@@ -216,14 +213,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scored(docs: DataFrame, text_col: str = "text", learn_col: str = "learn") -> DataFrame:
     """(_k, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)
     of ``docs`` with unique key ``_k`` and boolean ``learn_col``; score and
-    base_score are log10. ``docs`` is a scan or a staged table: 2**CHUNK_BITS
-    rows that follow each other in a partition are a chunk, in both passes."""
+    base_score are log10."""
     common.ready(docs.sparkSession)
-    lean = docs.select(F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("_c"), "_k",
-                       F.col(learn_col).alias("learn"), F.col(text_col).alias("t"))
+    lean = common.chunked(docs, CHUNK_BITS, "_k", F.col(learn_col).alias("learn"), F.col(text_col).alias("t"))
     asked = common.staged(lean.mapInArrow(_gather, "kind int, _c long, code long, n long"))
     lengths = _lengths(common.staged(asked.filter("kind = 0").groupBy("code").agg(F.sum("n").alias("n"))))
-    # A word's rows, one for each chunk, are dealt once for sum and join alike.
+    # A word's rows, one for each chunk and task, are dealt once for sum and join alike.
     words = asked.filter("kind = 1").select("_c", "code", "n").repartition("code")
     counts = words.groupBy("code").agg(F.sum("n").alias("value"), F.count(F.lit(1)).alias("chunks"))
     docs_learnt = docs.filter(learn_col).count()
@@ -268,7 +263,8 @@ def _lengths(grams: DataFrame) -> DataFrame:
 
 
 def _scorer(total: int, known: int, ends: int):  # noqa: ANN202
-    """Scores one chunk's documents from the answers it got."""
+    """Scores one chunk's documents from the answers it got; raises if they are
+    not the documents that asked."""
     scale = total + ALPHA * (known + 1)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -290,10 +286,15 @@ def _scorer(total: int, known: int, ends: int):  # noqa: ANN202
         c = n_own.astype(np.float64)
         at, there = _look_up(count[0], own)
         c[there] = count[1][at[there]]  # words that other chunks hold as well
+        if there.sum() < len(np.unique(count[0])):
+            raise RuntimeError("a chunk's documents changed between two passes: words it asked for are gone")
         for (a, b), n, flat in zip(cuts, sizes, hashed):
             codes, length = runs(texts[a:b])
             place, distinct = pd.factorize(codes)
-            p = price[1][np.searchsorted(price[0], distinct)][place]
+            where, priced = _look_up(price[0], distinct)
+            if not priced.all():
+                raise RuntimeError("a chunk's documents changed between two passes: runs without an answer")
+            p = price[1][where][place]
             out["score"].append(np.add.reduceat(p, np.concatenate(([0], np.cumsum(length)[:-1]))))
             out["n_bytes"].append(length)
             each, which = c[np.searchsorted(own, flat)], np.repeat(np.arange(b - a), n)

@@ -121,12 +121,11 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lean(docs: DataFrame, text_col: str) -> DataFrame:
-    chunk = F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)
-    return docs.select(chunk.alias("_c"), "_k", F.col(text_col).alias("t"))
+    return common.chunked(docs, CHUNK_BITS, "_k", F.col(text_col).alias("t"))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_c, h, n): how often a chunk's documents hold each anchor."""
+    """(_c, h, n): how often a chunk's documents of this task hold each anchor."""
     chunk, held = None, []
 
     def counted() -> pa.RecordBatch:
@@ -135,12 +134,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         chunks, texts = batch.column("_c").to_numpy(), common.text_bytes(batch.column("t"))
-        for c in np.unique(chunks).tolist():
-            if c != chunk:
+        for start, end in common.stretches(chunks):
+            if chunks[start] != chunk:
                 if held:
                     yield counted()
-                chunk, held = c, []
-            own = [texts[i] for i in np.flatnonzero(chunks == c).tolist()]
+                chunk, held = int(chunks[start]), []
+            own = texts[start:end]
             for a, b in common.slices(own):
                 held.append(anchors(*hashed(own[a:b]))[3])
     if held:
@@ -148,8 +147,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mark(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """A chunk's documents with their fragments; the text only where there are any."""
-    again = np.sort(answers.column("h").to_numpy())
+    """A chunk's documents with their fragments; the text only where there are
+    any. Raises if they are not the documents that asked."""
+    again, place = np.unique(answers.column("h").to_numpy(), return_inverse=True)
+    missing = np.bincount(place, answers.column("n").to_numpy(), len(again)).astype(np.int64)
     texts = common.text_bytes(docs.column("t").combine_chunks())
     n_words, count, kept, sha = [], [], [], []
     lists: list[list[np.ndarray]] = [[], [], []]
@@ -158,6 +159,7 @@ def _mark(docs: pa.Table, answers: pa.Table) -> pa.Table:
         text, first, last, h = anchors(words, size)
         at = np.minimum(np.searchsorted(again, h), max(0, len(again) - 1))
         m = again[at] == h if len(again) else np.zeros(len(h), bool)
+        missing -= np.bincount(at[m], minlength=len(again))
         held = np.bincount(text[m], minlength=b - a)
         n_words.append(size)
         count.append(held)
@@ -166,6 +168,8 @@ def _mark(docs: pa.Table, answers: pa.Table) -> pa.Table:
         for t, some in zip(texts[a:b], held.tolist()):
             kept.append(t if some else None)
             sha.append(None if some else hashlib.sha256(b" ".join(t.split())).hexdigest())
+    if missing.any():
+        raise RuntimeError("a chunk's documents changed between two passes: its anchors are not those it asked for")
     edge = pa.array(np.concatenate([[0], *count]).cumsum().astype(np.int32))
     listed = [pa.ListArray.from_arrays(edge, pa.array(np.concatenate([np.empty(0, np.int64), *own]))) for own in lists]
     return pa.table({"_k": docs.column("_k"), "n_words": pa.array(np.concatenate([np.empty(0, np.int64), *n_words])),
@@ -342,15 +346,15 @@ def occurrences(marked: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, text_col: str = "text", texts: bool = True) -> DataFrame:
-    """(_k, n_words, n_removed, kept) of ``docs`` (unique key ``_k``; a scan or
-    a staged table). ``kept`` holds the words left, joined by one blank, or,
-    without ``texts``, only their SHA-256 in hex."""
+    """(_k, n_words, n_removed, kept) of ``docs`` (unique key ``_k``). ``kept``
+    holds the words left, joined by one blank, or, without ``texts``, only
+    their SHA-256 in hex."""
     common.ready(docs.sparkSession)
     lean = _lean(docs, text_col)
     gathered = common.staged(lean.mapInArrow(_gather, "_c long, h long, n long"))
     asked = gathered.repartition("h")
     again = asked.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    answers = asked.select("_c", "h").join(again, "h")
+    answers = asked.select("_c", "h", "n").join(again, "h")
     marked = common.staged(lean.groupBy("_c").cogroup(answers.groupBy("_c")).applyInArrow(_mark, _MARKED))
     common.discard(gathered)
     starts = occurrences(marked)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salonlake.llm import common, ctw, decontam, jaccard, language, merkle, packing, pii, quality, substrings, tokens
 
@@ -79,6 +80,53 @@ def test_words_hashed_from_bytes(monkeypatch):
     assert len(substrings.hashed([])[0]) == 0
 
 
+def _recut(monkeypatch, spark, tmp_path, make, data):
+    """``data`` as one file for every two texts; the first pass reads them in
+    one task, every later one each file in its own."""
+    path = str(tmp_path / "docs")
+    for i in range(0, len(data), 2):
+        make(data[i:i + 2], ids=range(i, i + len(data[i:i + 2]))).coalesce(1).write.mode("append").parquet(path)
+    most, opening, staged = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", common.staged
+    old = {k: spark.conf.get(k, None) for k in (most, opening, "spark.sql.files.minPartitionNum")}
+    for k, v in zip(old, ("1g", "1", "1")):
+        spark.conf.set(k, v)
+
+    def then_recut(df):
+        out = staged(df)
+        spark.conf.set(most, "4m")
+        spark.conf.set(opening, "4m")
+        return out
+
+    monkeypatch.setattr(common, "staged", then_recut)
+    df = spark.read.parquet(path).select(F.col("doc_id").alias("_k"), "text", (F.col("doc_id") % 3 != 0).alias("learn"))
+    assert df.rdd.getNumPartitions() == 1
+
+    def restore():
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return df, restore
+
+
+def test_substring_chunks_survive_another_cut_of_the_scan(monkeypatch, spark, make, tmp_path):
+    rng = random.Random(29)
+    passage = _words(50, rng, 10_000)
+    data = [f"{_words(20, rng, 10_000)} {passage} {_words(20, rng, 10_000)}" for _ in range(10)]
+    df, restore = _recut(monkeypatch, spark, tmp_path, make, data)
+    try:
+        got = {r._k: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup(df, texts=False).collect()}
+    finally:
+        restore()
+    assert list(map(got.get, range(10))) == substrings.brute(data)
+
+
+def test_substring_marks_refuse_other_documents():
+    import pyarrow as pa
+    docs = pa.table({"_k": [1], "t": [" ".join(f"a{i}" for i in range(40))]})
+    answers = pa.table({"h": pa.array([5], pa.int64()), "n": pa.array([1], pa.int64())})
+    with pytest.raises(RuntimeError, match="changed between two passes"):
+        substrings._mark(docs, answers)
+
+
 # 2. Language
 
 def test_language_held_out(spark, docs):
@@ -359,6 +407,26 @@ def test_ctw_base_score_and_brute_force(spark, make, odd):
         assert got[i].score == pytest.approx(log)
 
 
+def test_ctw_chunks_survive_another_cut_of_the_scan(monkeypatch, spark, make, tmp_path):
+    rng = random.Random(31)
+    data = [_words(30, rng, 40) for _ in range(10)]
+    plain = {r._k: r.asDict() for r in ctw.scored(_keyed(make(data)).withColumn("learn", F.col("doc_id") % 3 != 0)).collect()}
+    df, restore = _recut(monkeypatch, spark, tmp_path, make, data)
+    try:
+        got = {r._k: r.asDict() for r in ctw.scored(df).collect()}
+    finally:
+        restore()
+    assert len(got) == 10 and all(got[k] == pytest.approx(plain[k]) for k in got)
+
+
+def test_ctw_scorer_refuses_other_documents():
+    import pyarrow as pa
+    docs = pa.table({"_k": [1], "learn": [True], "t": ["abc"]})
+    answers = pa.table({"kind": pa.array([0], pa.int32()), "code": pa.array([7], pa.int64()), "value": pa.array([-1.0])})
+    with pytest.raises(RuntimeError, match="changed between two passes"):
+        ctw._scorer(1, 1, 1)(docs, answers)
+
+
 # 9. Token counts
 
 def test_token_counts_query(spark, texts):
