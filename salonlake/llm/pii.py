@@ -7,6 +7,12 @@ hold a character a kind needs ('@', a digit) meet that kind's pattern, and only
 match lengths and the short matched strings leave the scan; the running sums
 are window sums inside one document.
 
+Where an account number ends, no pattern can tell: capitalised words and numbers
+may follow it. Its pattern takes only the four characters it starts with and
+looks ahead at the words that may belong to it; of these as many are taken as the
+country's length says, else as many as pass the checksum. Numbers that start
+inside another are found as well, so spans of this kind may overlap.
+
 The patterns are possessive where the next character decides, which keeps the
 leftmost, longest matches of the plain forms and makes them linear on long runs.
 
@@ -31,11 +37,25 @@ class Kind:
     score: float  # of a confirmed match, before its context is seen
     context: str  # words within CONTEXT characters that raise the score
     base: bool = True
+    group: int = 0  # of the pattern: the match's value, with what follows it
+    size: int | None = None  # characters that a match takes, if not its value's
 
 
 #: Characters looked at on either side, what a context word adds, least score.
 CONTEXT, BOOST, LEAST = 40, 0.35, 0.5
 
+#: Shortest and longest account number, and the lengths that countries have set.
+#: Numbers of other countries (or of other lengths) are confirmed by checksum alone.
+IBAN_LEAST, IBAN_MOST = 15, 34
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+#: All words that may belong to an account number, the last one whole.
+_ACCOUNT = (r"[A-Z]{2}[0-9]{2}[A-Z0-9]{0,30}+(?![A-Za-z0-9])"
+            r"(?:\x20[A-Z0-9]{1,30}+(?![A-Za-z0-9])){0,30}+")
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          "@", 0.9, r"(?i)\b(?:e-?mail|contact|write to)\b"),
@@ -45,8 +65,8 @@ KINDS = (
          "[0-9]", 0.7, r"(?i)\b(?:card|visa|credit|payment)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]",
          r"\+[0-9]", 0.7, r"(?i)\b(?:phone|tel|call|mobile|fax)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
-         "[A-Z]{2}[0-9]{2}", 0.8, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", base=False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=({_ACCOUNT}(?s:.{{0,{CONTEXT}}})))[A-Z]{{2}}[0-9]{{2}}",
+         "[A-Z]{2}[0-9]{2}", 0.8, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", base=False, group=1, size=4),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
          "[0-9]{3}-[0-9]{2}-", 0.3, r"(?i)\b(?:ssn|social security|national id|tax id)\b", base=False),
 )
@@ -80,20 +100,36 @@ def mod97(value: Column) -> Column:
     return rest == 1
 
 
+def account(value: Column) -> Column:
+    """The account number that ``value`` begins with, null if there is none:
+    whole words that pass the checksum and have the country's length, or else
+    as many as pass it."""
+    words = F.split(F.regexp_extract(value, "^" + _ACCOUNT, 0), " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    size = F.create_map(*(F.lit(x) for n, names in IBAN_SIZES.items() for c in names.split() for x in (c, n)))
+
+    def flat(head: Column) -> Column:
+        return F.length(F.regexp_replace(head, " ", ""))
+
+    sure = F.filter(heads, lambda h: flat(h).between(IBAN_LEAST, IBAN_MOST) & mod97(h))
+    own = F.filter(sure, lambda h: F.coalesce(flat(h) == F.try_element_at(size, F.substring(value, 1, 2)), F.lit(False)))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(sure, F.size(sure) - 1))
+
+
 def _confirmed(kind: Column, value: Column) -> Column:
     digits = _digits(value)
     octet = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})?"
     return (F.when(kind == "ip", value.rlike(rf"^{octet}(?:\.{octet}){{3}}$"))
             .when(kind == "card", F.length(digits).between(12, 19) & luhn(digits))
             .when(kind == "phone", F.length(digits).between(9, 15))
-            .when(kind == "iban", mod97(value))
+            .when(kind == "iban", value.isNotNull())
             .otherwise(True))
 
 
 def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_k, kind, i, value, gap, size, around) of every proposed match of
+    """(_k, kind, i, value, gap, size, tail, head) of every proposed match of
     ``docs`` (unique key ``_k``): its text, the code points between the match
-    before it and itself, its own, and the text on either side."""
+    before it and itself, those it takes, and the text on either side."""
     text, parts = F.col(text_col), []
     for k in KINDS:
         hit = text.contains(k.needs) if k.needs == "@" else text.rlike(k.needs)
@@ -101,14 +137,16 @@ def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.length(g).cast("long").alias("n"), F.substring(g, 1, CONTEXT).alias("head"),
             F.substring(g, -CONTEXT, CONTEXT).alias("tail")))
         parts.append(F.when(hit, F.struct(F.lit(k.name).alias("kind"), gaps.alias("gaps"), F.regexp_extract_all(
-            text, F.lit(k.pattern), F.lit(0)).alias("values"))))
+            text, F.lit(k.pattern), F.lit(k.group)).alias("values"))))
     each = docs.select("_k", F.explode(F.array(*parts)).alias("m")).filter("size(m.values) > 0")
     each = each.select("_k", "m.kind", F.posexplode(F.arrays_zip(
         F.col("m.values").alias("value"), F.col("m.gaps").alias("before"),
         F.slice("m.gaps", 2, F.size("m.gaps")).alias("after"))).alias("i", "x")).filter("x.value is not null")
-    return each.select("_k", "kind", "i", "x.value", F.col("x.before.n").alias("gap"),
-                       F.length("x.value").cast("long").alias("size"),
-                       F.concat_ws(" ", "x.before.tail", "x.after.head").alias("around"))
+    size = F.length("x.value")
+    for k in KINDS:
+        size = size if k.size is None else F.when(F.col("kind") == k.name, k.size).otherwise(size)
+    return each.select("_k", "kind", "i", "x.value", F.col("x.before.n").alias("gap"), size.cast("long").alias("size"),
+                       F.col("x.before.tail").alias("tail"), F.col("x.after.head").alias("head"))
 
 
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -116,8 +154,14 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     points, end exclusive. Kinds beside the base ones need a score of LEAST."""
     w = Window.partitionBy("_k", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("size")).over(w)
-    placed = proposals(docs, text_col).withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    sure = placed.filter(_confirmed(F.col("kind"), F.col("value"))).withColumn("score", _score(F.col("kind"), F.col("around")))
+    placed = proposals(docs, text_col).withColumn("start", end - F.col("size"))
+    # What follows an account number stands behind it in its value.
+    iban, found = F.col("kind") == "iban", F.col("value")
+    placed = placed.withColumn("found", found).withColumn("value", F.when(iban, account(found)).otherwise(found))
+    after = F.when(iban, F.substring("found", F.length("value") + 1, F.lit(CONTEXT))).otherwise(F.col("head"))
+    placed = placed.withColumn("end", F.col("start") + F.length("value"))
+    sure = placed.filter(_confirmed(F.col("kind"), F.col("value"))).withColumn(
+        "score", _score(F.col("kind"), F.concat_ws(" ", "tail", after)))
     base = F.col("kind").isin([k.name for k in KINDS if k.base])
     return sure.filter(base | (F.col("score") >= LEAST)).select("_k", "kind", "start", "end", "value", "score")
 

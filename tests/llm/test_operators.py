@@ -242,6 +242,21 @@ def test_pii_checksums_context_and_redaction(make):
 
 # 5. Jaccard join
 
+def test_pii_accounts_before_capitals_codes_and_numbers(make):
+    """(text, start and end of its accounts)"""
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    most = "ZZ" + f"{98 - int('0' * 0 + '1' * 30 + '353500') % 97:02d}" + "1" * 30  # no country's; the longest there is
+    cases = [f"IBAN {de} BIC COBADEFFXXX", f"{spaced} Please pay", f"{de} 2024", f"{spaced} {gb} EUR", f"AB12 {spaced} NOW",
+             f"pay {most} AND MORE WORDS", f"x {gb}", f"{de}Please", f"{de}, {spaced}.", f"DE89 3704 0044 0532 0130 01 BIC X",
+             "AB12 " * 3000 + spaced, "A1" * 5000 + f" {de} X"]
+    rows = pii.detect(_keyed(make(cases))).collect()
+    for r in rows:
+        got = [r.text[s.start:s.end] for s in r.spans if s.kind == "iban"]
+        want = [x for _, x in sorted((m.start(), a) for a in (de, spaced, gb, most) for m in re.finditer(a + r"(?![A-Za-z0-9])", r.text))]
+        assert got == want, r.text[:60]
+    assert {r.doc_id: r.text for r in pii.redacted(make(cases)).collect()}[0] == "IBAN [iban] BIC COBADEFFXXX"
+
+
 def _components(data, ids):
     sets = []
     for t in data:
