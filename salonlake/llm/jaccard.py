@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,8 @@ SCREEN, SEARCH, PROBE = (64, 16), (256, 138), (1024, 691)
 BLOCK, BUCKET, HEAP = 400, 20_000, 20_000
 #: Parts into which one list head's entries are dealt.
 SALTS = 32
+#: Pairs and bytes of text of one class's candidates that are verified together.
+PAIRS, TEXTS = 1000, 16 << 20
 
 _UPPER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -242,15 +245,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = common.staged(pairs)
     named = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     some = common.staged(texts.join(named, "cls", "left_semi"))
-    # One class's candidates are salted, its own text goes to every part.
-    dealt = pairs.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(16)))
+    # A class with many candidates, or long ones, has as many parts of its own
+    # as they need; its text goes to each. The others are dealt to groups.
+    size = some.select(F.col("cls").alias("b"), F.octet_length("t").alias("size"))
+    need = common.staged(pairs.join(size, "b").groupBy("a").agg(
+        F.greatest(F.count(F.lit(1)) / PAIRS, F.sum("size") / TEXTS).alias("need")))
+    groups = max(1, math.ceil(4 * (need.filter("need <= 1").agg(F.sum("need")).first()[0] or 0)))
+    heavy = need.filter("need > 1").select("a", F.ceil("need").alias("parts"))  # a row for TEXTS bytes at most
+    dealt = common.staged(pairs.join(F.broadcast(heavy), "a", "left").select(
+        F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("a"), F.lit(groups))).otherwise(F.col("a")).alias("_g"),
+        F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(-1).cast("long")).alias("_s"), "a", "b"))
     right = dealt.join(some.withColumnRenamed("cls", "b"), "b")
-    left = dealt.select("a", "_s").distinct().join(some.withColumnRenamed("cls", "a"), "a")
-    groups = max(1, -(-pairs.count() // 2000))
-    part = F.pmod(F.xxhash64("a", "_s"), F.lit(groups)).alias("_g")
+    left = dealt.select("_g", "_s", "a").distinct().join(some.withColumnRenamed("cls", "a"), "a")
     left = left.select(*(F.col(c).alias(c) for c in left.columns))  # attributes of its own
-    return common.staged(left.select(part, "a", "t", "_s").groupBy("_g", "_s").cogroup(
-        right.select(part, "a", "b", "t", "_s").groupBy("_g", "_s")).applyInArrow(_verify, "a long, b long"))
+    return common.staged(left.select("_g", "_s", "a", "t").groupBy("_g", "_s").cogroup(
+        right.select("_g", "_s", "a", "b", "t").groupBy("_g", "_s")).applyInArrow(_verify, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -308,6 +308,23 @@ def test_jaccard_one_each(make):
     assert jaccard.joined(_keyed(make([]))).count() == 0
 
 
+def test_jaccard_hub_is_verified_in_bounded_parts(monkeypatch, spark):
+    import pyarrow as pa
+
+    def measured(left, right):
+        return pa.table({"a": pa.array([right.num_rows], pa.int64()), "b": pa.array([sum(map(len, right.column("t").to_pylist()))], pa.int64())})
+
+    monkeypatch.setattr(jaccard, "_verify", measured)
+    n = 40_000  # candidates of one class; another has few, but long ones
+    pairs = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(
+        spark.range(1, 101).select(F.lit(-1).cast("long").alias("a"), -F.col("id") * 10))
+    texts = spark.range(-1, n).select(F.col("id").alias("cls"), F.lit(b"a b c")).union(
+        spark.range(1, 101).select(-F.col("id") * 10, F.encode(F.repeat(F.lit("word "), 200_000), "utf-8"))).toDF("cls", "t")
+    rows = jaccard.verified(pairs, texts).collect()
+    assert sum(r.a for r in rows) == n - 1 + 100
+    assert max(r.a for r in rows) <= 1.3 * 1000 and max(r.b for r in rows) <= 40 << 20
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
