@@ -7,9 +7,8 @@ gives its label to all its lines for training. A document's score is the mean
 of its lines' forward-backward marginals of "good", weighted by line length.
 
 Training takes the labelled rows with the ``SAMPLE`` smallest hashes of text and
-label (a documented bound; fewer rows: all), at most half of them of one label,
-and of a very long text the lines of its first ``TRAIN_CHARS`` characters.
-Scoring reads whole texts.
+label (a documented bound; fewer rows: all), at most half of them of one label.
+Training and scoring read whole texts.
 
 Defined results: a null or empty text is one empty line; without rows of both
 labels every line scores the share of label 1 (0.5 without labels); null labels
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
 
-SAMPLE, TRAIN_CHARS = 4000, 20_000
+SAMPLE = 4000
 THRESHOLD, STEPS, L2 = 0.7, 300, 1e-3
 
 # Character classes of UTF-8 bytes.
@@ -194,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A chain fitted to at most ``sample`` labelled documents of ``docs``."""
     marked = labels.filter(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("t"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     hashed = texts.select("_id", F.xxhash64("t").alias("h")).join(marked, "_id")
     rows = []
     for y in (0, 1):  # only ids and hashes are shuffled; the sample's bound is proven

@@ -508,6 +508,21 @@ def test_quality_odd(spark, make, odd):
     assert quality.good(make(odd), quality.train(make(["x"]), labels)).count() == len(odd)
 
 
+def _trained_on(monkeypatch, docs, labels, **kw):
+    """The texts that a chain is fitted to."""
+    seen, lines = [], quality.Lines
+    with monkeypatch.context() as m:
+        m.setattr(quality, "Lines", lambda texts: seen.extend(texts) or lines(texts))
+        quality.train(docs, labels, **kw)
+    return seen
+
+
+def test_quality_learns_from_whole_texts(monkeypatch, spark, make):
+    data = ["A good line.\n" * 3000 + "b@d!\n" * 50, "A good line."]
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    assert sorted(_trained_on(monkeypatch, make(data), labels)) == sorted(t.encode() for t in data)
+
+
 def test_chain_marginals_are_exact():
     rng = np.random.default_rng(23)
     chain = quality.Chain()
