@@ -6,8 +6,8 @@ and after it, and neighbouring labels depend on each other. A labelled document
 gives its label to all its lines for training. A document's score is the mean
 of its lines' forward-backward marginals of "good", weighted by line length.
 
-Training takes the labelled rows with the ``SAMPLE`` smallest hashes of text and
-label (a documented bound; fewer rows: all), at most half of them of one label.
+Training takes the labelled texts, copies once, with the ``SAMPLE`` smallest
+hashes (a documented bound; fewer: all), at most half of them of one label.
 Training and scoring read whole texts.
 
 Defined results: a null or empty text is one empty line; without rows of both
@@ -197,8 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hashed = texts.select("_id", F.xxhash64("t").alias("h")).join(marked, "_id")
     rows = []
     for y in (0, 1):  # only ids and hashes are shuffled; the sample's bound is proven
-        picked = hashed.filter(F.col("y") == y).orderBy("h", "_id").limit(sample // 2).distinct()
-        rows += texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(picked), ["_id", "h"]).orderBy("h", "_id").collect()
+        picked = hashed.filter(F.col("y") == y).groupBy("h", "y").agg(F.min("_id").alias("_id")).orderBy("h").limit(sample // 2)
+        whole = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(picked), ["_id", "h"])
+        rows += whole.dropDuplicates(["h"]).orderBy("h").collect()  # an id may have many rows
     if len({r.y for r in rows}) < 2:
         return Chain(min(max(rows[0].y, 1e-6), 1 - 1e-6) if rows else 0.5)
     texts, label = [r.t.encode() for r in rows], np.array([r.y for r in rows])

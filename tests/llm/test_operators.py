@@ -523,6 +523,17 @@ def test_quality_learns_from_whole_texts(monkeypatch, spark, make):
     assert sorted(_trained_on(monkeypatch, make(data), labels)) == sorted(t.encode() for t in data)
 
 
+def test_quality_learns_from_copies_once(monkeypatch, spark, make):
+    data = [f"text {i % 3 if i < 30 else i}" for i in range(40)]  # three texts ten times each
+    ids = [*range(38), 7, 7]  # repeated rows of an id
+    data[38] = data[39] = data[7]
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(38)], "doc_id long, quality int")
+    want = sorted(t.encode() for t in set(data[:38]))
+    assert sorted(_trained_on(monkeypatch, make(data, ids=ids), labels)) == want
+    some = _trained_on(monkeypatch, make(data, ids=ids), labels, sample=6)
+    assert len(some) == len(set(some)) == 6
+
+
 def test_chain_marginals_are_exact():
     rng = np.random.default_rng(23)
     chain = quality.Chain()
