@@ -11,8 +11,9 @@ hashes (a documented bound; fewer: all), at most half of them of one label.
 Training and scoring read whole texts.
 
 Defined results: a null or empty text is one empty line; without rows of both
-labels every line scores the share of label 1 (0.5 without labels); null labels
-teach nothing; repeated rows each get their row.
+labels every line scores the share of label 1 (0.5 without labels) and, as
+nothing was learnt, ``good`` keeps every document; null labels teach nothing;
+repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -115,6 +116,7 @@ class Chain:
     """Two-label linear chain: label 1 is good."""
 
     def __init__(self, prior: float = 0.5):
+        self.fitted = False
         self.w = np.zeros(WIDTH * 3 + 1)  # score of good over bad
         self.w[-1] = np.log(prior / (1 - prior))
         self.t = np.zeros((2, 2))  # from label, to label
@@ -175,6 +177,7 @@ class Chain:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         self.w, self.t = theta[:-4], np.clip(theta[-4:], -2, 2).reshape(2, 2)
+        self.fitted = True
         return self
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -230,7 +233,9 @@ def learnt(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Chain:
 
 
 def good(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """The documents that are not rejected."""
+    """The documents that are not rejected: all, if nothing could be learnt."""
+    if not chain.fitted:
+        return docs
     scores = score(common.wrapped(docs), chain, f"_doc_{text_col}")
     return common.unwrapped(scores.filter(F.col("score") >= THRESHOLD), docs)
 

@@ -534,6 +534,13 @@ def test_quality_learns_from_copies_once(monkeypatch, spark, make):
     assert len(some) == len(set(some)) == 6
 
 
+def test_quality_keeps_all_when_nothing_is_learnt(spark, make, odd):
+    labels = spark.createDataFrame([(0, 0), (1, 0), (99, 1)], "doc_id long, quality int")
+    for some in (labels.limit(0), labels, labels.filter("doc_id = 99")):
+        kept = quality.good(make(odd), quality.train(make(odd), some))
+        assert kept.count() == len(odd) and kept.columns == make(odd).columns
+
+
 def test_chain_marginals_are_exact():
     rng = np.random.default_rng(23)
     chain = quality.Chain()
