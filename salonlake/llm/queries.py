@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, jaccard, language, merkle, packing, pii, quality, substrings, tokens
+from . import (alignment, ctw, decontam, jaccard, language, merkle, mixing, packing, pii, quality, repair, substrings,
+               tokens)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.query,
@@ -19,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_context_tree_lm": ctw.query,
     "op9_token_counts": tokens.query,
     "op10_quality": quality.query,
+    "op11_tokenizer_alignment": alignment.query,
+    "op12_source_mixing": mixing.query,
+    "op13_conversation_repair": repair.query,
 }
 
 #: The words that the contracts fix, null and empty texts as no words.
@@ -27,6 +31,7 @@ _WORDS = r"[x FOR x IN regexp_split_to_array({0}, '[\x20\x09-\x0D]+') IF x <> ''
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op12_source_mixing": mixing.ORACLE,
     "op1_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),
