@@ -8,10 +8,9 @@ interval without a shared end inside is a leaf group. All intervals of a level,
 over many texts, are handled by one vectorised search. Tokens of a group are
 linked where their bytes overlap.
 
-Encoding is done once for each different word of a task: neither tokenizer
-joins a space to a character other than white space before it, so texts may be
-cut there, and those cuts also part very long texts into stretches that are
-aligned on their own.
+Neither tokenizer joins a space to a character other than white space before
+it. So a task encodes each different word once, as long as it remembers it, and
+very long texts are aligned in stretches that are cut there.
 
 Counts of linked id pairs speak of the whole corpus. Every task gathers its
 chunk's distinct pairs; Spark sums them, finds each B id's highest (a B id has
@@ -32,6 +31,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,8 @@ from . import common, tokens
 
 #: Characters of text whose links a task holds before it hands on a chunk, and of a stretch aligned at once.
 CHUNK, STRETCH = 6 << 20, 1 << 19
-_WORDS_HELD = 300_000
+#: Words that a task remembers, and characters of new words encoded in one go.
+WORDS, RUN = 300_000, 4000
 #: Where neither tokenizer joins: before a space that follows no white space.
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -54,8 +55,26 @@ def default_paths() -> tuple[str, str]:
 
 # Tokens
 
+class _Words(dict):
+    """Place of each word (the text between two cuts, without its space)."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, w: str) -> int:
+        i = self[w] = len(self)
+        self.new.append(w)
+        return i
+
+
+def _open(w: str) -> bool:
+    """Whether a space after ``w`` might be joined to its end."""
+    return not w or w[-1].isspace()
+
+
 class Pair:
-    """Both tokenizers: ids and byte lengths of words, each encoded once."""
+    """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -74,8 +93,13 @@ class Pair:
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self._space = self._b.piece_to_id("▁")
-        self.words: dict[str, int] = {}
-        self._clear()
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words = _Words()
+        self._ids = [np.empty(0, np.int32)] * 2
+        self._to = [np.zeros(1, np.int64)] * 2  # where each word's ids end, A and B
+        self._kind = np.empty(0, np.int8)  # 1: open, 2: changed by a tokenizer
 
     def _piece(self, i: int) -> bytes:
         piece = self._b.id_to_piece(i)
@@ -83,48 +107,83 @@ class Pair:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def _clear(self) -> None:
-        self.words.clear()
-        self._ids: list[tuple[np.ndarray, np.ndarray] | None] = []
-
-    def trim(self) -> None:
-        """Between texts: forgets the words when they are many."""
-        if len(self._ids) > _WORDS_HELD:
-            self._clear()
-
-    def word(self, w: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of ``w``, which begins with a space; None if one changes it."""
-        at = self.words.get(w)
-        if at is None:
-            a = np.frombuffer(self._a.encode(w), "<u4").astype(np.int32)
-            b = np.array([self._space] if w == " " else self._b.encode(w[1:]), np.int32)
-            raw = w.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            at = len(self._ids)
-            self._ids.append((a, b) if same else None)
-            if len(w) < 64:
-                self.words[w] = at
-            else:
-                return self._ids.pop()
-        return self._ids[at]
-
-    def encode(self, text: str) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
-        """Ids of a text in stretches that both tokenizers keep apart."""
-        a, b, held, size = [], [], [], 0
-        for w in _CUT.split(" " + text):
-            ids = self.word(w)
-            if ids is None:
-                return None
-            held.append(ids)
-            size += len(w)
-            if size > STRETCH:
-                a.append(np.concatenate([x for x, _ in held]))
-                b.append(np.concatenate([x for _, x in held]))
-                held, size = [], 0
-        if held:
-            a.append(np.concatenate([x for x, _ in held]))
-            b.append(np.concatenate([x for _, x in held]))
-        return a, b
+    def _run(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+        """Ids and where each word's end, of words in one go; False if a
+        tokenizer changes one of them."""
+        text = " " + " ".join(words)
+        raw = text.encode()
+        ids = [np.frombuffer(self._a.encode(text), "<u4").astype(np.int32),
+               np.array([self._space] if text == " " else self._b.encode(text[1:]), np.int32)]
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        to, same = [], True
+        for x, shown, size in zip(ids, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b)):
+            same = same and b"".join(map(shown.__getitem__, x.tolist())) == raw
+            at = np.cumsum(size[x])
+            cut = np.searchsorted(at, ends)
+            same = same and bool((at[cut] == ends).all())
+            to.append(cut + 1)
+        return ids, to, same
+
+    def _learn(self) -> None:
+        """Encodes the words that are new."""
+        new, self._words.new = self._words.new, []
+        ids, to = [[self._ids[i]] for i in (0, 1)], [[self._to[i]] for i in (0, 1)]
+        kind = np.fromiter(map(_open, new), np.int8, len(new))
+        groups, size = [[]], 0
+        for w, apart in zip(new, kind.tolist()):
+            if apart or size > RUN:
+                groups.append([])
+                size = 0
+            groups[-1].append(w)
+            size = RUN + 1 if apart else size + len(w) + 1
+        at = 0
+        for g in filter(None, groups):
+            made = [self._run(g)]
+            if not made[0][2]:
+                made = [self._run([w]) for w in g]
+                kind[at:at + len(g)] += 2 * np.array([not same for _, _, same in made], np.int8)
+            at += len(g)
+            for x, end, same in made:
+                for i in (0, 1):
+                    base = to[i][-1][-1]
+                    ids[i].append(x[i] if same else x[i][:0])
+                    to[i].append(end[i] + base if same else np.full(len(end[i]), base))
+        self._ids, self._to = [np.concatenate(x) for x in ids], [np.concatenate(x) for x in to]
+        self._kind = np.concatenate([self._kind, kind])
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[list[int]]]:
+        """Ids (A, B) of all units of ``texts``, end to end; where each unit's end;
+        and each text's units, none if a tokenizer changes the text. A unit is a
+        text, or a stretch of a long one."""
+        if len(self._words) > WORDS:
+            self._forget()
+        place = self._words.__getitem__
+        found = [np.fromiter(map(place, t.split(" ")), np.int64) for t in texts]
+        self._learn()
+        for i, at in enumerate(found):  # white space before a space: cut by the rule
+            if (self._kind[at[:-1]] & 1).any():
+                found[i] = np.fromiter((place(w[1:]) for w in _CUT.split(" " + texts[i])), np.int64)
+        self._learn()
+        units, of = [], []
+        for t, at in zip(texts, found):
+            if (self._kind[at] & 2).any():
+                of.append([])
+                continue
+            cut = [0, len(at)]
+            if len(t) > STRETCH:
+                step = np.cumsum(self._to[0][at + 1] - self._to[0][at]) // STRETCH  # of STRETCH ids at most
+                cut = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(at)]
+            of.append(list(range(len(units), len(units) + len(cut) - 1)))
+            units += [at[x:y] for x, y in zip(cut, cut[1:])]
+        at = np.concatenate(units) if units else np.empty(0, np.int64)
+        ends = np.cumsum([len(u) for u in units]).astype(np.int64)
+        out, to = [], []
+        for ids, end in zip(self._ids, self._to):
+            n = end[at + 1] - end[at]
+            upto = np.cumsum(n)
+            out.append(ids[np.arange(n.sum()) + np.repeat(end[at] - upto + n, n)])
+            to.append(upto[ends - 1] if len(ends) else ends)
+        return out, to, of
 
 
 @cache
@@ -180,15 +239,23 @@ def leaves(ends_a: np.ndarray, ends_b: np.ndarray, whole: np.ndarray) -> tuple[n
         ca, cb = cut_a[found], cut_b[found]
         whole = np.concatenate([np.stack([a0, ca, b0, cb]), np.stack([ca, a1, cb, b1])], axis=1)
     out = np.concatenate(done, axis=1)
-    order = np.argsort(out[0], kind="stable")
-    return out[0][order], out[2][order]
+    first_b = np.full(len(ends_a), -1)
+    first_b[out[0]] = out[2]
+    first_a = np.flatnonzero(first_b >= 0)
+    return first_a, first_b[first_a]
 
 
 def linked(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens (A's, B's place) that overlap: one pair for every stretch between
     neighbouring ends of either."""
-    ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    if not len(ends_a):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    last = np.zeros(int(ends_a[-1]) + 1, np.int8)  # of each byte offset: bit 1 ends an A token, bit 2 a B token
+    last[ends_a] = 1
+    last[ends_b] |= 2
+    ends = last[np.flatnonzero(last)]
+    a, b = np.cumsum(ends & 1), np.cumsum(ends >> 1)
+    return a - (ends & 1), b - (ends >> 1)
 
 
 class _Text:
@@ -224,22 +291,22 @@ def align(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) ->
     return *leaves(ends_a, ends_b, whole), *linked(ends_a, ends_b)
 
 
-def _aligned(many: list[tuple[np.ndarray, np.ndarray]], made: Pair) -> list[tuple[int, bytes, np.ndarray]]:
-    """Groups, their text and the link codes (A id, B id) of stretches, all at once."""
-    a, b = (np.concatenate([m[i] for m in many]) for i in (0, 1))
+def _aligned(ids: list[np.ndarray], to: list[np.ndarray], made: Pair) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Groups, their text and the link codes (A id, B id) of units that lie end
+    to end and end at ``to``, all at once."""
+    (a, b), (to_a, to_b) = ids, to
+    if not len(to_a):
+        return
     ends_a, ends_b = np.cumsum(made.len_a[a]), np.cumsum(made.len_b[b])
-    to_a, to_b = (np.cumsum([len(m[i]) for m in many]) for i in (0, 1))
     whole = np.stack([np.append(0, to_a[:-1]), to_a, np.append(0, to_b[:-1]), to_b])
     first_a, first_b = leaves(ends_a, ends_b, whole)
     link_a, link_b = linked(ends_a, ends_b)
     codes = a[link_a].astype(np.int64) << 32 | b[link_b]
     text = _written(len(made.bytes_a), len(made.bytes_b))
     cut_g, cut_l = np.searchsorted(first_a, whole[0]), np.searchsorted(link_a, whole[0])
-    out = []
     for k, (g0, g1, l0, l1) in enumerate(zip(cut_g, np.append(cut_g[1:], len(first_a)), cut_l, np.append(cut_l[1:], len(codes)))):
         a0, a1, b0, b1 = whole[:, k]
-        out.append((int(g1 - g0), text.groups(a[a0:a1], b[b0:b1], first_a[g0:g1] - a0, first_b[g0:g1] - b0), codes[l0:l1]))
-    return out
+        yield int(g1 - g0), text.groups(a[a0:a1], b[b0:b1], first_a[g0:g1] - a0, first_b[g0:g1] - b0), codes[l0:l1]
 
 
 # Corpus
@@ -258,23 +325,22 @@ class _Chunk:
         self.made, self.rows, self.links, self.size = made, [], [], 0
 
     def add(self, batch: list[tuple[str, str | None]]) -> None:
-        """Aligns some texts together; one longer than a stretch by stretches."""
-        found = [(k, self.made.encode(t) if t else None) for k, t in batch]
-        short = [ab for _, ab in found if ab is not None and len(ab[0]) == 1]
-        each = iter(_aligned([(a[0], b[0]) for a, b in short], self.made) if short else [])
-        for k, ab in found:
-            if ab is None:
+        """Aligns some texts together."""
+        ids, to, of = self.made.encode([t for _, t in batch if t])
+        size, each, units = [np.diff(x, prepend=0) for x in to], _aligned(ids, to, self.made), iter(of)
+        for k, t in batch:
+            mine = next(units) if t else []
+            if not mine:
                 self.rows.append((k, 0, 0, 0, ""))
                 self.links.append(np.empty(0, np.int64))
                 continue
-            parts = [next(each)] if len(ab[0]) == 1 else (_aligned([p], self.made)[0] for p in zip(*ab))
             groups, sha, codes, last = 0, hashlib.sha256(), [], b""
-            for n, text, c in parts:
+            for n, text, c in islice(each, len(mine)):
                 sha.update(last)
                 groups, last = groups + n, text
                 codes.append(c)
             sha.update(last[:-1])
-            self.rows.append((k, sum(map(len, ab[0])), sum(map(len, ab[1])), groups, sha.hexdigest()))
+            self.rows.append((k, int(size[0][mine].sum()), int(size[1][mine].sum()), groups, sha.hexdigest()))
             self.links.append(np.concatenate(codes))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -317,7 +383,6 @@ def encoded(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 size += len(text or "")
                 if size > STRETCH or i == len(ks) - 1:
                     chunk.add(held)
-                    made.trim()
                     chunk.size += size
                     held, size = [], 0
                 if chunk.size > CHUNK:

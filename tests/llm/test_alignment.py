@@ -106,8 +106,8 @@ def test_stretches_of_a_long_text(coders, monkeypatch):
     made = alignment.Pair(*alignment.default_paths())
     text = " ".join(f"Wörd{i} thing, \n and  more {i * 7919}" for i in range(300))
     chunk = alignment._Chunk(made)
-    chunk.add([("0", text), ("1", "short"), ("2", None)])
-    want = _plain([text, "short", None], coders)
+    chunk.add([("0", text), ("1", "short"), ("2", None), ("3", "short")])
+    want = _plain([text, "short", None, "short"], coders)
     assert [(r[1], r[2], r[3], len(x), r[4]) for r, x in zip(chunk.rows, chunk.links)] == [(*w[:4], w[6]) for w in want]
 
 
