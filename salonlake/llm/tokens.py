@@ -62,9 +62,12 @@ class Coder:
         self._special = () if special_as_text else tuple(special)
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self._special):
-            return np.array(self._exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not any(x in text for x in self._special):
+            try:
+                return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # its pattern gives up on very long runs of blanks
+                pass
+        return np.array(self._exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @cache
