@@ -18,13 +18,14 @@ repeated rows each get their row.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
 
@@ -191,22 +192,43 @@ class Chain:
         return np.add.reduceat(good * weight, at) / np.add.reduceat(weight, at)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality", sample: int = SAMPLE) -> Chain:
-    """A chain fitted to at most ``sample`` labelled documents of ``docs``."""
+def _fitted(rows: list[tuple[int, int, bytes]]) -> Chain:
+    """A chain from (label, hash, text) rows, in the order of label and hash."""
+    rows = sorted(rows)
+    if len({y for y, _, _ in rows}) < 2:
+        return Chain(min(max(rows[0][0], 1e-6), 1 - 1e-6) if rows else 0.5)
+    return Chain().fit(Lines([t for _, _, t in rows]), np.array([y for y, _, _ in rows]))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """(y, h, t): at most ``sample`` labelled texts of ``docs``, half of either
+    label, those of least hash, copies once."""
     marked = labels.filter(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     hashed = texts.select("_id", F.xxhash64("t").alias("h")).join(marked, "_id")
-    rows = []
-    for y in (0, 1):  # only ids and hashes are shuffled; the sample's bound is proven
-        picked = hashed.filter(F.col("y") == y).groupBy("h", "y").agg(F.min("_id").alias("_id")).orderBy("h").limit(sample // 2)
-        whole = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(picked), ["_id", "h"])
-        rows += whole.dropDuplicates(["h"]).orderBy("h").collect()  # an id may have many rows
-    if len({r.y for r in rows}) < 2:
-        return Chain(min(max(rows[0].y, 1e-6), 1 - 1e-6) if rows else 0.5)
-    texts, label = [r.t.encode() for r in rows], np.array([r.y for r in rows])
-    return Chain().fit(Lines(texts), label)
+    # Only ids and hashes are shuffled, and of those each task's least ones.
+    once = hashed.groupBy("h", "y").agg(F.min("_id").alias("_id"))
+    least = Window.partitionBy("y").orderBy("h")
+    picked = once.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= sample // 2).drop("_r")
+    whole = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(picked), ["_id", "h"])  # ``sample`` rows at most
+    return whole.dropDuplicates(["h", "y"]).select("y", "h", "t")  # an id may have many rows
+
+
+def train(docs: DataFrame, labels: DataFrame, **how) -> Chain:
+    """A chain fitted to ``sampled`` documents by one executor task; only its
+    weights come to the driver."""
+    common.ready(docs.sparkSession)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, bytes]] = []
+        for batch in batches:
+            rows += zip(batch.column("y").to_pylist(), batch.column("h").to_pylist(), common.text_bytes(batch.column("t")))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(rows))], pa.binary())], names=["chain"])
+
+    made = sampled(docs, labels, **how).repartition(1).mapInArrow(fit, "chain binary").first()
+    return pickle.loads(bytes(made.chain)) if made else _fitted([])  # no task: no documents
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

@@ -508,32 +508,36 @@ def test_quality_odd(spark, make, odd):
     assert quality.good(make(odd), quality.train(make(["x"]), labels)).count() == len(odd)
 
 
-def _trained_on(monkeypatch, docs, labels, **kw):
+def _trained_on(docs, labels, **kw):
     """The texts that a chain is fitted to."""
-    seen, lines = [], quality.Lines
-    with monkeypatch.context() as m:
-        m.setattr(quality, "Lines", lambda texts: seen.extend(texts) or lines(texts))
-        quality.train(docs, labels, **kw)
-    return seen
+    return [r.t.encode() for r in quality.sampled(docs, labels, **kw).collect()]
 
 
-def test_quality_learns_from_whole_texts(monkeypatch, spark, make):
+def test_quality_learns_from_whole_texts(spark, make):
     data = ["A good line.\n" * 3000 + "b@d!\n" * 50, "A good line."]
     labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
-    assert sorted(_trained_on(monkeypatch, make(data), labels)) == sorted(t.encode() for t in data)
+    assert sorted(_trained_on(make(data), labels)) == sorted(t.encode() for t in data)
 
 
-def test_quality_learns_from_copies_once(monkeypatch, spark, make):
+def test_quality_learns_from_copies_once(spark, make):
     data = [f"text {i % 3 if i < 30 else i}" for i in range(40)]  # three texts ten times each
     ids = [*range(38), 7, 7]  # repeated rows of an id
     data[38] = data[39] = data[7]
     labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(38)], "doc_id long, quality int")
     want = sorted(t.encode() for t in set(data[:38]))
-    assert sorted(_trained_on(monkeypatch, make(data, ids=ids), labels)) == want
-    some = _trained_on(monkeypatch, make(data, ids=ids), labels, sample=6)
+    assert sorted(_trained_on(make(data, ids=ids), labels)) == want
+    some = _trained_on(make(data, ids=ids), labels, sample=6)
     assert len(some) == len(set(some)) == 6
 
 
+def test_quality_is_fitted_in_a_task_as_in_the_driver(spark, make):
+    data = [("Good words in a line.\n" if i % 2 else "b@d!! x9 ~~\n") * (1 + i % 5) + str(i) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    chain = quality.train(make(data), labels)
+    plain = quality._fitted([(r.y, r.h, r.t.encode()) for r in quality.sampled(make(data), labels).collect()])
+    assert chain.fitted and np.allclose(chain.w, plain.w) and np.allclose(chain.t, plain.t)
+
+
 def test_quality_keeps_all_when_nothing_is_learnt(spark, make, odd):
     labels = spark.createDataFrame([(0, 0), (1, 0), (99, 1)], "doc_id long, quality int")
     for some in (labels.limit(0), labels, labels.filter("doc_id = 99")):
