@@ -17,15 +17,21 @@ decision can be computed in bulk:
   1. each appointment's state before/after each request is a per-appointment
      "last sent value" scan (skew-safe ``operators.sequence`` scans);
   2. every accepted change is a -1 event on its previous slot (if open) and a
-     +1 event on its new slot (if open); the snapshot's open appointments are
-     +1 events before the batch; the occupancy a request meets is the running
-     sum of its slot's events before it (again a skew-safe scan per slot, so a
-     hot slot is split across tasks), minus itself.
-Decision i depends only on decisions j < i, so iterating this bulk step from
-"all accepted" reaches the unique fixpoint — the sequential result — and the
-iteration stops when no decision changes (no cap). Each round costs a few
-shuffles; the number of rounds is the length of the longest chain of
-requests whose outcome changed an earlier-decided slot, usually 2-3.
+     +1 event on its new slot (if open); the snapshot's open appointments enter
+     as one count per slot that the batch can reach; the occupancy a request
+     meets is the running sum of its slot's events before it (again a skew-safe
+     scan per slot, so a hot slot is split across tasks), minus itself.
+Decision i depends only on decisions j < i, so a round that changes nothing has
+found the sequential result. Rounds work on a shrinking frontier:
+  * requests fall into components that share no appointment and no slot that
+    one of their appointments could ever be in; a component in which a round
+    changed nothing is settled and leaves the working set;
+  * after the second round, components of at most ``REPLAY`` requests that are
+    not settled (long chains in which each outcome hangs on the one before) are
+    replayed one by one, each in one task, at a cost in proportion to their
+    rows; a larger one, such as a hot slot, goes on in bulk rounds, which settle
+    contention for a slot at once. Only a chain of more than ``REPLAY`` dependent
+    outcomes in one component takes a round for each of them.
 """
 
 from __future__ import annotations
@@ -35,8 +41,14 @@ from pyspark.sql import functions as F
 
 from salonlake.functions.expressions import OPEN_STATUSES, blank, parse_date, parse_number
 from salonlake.functions.validation import APPOINTMENT_CREATE, APPOINTMENT_UPDATE, validate
+from salonlake.operators.components import components
 from salonlake.operators.sequence import scan, sliced
+from salonlake.session import ensure_checkpoint_dir
 
+#: Requests of a component that one task replays.
+REPLAY = 50_000
+#: Slots an appointment may reach before its employees stand for them.
+_REACH = 64
 _NEVER = -(2 ** 62)  # event time of the snapshot: before every request
 
 
@@ -145,19 +157,19 @@ def _decide(s: DataFrame, open_snap: DataFrame) -> DataFrame:
     enter = a.where(after_open & F.col("emp_a").isNotNull()).select(
         F.col("emp_a").alias("e"), F.col("date_a").alias("d"), "request_seq",
         F.lit(1).alias("w"), F.col("akey").alias("tie"))
-    snap = open_snap.select("e", "d", F.lit(_NEVER).alias("request_seq"), F.lit(1).alias("w"),
-                            "tie")
-    events = leave.unionByName(enter).unionByName(snap).join(targets, ["e", "d"], "left_semi")
     # A request meets the events of strictly earlier requests: at equal
     # request_seq its query (kind 0) sorts before its own events (kind 1).
-    # ``tie`` (the appointment) keeps a slot's many snapshot rows apart, so a
-    # hot slot is cut into several slices. Rows of appointment 0 do not block
-    # inserts (the source excludes id 0 there), hence the second weight.
-    ev = events.select("e", "d", "request_seq", F.lit(1).alias("kind"), "tie", "w",
-                       F.when(F.col("tie") == 0, F.lit(0)).otherwise(F.col("w")).alias("w0"))
+    # Appointment 0 does not block inserts (the source excludes id 0 there),
+    # hence the second weight.
+    moved = leave.unionByName(enter).select(
+        "e", "d", "request_seq", "tie", F.col("w").cast("bigint").alias("w"),
+        F.when(F.col("tie") == 0, F.lit(0)).otherwise(F.col("w")).cast("bigint").alias("w0"))
+    snap = open_snap.select("e", "d", F.lit(_NEVER).alias("request_seq"), F.lit(0).cast("bigint").alias("tie"), "w", "w0")
+    ev = moved.unionByName(snap).join(targets, ["e", "d"], "left_semi").select(
+        "e", "d", "request_seq", F.lit(1).alias("kind"), "tie", "w", "w0")
     qs = q.select(F.col("emp_t").alias("e"), F.col("date_t").alias("d"), "request_seq",
                   F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("tie"),
-                  F.lit(0).alias("w"), F.lit(0).alias("w0"))
+                  F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("w0"))
     order = ["request_seq", "kind", "tie"]
     u = sliced(ev.unionByName(qs), ["e", "d"], [F.col(c) for c in order])
     u = scan(u, ["e", "d"], order, ["w", "w0"], ["occ", "occ0"])
@@ -181,38 +193,173 @@ def decide_batch(appointments: DataFrame, batch: DataFrame) -> DataFrame:
     ``batch``: request_seq, op (insert|update|cancel), id (updates, cancels),
     employee_id, appointment_date, status (+ any other appointment fields),
     all as text like a JSON body."""
-    r = _prepare(appointments, batch)
-    r = sliced(r, ["akey"], [F.col("request_seq")])
-    # The snapshot's open, staffed appointments are read every round: keep
-    # that narrow projection (spills to disk if large; rebuilt from lineage
-    # if an executor is lost).
-    open_snap = (appointments
-                 .where(_is_open(F.col("status")) & F.col("employee_id").isNotNull())
-                 .select(F.col("employee_id").alias("e"), F.col("appointment_date").alias("d"),
-                         F.col("id").alias("tie"))
-                 .persist())
-    acc = r.select("request_seq", (F.col("is_valid") & F.col("found")).alias("acc"))
-    try:
-        while True:
-            s = r.join(acc, "request_seq", "left")
-            d = _decide(s, open_snap).checkpoint(eager=True)
-            new = d.select("request_seq", (F.col("decision") == "accepted").alias("acc"))
-            changed = new.join(acc.withColumnRenamed("acc", "_old"), "request_seq") \
-                         .where(F.col("acc") != F.col("_old"))
-            if changed.isEmpty():
-                return r.join(d, "request_seq").select("request_seq", "op", "id", "decision")
-            acc = new
-    finally:
-        open_snap.unpersist()
+    ensure_checkpoint_dir(batch.sparkSession)
+    r = sliced(_prepare(appointments, batch), ["akey"], [F.col("request_seq")])
+    open_snap = _open_counts(appointments, r)
+    acts = F.col("is_valid") & F.col("found")
+    first = _round(r, r.select("request_seq", acts.alias("acc")), open_snap)
+    now = _round(r, _accepted(first), open_snap)
+    done = _undecided(first, now)
+    if done.isEmpty():
+        return _told(r, now)
+
+    # The rest, by components: settled ones, short ones, long ones.
+    part = _components(r.where(acts)).checkpoint(eager=True)
+    hurt = part.join(done, "request_seq", "left_semi").select("component").distinct()
+    size = part.join(hurt, "component", "left_semi").groupBy("component").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    small = part.join(size.where(F.col("n") <= REPLAY), "component", "left_semi")
+    large = part.join(size.where(F.col("n") > REPLAY), "component", "left_semi").checkpoint(eager=True)
+    replayed = _replayed(r.join(small.select("request_seq", "component"), "request_seq"), small, open_snap)
+    settled = [replayed]
+    while not large.isEmpty():
+        work = r.join(large.select("request_seq"), "request_seq", "left_semi")
+        new = _round(work, _accepted(now), open_snap)
+        hurt = large.join(_undecided(now, new), "request_seq", "left_semi").select("component").distinct()
+        hurt = hurt.checkpoint(eager=True)
+        settled.append(new.join(large.join(hurt, "component", "left_anti").select("request_seq"), "request_seq", "left_semi"))
+        large = large.join(hurt, "component", "left_semi").checkpoint(eager=True)
+        now = now.join(new.select("request_seq"), "request_seq", "left_anti").unionByName(new).checkpoint(eager=True)
+    for d in settled:
+        d = d.checkpoint(eager=True)
+        now = now.join(d.select("request_seq"), "request_seq", "left_anti").unionByName(d)
+    return _told(r, now)
+
+
+def _told(r: DataFrame, decisions: DataFrame) -> DataFrame:
+    return r.join(decisions, "request_seq").select("request_seq", "op", "id", "decision")
+
+
+def _accepted(decisions: DataFrame) -> DataFrame:
+    return decisions.select("request_seq", (F.col("decision") == "accepted").alias("acc"))
+
+
+def _undecided(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Requests that a round decided otherwise than the round before."""
+    old = before.select("request_seq", F.col("decision").alias("_old"))
+    return now.join(old, "request_seq").where(F.col("decision") != F.col("_old")).select("request_seq")
+
+
+def _round(r: DataFrame, acc: DataFrame, open_snap: DataFrame) -> DataFrame:
+    return _decide(r.join(acc, "request_seq", "left"), open_snap).checkpoint(eager=True)
+
+
+def _reach(r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (akey, e) and (akey, d): employees and days that an appointment
+    of the batch has or is sent."""
+    e = r.select("akey", F.explode(F.array("emp0", "emp_req")).alias("e")).where(F.coalesce(F.col("e") != 0, F.lit(False)))
+    d = r.select("akey", F.explode(F.array("date0", "date_req")).alias("d")).where("d is not null")
+    return e.distinct(), d.distinct()
+
+
+def _open_counts(appointments: DataFrame, r: DataFrame) -> DataFrame:
+    """Open appointments per slot (``w``; ``w0`` without id 0) of the employees
+    and days that the batch can reach: the table is cut by them where it is read."""
+    e, d = _reach(r)
+    held = appointments.where(_is_open(F.col("status"))).select(
+        F.col("employee_id").alias("e"), F.col("appointment_date").alias("d"), "id")
+    held = held.join(e.select("e").distinct(), "e", "left_semi").join(d.select("d").distinct(), "d", "left_semi")
+    return held.groupBy("e", "d").agg(F.count(F.lit(1)).alias("w"), F.count(F.when(F.col("id") != 0, 1)).alias("w0")).checkpoint(eager=True)
+
+
+def _slot(e: str = "e", d: str = "d") -> Column:
+    return F.concat(F.lit("s:"), F.col(e).cast("string"), F.lit(":"), F.col(d).cast("string"))
+
+
+def _person(e: str = "e") -> Column:
+    return F.concat(F.lit("e:"), F.col(e).cast("string"))
+
+
+def _components(r: DataFrame) -> DataFrame:
+    """(request_seq, akey, component): requests that could ever meet share a
+    component. An appointment with few reachable slots is tied to those slots,
+    one with many to its employees, and their slots to them."""
+    e, d = _reach(r)
+    wide = e.groupBy("akey").agg(F.count(F.lit(1)).alias("_e")).join(d.groupBy("akey").agg(F.count(F.lit(1)).alias("_d")), "akey")
+    wide = wide.where(F.col("_e") * F.col("_d") > _REACH).select("akey").checkpoint(eager=True)
+    near = e.join(wide, "akey", "left_anti").join(d, "akey").select("akey", "e", "d").checkpoint(eager=True)
+    node = F.concat(F.lit("a:"), F.col("akey").cast("string"))
+    edges = near.select(node.alias("a"), _slot().alias("b"))
+    far = e.join(wide, "akey", "left_semi").checkpoint(eager=True)
+    edges = edges.unionByName(far.select(node.alias("a"), _person().alias("b")))
+    edges = edges.unionByName(near.select("e", "d").distinct().join(far.select("e").distinct(), "e", "left_semi").select(
+        _person().alias("a"), _slot().alias("b")))
+    found = components(edges)
+    alone = r.select("request_seq", "akey", node.alias("node")).join(found, "node", "left")
+    return alone.select("request_seq", "akey", F.coalesce("component", "node").alias("component"))
+
+
+def _replayed(r: DataFrame, part: DataFrame, open_snap: DataFrame) -> DataFrame:
+    """Decisions of components of at most ``REPLAY`` requests, one task each:
+    the requests in order over their appointments and over what others hold of
+    the slots that these can reach."""
+    r = r.checkpoint(eager=True)
+    e, d = _reach(r)
+    comp = part.select("akey", "component").distinct()
+    # What the batch's own appointments hold is theirs to move: not counted here.
+    mine = r.where(_is_open(F.col("status0")) & (F.col("op") != "insert")).select(
+        "akey", F.col("emp0").alias("e"), F.col("date0").alias("d")).distinct().groupBy("e", "d").agg(
+        (-F.count(F.lit(1))).alias("w"), (-F.count(F.when(F.col("akey") != 0, 1))).alias("w0"))
+    rest = open_snap.unionByName(mine).groupBy("e", "d").agg(F.sum("w").alias("w"), F.sum("w0").alias("w0")).where("w > 0")
+    # Slots go to the components whose employees and days they have: a superset
+    # of what these can reach, at most what is stored for them.
+    ec = e.join(comp, "akey").select("component", "e").distinct()
+    dc = d.join(comp, "akey").select(F.col("component").alias("_c"), F.col("d").alias("_d")).distinct()
+    held = rest.join(ec, "e").join(dc, (F.col("component") == F.col("_c")) & (F.col("d") == F.col("_d"))).select(
+        "component", "e", "d", "w", "w0")
+    asked = r.select("component", "request_seq", "op", "akey", "emp_sent", "emp_req", "date_req", "status_req", "emp0", "date0", "status0")
+    open_statuses = tuple(OPEN_STATUSES)
+
+    def replay(left, right):
+        import pyarrow as pa
+
+        others = {(x["e"], x["d"]): (x["w"], x["w0"]) for x in right.to_pylist()}
+        rows = sorted(left.to_pylist(), key=lambda x: x["request_seq"])
+        state, taken = {}, {}
+
+        def enter(akey, by):
+            emp, date, status = state[akey]
+            if emp is not None and date is not None and status in open_statuses:
+                n, n0 = taken.get((emp, date), (0, 0))
+                taken[emp, date] = (n + by, n0 + (by if akey != 0 else 0))
+
+        for x in rows:
+            if x["op"] != "insert" and x["akey"] not in state:
+                state[x["akey"]] = (x["emp0"], x["date0"], x["status0"])
+                enter(x["akey"], 1)
+        seqs, told = [], []
+        for x in rows:
+            key, op = x["akey"], x["op"]
+            emp, date, status = state.get(key, (None, None, None))
+            to_emp = x["emp_req"] if x["emp_sent"] else emp
+            to_date = date if x["date_req"] is None else x["date_req"]
+            checked = bool(x["emp_req"]) if op == "insert" else op == "update" and (
+                x["date_req"] is not None or (x["emp_sent"] and bool(x["emp_req"])))
+            clash = False
+            if checked and to_emp and to_date is not None:
+                n, n0 = taken.get((to_emp, to_date), (0, 0))
+                w, w0 = others.get((to_emp, to_date), (0, 0))
+                own = op != "insert" and (emp, date) == (to_emp, to_date) and status in open_statuses
+                clash = (n0 + w0 if op == "insert" else n + w - own) > 0
+            if not clash:
+                if key in state:
+                    enter(key, -1)
+                state[key] = (to_emp, to_date, status if x["status_req"] is None else x["status_req"])
+                enter(key, 1)
+            seqs.append(x["request_seq"])
+            told.append("conflict" if clash else "accepted")
+        return pa.table({"request_seq": pa.array(seqs, pa.int64()), "decision": pa.array(told, pa.string())})
+
+    return asked.groupBy("component").cogroup(held.groupBy("component")).applyInArrow(replay, "request_seq long, decision string")
 
 
 def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: DataFrame = None,
-                            as_of=None):
+                            as_of=None, made_by: bool = False):
     """(decisions, new snapshot[, ledger postings]): accepted updates and
     cancellations are applied with COALESCE semantics in request order,
     accepted inserts get sequential ids after the largest existing id. With
-    a ``ledger`` and ``as_of``, accepted updates that complete an
-    appointment with a price also yield the automatic income rows."""
+    a ``ledger`` and ``as_of`` (a date or a column of the batch), accepted
+    updates that complete an appointment with a price also yield the automatic
+    income rows. ``made_by`` adds the request that made a row as ``_made_by``."""
     from salonlake.functions.expressions import parse_money, truthy
     from salonlake.operators.writes import apply_updates, assign_ids, max_id, post_completed
 
@@ -260,8 +407,8 @@ def apply_appointment_batch(appointments: DataFrame, batch: DataFrame, ledger: D
         F.when(~blank(F.col("notes")), F.col("notes")).alias("notes"),
         F.when(truthy(F.col("price")), parse_money(F.col("price"))).alias("price"),
         F.col("actor_id").alias("created_by"), F.col("now").alias("created_at"))
-    new = assign_ids(new, max_id(appointments)).withColumn("n_updates", F.lit(0)) \
-        .drop("request_seq")
+    new = assign_ids(new, max_id(appointments)).withColumn("n_updates", F.lit(0))
+    new = new.withColumnRenamed("request_seq", "_made_by") if made_by else new.drop("request_seq")
     snapshot = updated.unionByName(new, allowMissingColumns=True)
     if ledger is None:
         return d, snapshot

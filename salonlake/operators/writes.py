@@ -65,6 +65,14 @@ def known(batch: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
     return batch.join(hit, key, "left_semi")
 
 
+def stored_values(batch: DataFrame, table: DataFrame, value: str, out: str, key: str = "id") -> DataFrame:
+    """``batch`` with ``out``: the stored ``value`` of the row that ``key`` names
+    (NULL if there is none). The table is cut to those rows where it is read."""
+    ids = batch.select(F.col(key).alias("_sid")).where("_sid is not null").distinct()
+    held = table.select(F.col("id").alias("_sid"), F.col(value).alias(out)).join(ids, "_sid", "left_semi")
+    return batch.join(held, batch[key] == held["_sid"], "left").drop("_sid")
+
+
 def max_id(table: DataFrame) -> Column:
     """Scalar subquery: the largest id of ``table`` (0 when empty)."""
     return table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
@@ -168,16 +176,19 @@ def insert_users(users: DataFrame, new: DataFrame, rules: dict[str, Rule]) -> Da
     """Accepted sign-ups: valid, first of their email in the batch, email not
     taken; new ids follow the current largest id in request order."""
     v = validate(new, rules).where("is_valid")
-    v = v.select("request_seq", *[escape_markup(F.col(c)).alias(c)
-                                  for c in ("full_name", "email", "phone", "role")])
+    made = [F.col("now").alias("created_at")] if "now" in v.columns else []
+    v = v.select("request_seq", *made, *[escape_markup(F.col(c)).alias(c)
+                                         for c in ("full_name", "email", "phone", "role")])
     first = v.groupBy("email").agg(F.min("request_seq").alias("request_seq"))
     v = v.join(first, ["email", "request_seq"], "left_semi")
-    v = v.join(users.select("email"), "email", "left_anti")
+    # The table is cut to the batch's e-mails where it is read.
+    taken = users.select("email").join(first.select("email"), "email", "left_semi")
+    v = v.join(taken, "email", "left_anti")
     v = v.withColumn("role", F.coalesce(F.when(~blank(F.col("role")), F.col("role")),
                                         F.lit("employee")))
     v = assign_ids(v, max_id(users))
     return v.select("id", "full_name", "email", "phone", "role",
-                    F.lit(1).alias("is_active"), "request_seq")
+                    F.lit(1).alias("is_active"), *[c for c in v.columns if c == "created_at"], "request_seq")
 
 
 # ------------------------------------------------------ H6 double booking
@@ -201,8 +212,11 @@ def booking_accept(appointments: DataFrame, requests: DataFrame, rules: dict[str
     first_open = (r.where(checked & F.col("status").isin(*OPEN_STATUSES))
                   .groupBy("employee_id", "appointment_date")
                   .agg(F.min("request_seq").alias("_first_open")))
+    # The table is cut to the batch's slots where it is read.
+    slots = r.where(checked).select("employee_id", "appointment_date").distinct()
     existing = (appointments.where(F.col("status").isin(*OPEN_STATUSES)
                                    & F.col("employee_id").isNotNull() & (F.col("id") != 0))
+                .select("employee_id", "appointment_date").join(slots, ["employee_id", "appointment_date"], "left_semi")
                 .groupBy("employee_id", "appointment_date")
                 .agg(F.lit(True).alias("_taken")))
     keys = (first_open.join(existing, ["employee_id", "appointment_date"], "full")
@@ -230,17 +244,18 @@ def booking_conflicts(appointments: DataFrame) -> DataFrame:
 
 # ------------------------------------------------- H7 automatic ledger posting
 def post_completed(appointments: DataFrame, ledger: DataFrame, updates: DataFrame,
-                   rules: dict[str, Rule], as_of: dt.date) -> DataFrame:
-    """Ledger rows created by updates that complete an appointment with a
-    price: valid update of an existing appointment, status 'completed', a
+                   rules: dict[str, Rule], as_of: dt.date | Column) -> DataFrame:
+    """Ledger rows, dated ``as_of``, created by updates that complete an
+    appointment with a price: valid update of an existing appointment, status 'completed', a
     non-empty price, and no ledger row for that appointment yet (neither
     before the batch nor from an earlier update of the batch)."""
     v = validate(updates, rules).where("is_valid")
     q = known(v.where((F.col("status") == "completed") & truthy(F.col("price"))), appointments)
     first = q.groupBy("id").agg(F.min("request_seq").alias("request_seq"))
     q = q.join(first, ["id", "request_seq"], "left_semi")
-    q = q.join(ledger.where(F.col("appointment_id").isNotNull())
-               .select(F.col("appointment_id").alias("id")), "id", "left_anti")
+    # The ledger is cut to the batch's appointments where it is read.
+    posted = ledger.select(F.col("appointment_id").alias("id")).join(q.select("id").distinct(), "id", "left_semi")
+    q = q.join(posted, "id", "left_anti")
     rows = q.select(
         "request_seq",
         F.lit("income").alias("type"),
@@ -273,8 +288,7 @@ def stock_change_log(inventory: DataFrame, sets: DataFrame) -> DataFrame:
           .withColumn("new_quantity", parse_int_prefix(F.col("quantity")))
           .where(F.col("new_quantity").isNotNull()))
     ok = previous_value(ok, ["id"], [F.col("request_seq")], "new_quantity", "_prev")
-    inv = inventory.select(F.col("id").alias("_iid"), F.col("quantity").alias("_stored"))
-    j = ok.join(inv, ok.id == inv._iid, "left")
+    j = stored_values(ok, inventory, "quantity", "_stored")
     prev = F.coalesce(F.col("_prev"), F.col("_stored"))
     new = F.col("new_quantity")
     return j.select(

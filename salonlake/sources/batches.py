@@ -97,7 +97,7 @@ def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = raw(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(
-        k.alias("request_seq"),
+        k.alias("request_seq"), F.timestamp_seconds(F.lit(1700000000) + k).cast("timestamp_ntz").alias("now"),
         F.when(k % 11 == 0, F.lit("B")).otherwise(F.col("c_name")).alias("full_name"),
         F.concat(F.lit("u"), _s(k % 130), F.lit("@example.com")).alias("email"),
         F.lit(None).cast("string").alias("phone"),
@@ -278,3 +278,73 @@ def inventory_mixed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("category"),
         F.lit(None).cast("string").alias("description"),
         F.when((et != "click") & (k % 3 == 0), et).alias("reason"))
+
+
+def _aligned(*parts: DataFrame) -> DataFrame:
+    """Union of requests that carry different fields (absent ones are NULL)."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def customer_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer requests of all kinds in one batch: updates and deletes of the
+    same customers in turn, creates, and lines that no one can apply (corrupt,
+    without a place in the order, of an unknown kind)."""
+    k = F.col("request_seq")
+    updates = customer_changes(spark, sf_dir).withColumn("request_seq", 2 * k)
+    deletes = customer_deletes(spark, sf_dir).select((2 * k + 1).alias("request_seq"), "actor_id", "now", F.lit("delete").alias("op"), "id")
+    new = customer_creates(spark, sf_dir)
+    new = new.withColumns({
+        "op": F.when(k % 83 == 0, F.lit("merge")).otherwise(F.lit("insert")),
+        "_corrupt_record": F.when(k % 97 == 0, F.concat(F.lit("{"), _s(k))),
+        "request_seq": F.when(k % 89 == 0, F.lit(None).cast("bigint")).otherwise(k + SECOND_SOURCE_SEQ)})
+    return _aligned(updates, deletes, new)
+
+
+def ledger_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger creates, updates (also of rows deleted just before) and deletes."""
+    k = F.col("event_id")
+    new = ledger_creates(spark, sf_dir).withColumns({"op": F.lit("insert"), "request_seq": 3 * F.col("request_seq")})
+    e = raw(spark, sf_dir, "events").where(F.col("event_type").isin("view", "error"))
+    updates = e.select(
+        (3 * k + 1).alias("request_seq"), F.lit("update").alias("op"), (k - k % 2).alias("id"),
+        F.when(k % 5 == 0, F.lit("Infinity")).when(k % 7 == 0, F.lit("0")).otherwise(_s(F.col("value"))).alias("amount"),
+        F.when(k % 11 == 0, F.lit("gift")).alias("type"))
+    deletes = ledger_deletes(spark, sf_dir).select((3 * F.col("request_seq") + 2).alias("request_seq"), F.lit("delete").alias("op"), "id")
+    return _aligned(new, updates, deletes)
+
+
+def service_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One new service per part (some invalid, some with markup)."""
+    p = raw(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("request_seq"), (k % 20).alias("actor_id"), F.timestamp_seconds(F.lit(1700000000) + k).cast("timestamp_ntz").alias("now"),
+        F.when(k % 17 == 0, F.lit("x")).when(k % 5 == 0, F.concat(F.lit("<b>"), "p_name")).otherwise(F.col("p_name")).alias("name"),
+        F.when(k % 19 == 0, F.lit("-1")).when(k % 23 == 0, F.lit("Infinity")).otherwise(_s(F.col("p_retailprice"))).alias("price"),
+        F.when(k % 13 == 0, F.lit("4")).when(k % 29 == 0, F.lit("481")).otherwise(_s(F.col("p_size") + 5)).alias("duration_minutes"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(F.col("p_brand")).alias("category"),
+        F.col("p_type").alias("description"))
+
+
+def ledger_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger updates, several for one row, some invalid, some of unknown rows."""
+    e = raw(spark, sf_dir, "events")
+    k = F.col("event_id")
+    return e.select(
+        k.alias("request_seq"), (k % 20).alias("actor_id"), F.col("ts").alias("now"),
+        F.when(k % 10 == 0, k + UNKNOWN_ID_OFFSET).otherwise(k - k % 4).alias("id"),
+        F.when(k % 11 == 0, F.lit("gift")).when(k % 3 == 0, F.lit("expense")).alias("type"),
+        F.when(k % 7 == 0, F.lit("c")).when(k % 2 == 0, F.col("event_type")).alias("category"),
+        F.when(k % 13 == 0, F.lit("0")).when(k % 4 == 1, _s(F.col("value"))).alias("amount"),
+        F.when(k % 17 == 0, F.lit("2024-02-30")).when(k % 5 == 0, F.date_format("ts", "yyyy-MM-dd")).alias("date"),
+        F.lit(None).cast("string").alias("description"))
+
+
+def appointment_cancels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancellations, some appointments twice, some of unknown ones."""
+    e = raw(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup"))
+    k = F.col("event_id")
+    return e.select(k.alias("request_seq"), (k % 20).alias("actor_id"), F.col("ts").alias("now"), (k - k % 3).alias("id"))

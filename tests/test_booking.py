@@ -107,3 +107,64 @@ def test_mixed_batch_matches_replay(spark):
                      for i, a in table.items() if i >= 0}
     assert snap.where("id >= 40").count() == sum(1 for v in got.values() if v == "accepted") \
         - sum(1 for r in batch if r["op"] != "insert" and got[r["request_seq"]] == "accepted")
+
+
+def _moves(n, blocked):
+    """Appointment k holds slot k and moves to slot k - 1, one after the other;
+    slot 0 is taken by another appointment if ``blocked``."""
+    day = dt.date(2024, 1, 1)
+    snapshot = [(k, k + 1, day, "scheduled") for k in range(1, n + 1)]
+    snapshot += [(n + 1, 1, day, "confirmed")] if blocked else []
+    batch = [(k, "update", k, str(k), None, None) for k in range(1, n + 1)]
+    return snapshot, batch
+
+
+def _frames(spark, snapshot, batch):
+    snap = spark.createDataFrame(snapshot, "id long, employee_id long, appointment_date date, status string")
+    req = spark.createDataFrame(batch, "request_seq long, op string, id long, employee_id string, appointment_date string, status string")
+    for c in ("customer_id", "service_id", "price", "notes"):
+        req = req.withColumn(c, F.lit(None).cast("string"))
+    return snap, req
+
+
+def test_chain_of_2000_moves_needs_no_round_for_each(spark, monkeypatch):
+    from salonlake.operators import booking
+    rounds = []
+    real = booking._decide
+    monkeypatch.setattr(booking, "_decide", lambda *a: rounds.append(1) or real(*a))
+    for blocked, want in ((True, "conflict"), (False, "accepted")):
+        rounds.clear()
+        got = booking.decide_batch(*_frames(spark, *_moves(2000, blocked))).collect()
+        assert len(got) == 2000 and {r.decision for r in got} == {want}
+        assert len(rounds) <= 2
+
+
+def test_components_settle_in_bulk_or_by_replay_alike(spark, monkeypatch):
+    """The same batch with all components replayed, and with none."""
+    from salonlake.operators import booking
+    rnd = random.Random(11)
+    day = dt.date(2024, 1, 1)
+    snapshot = [(i, rnd.randrange(1, 7), day + dt.timedelta(days=rnd.randrange(2)), "scheduled") for i in range(30)]
+    batch = []
+    for seq in range(1, 120):
+        op = rnd.choices(["insert", "update", "cancel"], [2, 6, 1])[0]
+        emp = str(rnd.randrange(1, 7)) if op == "insert" or rnd.random() < 0.7 else None
+        to = (day + dt.timedelta(days=rnd.randrange(2))).isoformat() if op == "insert" or rnd.random() < 0.5 else None
+        batch.append((seq, op, None if op == "insert" else rnd.randrange(30), emp, to, None))
+    snap, req = _frames(spark, snapshot, batch)
+    req = req.withColumns({"customer_id": F.lit("1"), "service_id": F.lit("1")})
+    table = {i: {"id": i, "employee_id": e, "date": d, "status": s} for i, e, d, s in snapshot}
+    names = ("request_seq", "op", "id", "employee_id", "appointment_date", "status")
+    want = _replay(snapshot, [dict(zip(names, r)) for r in batch], table)
+    for most, reach in ((50_000, 64), (0, 64), (50_000, 1)):
+        monkeypatch.setattr(booking, "REPLAY", most)
+        monkeypatch.setattr(booking, "_REACH", reach)
+        assert {r.request_seq: r.decision for r in booking.decide_batch(snap, req).collect()} == want
+
+
+def test_components_of_a_path_and_a_star(spark):
+    from salonlake.operators.components import components
+    edges = [(f"p{i}", f"p{i + 1}") for i in range(300)] + [("hub", f"x{i}") for i in range(200)] + [("z", "z")]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert {got[f"p{i}"] for i in range(301)} == {"p0"} and {got[f"x{i}"] for i in range(200)} == {"hub"}
+    assert got["hub"] == "hub" and got["z"] == "z"

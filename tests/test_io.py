@@ -28,9 +28,10 @@ def test_report_dispatch_and_envelope(spark):
     with pytest.raises(ValueError):
         report(t, "nope", PERIOD)
     out = tempfile.mkdtemp(prefix="salonlake-report-")
-    tables.write_report(rows, summary, out, "revenue", PERIOD.start, PERIOD.end,
-                        dt.datetime(2026, 1, 1))
+    tables.write_report(rows, out, "revenue", PERIOD.start, PERIOD.end, dt.datetime(2026, 1, 1))
     env = tables.envelope_json(spark, out)
+    assert env["summary"]["revenue"] == pytest.approx(
+        {"totalIncome": s.total_income, "totalExpense": s.total_expense, "netProfit": s.net_profit})
     assert env["reportType"] == "revenue" and env["count"] == rows.count()
     assert spark.read.json(f"{out}/results").count() == rows.count()
 
