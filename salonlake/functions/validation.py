@@ -7,8 +7,8 @@ Rule semantics follow the source system's input checks:
 * ``email``/``number``/``date`` are text-shape checks (a real calendar date
   is required, so 2024-02-30 fails);
 * ``min_length``/``max_length`` count characters;
-* ``min``/``max`` compare the numeric value, and do not fire when the value
-  is not a number (``number`` reports that);
+* ``min``/``max`` compare the numeric value (an infinity too), and do not fire
+  when the value is not a number (``number`` reports that);
 * ``enum`` is an exact, case-sensitive membership test.
 """
 
@@ -23,6 +23,7 @@ from salonlake.functions.expressions import (APPOINTMENT_STATUSES, DATE_PATTERN,
                                              LEDGER_TYPES, blank, parse_date, parse_number)
 
 _INFINITY = r"^\s*[+-]?Infinity\s*$"
+_MINUS_INFINITY, _PLUS_INFINITY = r"^\s*-Infinity\s*$", r"^\s*[+]?Infinity\s*$"
 
 
 @dataclass(frozen=True)
@@ -60,9 +61,11 @@ def field_errors(name: str, rule: Rule, value: Column | None = None) -> list[Col
         checks.append((F.char_length(s) > rule.max_length, "max_length"))
     num = parse_number(s)
     if rule.min is not None:
-        checks.append((num < F.lit(rule.min), "min"))
+        below = F.regexp_like(s, F.lit(_MINUS_INFINITY))  # a number, and less than any
+        checks.append((F.coalesce(num < F.lit(rule.min), below), "min"))
     if rule.max is not None:
-        checks.append((num > F.lit(rule.max), "max"))
+        above = F.regexp_like(s, F.lit(_PLUS_INFINITY))
+        checks.append((F.coalesce(num > F.lit(rule.max), above), "max"))
     if rule.enum is not None:
         checks.append((~s.isin(*rule.enum), "enum"))
     for cond, code in checks:

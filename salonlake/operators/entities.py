@@ -22,7 +22,7 @@ from salonlake.functions.expressions import (blank, escape_markup, parse_money,
 from salonlake.operators.sequence import previous_value
 from salonlake.operators.writes import (STOCK_CREATE_REASON, STOCK_UPDATE_REASON, apply_updates,
                                         assign_ids, booking_accept, known, max_id,
-                                        parse_int_prefix)
+                                        parse_int_prefix, stored_values)
 
 
 def _opt(c: str) -> Column:
@@ -199,8 +199,7 @@ def update_inventory(inventory: DataFrame, changes: DataFrame,
     snap = apply_updates(inventory, v, cols)
     sets = v.where(F.col("quantity").isNotNull())
     sets = previous_value(sets, ["id"], [F.col("request_seq")], "quantity", "_prev")
-    stored = inventory.select(F.col("id").alias("_iid"), F.col("quantity").alias("_stored"))
-    j = sets.join(stored, sets["id"] == stored["_iid"], "left")
+    j = stored_values(sets, inventory, "quantity", "_stored")
     prev = F.coalesce(F.col("_prev"), F.col("_stored"))
     new = F.col("quantity")
     log = j.where(new != prev).select(
@@ -208,7 +207,7 @@ def update_inventory(inventory: DataFrame, changes: DataFrame,
         F.when(new > prev, F.lit("increase")).otherwise(F.lit("decrease")).alias("change_type"),
         (new - prev).alias("quantity_change"), prev.alias("previous_quantity"),
         new.alias("new_quantity"), F.lit(STOCK_UPDATE_REASON).alias("reason"),
-        F.col("actor_id").alias("created_by"))
+        F.col("actor_id").alias("created_by"), *_when(v))
     return snap, log
 
 
@@ -231,7 +230,6 @@ def inventory_batch(inventory: DataFrame, batch: DataFrame) -> tuple[DataFrame,
     op = F.lower(F.col("op"))
     first_del = (batch.where(op == "delete").groupBy(F.col("id").cast("bigint").alias("_did"))
                  .agg(F.min("request_seq").alias("_del_seq")))
-    stored = inventory.select(F.col("id").alias("_iid"), F.col("quantity").alias("_stored"))
 
     def alive(df: DataFrame) -> DataFrame:
         j = df.join(first_del, df["id"] == first_del["_did"], "left")
@@ -258,7 +256,7 @@ def inventory_batch(inventory: DataFrame, batch: DataFrame) -> tuple[DataFrame,
             "request_seq", "actor_id", "now", "id", "quantity",
             F.lit(STOCK_UPDATE_REASON).alias("reason"), F.lit(False).alias("_short")))
     qseq = previous_value(qseq, ["id"], [F.col("request_seq")], "quantity", "_prev")
-    j = qseq.join(stored, qseq["id"] == stored["_iid"], "left")
+    j = stored_values(qseq, inventory, "quantity", "_stored")
     prev = F.coalesce(F.col("_prev"), F.col("_stored"))
     new = F.col("quantity")
     log = j.where(F.col("_short") | (new != prev)).select(

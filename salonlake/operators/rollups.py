@@ -213,22 +213,28 @@ def report_customers(t, per: Period) -> DataFrame:
 
 
 # ------------------------------------------------------------------ top-k
+def _named(dim: DataFrame, facts: DataFrame, key: str, cols: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` of ``facts`` in ``order`` with columns of their dimension:
+    only its ids meet all facts, its other columns the ``n`` that are left."""
+    held = facts.withColumnRenamed(key, "id").join(dim.select("id"), "id", "left_semi").orderBy(*order).limit(n)
+    names = dim.select(*cols).join(F.broadcast(held.select("id")), "id", "left_semi")  # n ids
+    out = held.join(F.broadcast(names), "id")
+    return out.select(*cols, *[c for c in facts.columns if c != key]).orderBy(*order)
+
+
 def top_services(t, per: Period, n: int) -> DataFrame:
     """Services with the most completed appointments in the period."""
     f = (_period_facts(t, per).where(_completed()).groupBy("service_id")
          .agg(F.count("id").alias("count"), _revenue().cast("double").alias("revenue")))
-    s = t["services"].select("id", "name")
-    return (s.join(f, s["id"] == f["service_id"], "inner").drop("service_id")
-            .orderBy(F.col("count").desc(), F.col("id")).limit(n))
+    return _named(t["services"], f, "service_id", ["id", "name"], [F.col("count").desc(), F.col("id")], n)
 
 
 def top_customers(t, per: Period, n: int) -> DataFrame:
     """Customers with the highest completed spend in the period."""
     f = (_period_facts(t, per).where(_completed()).groupBy("customer_id")
          .agg(F.count("id").alias("visits"), _revenue().cast("double").alias("total_spent")))
-    c = t["customers"].select("id", "full_name")
-    return (c.join(f, c["id"] == f["customer_id"], "inner").drop("customer_id")
-            .orderBy(F.col("total_spent").desc_nulls_last(), F.col("id")).limit(n))
+    return _named(t["customers"], f, "customer_id", ["id", "full_name"],
+                  [F.col("total_spent").desc_nulls_last(), F.col("id")], n)
 
 
 # ------------------------------------------------------------ simple counts

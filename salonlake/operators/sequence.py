@@ -133,6 +133,32 @@ def lag_scan(s: DataFrame, keys: list[str], order: list[Column], value: str,
     return _drop_carry(res, keys, "_first", "_lastv")
 
 
+# ------------------------------------------------------- scans without a job
+def bucketed_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: str, out: str) -> DataFrame:
+    """``out`` = sum of ``value`` over the rows of the same key up to and
+    including this row in ``order``, planned lazily: nothing runs and nothing is
+    written while the query is built.
+
+    ``bucket`` must never fall along ``order`` (a day of its leading time, a range
+    of its leading number). Being a function of the row alone, it gives both
+    passes the same slices whatever runs when: rows are dealt by (key, bucket) and
+    summed there, so a hot key is cut into its buckets, and what comes before a
+    bucket is a running sum over the key's bucket totals, one row per bucket
+    that the key has."""
+    rows = df.withColumn(SLICE, bucket)
+    within = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, SLICE).agg(F.sum(value).alias("_total"))
+    carry = carry.select(*[F.col(k).alias(f"_ck_{k}") for k in keys], F.col(SLICE).alias("_cp"),
+                         F.sum("_total").over(before).alias("_carry"))
+    local = rows.withColumn(out, F.sum(value).over(within))
+    on = F.col(SLICE).eqNullSafe(F.col("_cp"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_ck_{k}"))
+    j = local.join(carry, on).withColumn(out, _combine("sum", F.col(out), F.col("_carry")))
+    return _drop_carry(j, keys, SLICE)
+
+
 # --------------------------------------------------------- one-shot wrappers
 def running_agg(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str,
                 fn: str = "sum", inclusive: bool = True) -> DataFrame:

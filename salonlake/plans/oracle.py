@@ -117,7 +117,7 @@ SELECT event_id AS request_seq,
        CASE WHEN event_id % 4 = 0 THEN event_id + 100000000 ELSE event_id END AS id
 FROM events WHERE event_type = 'error' AND value > 300""",
     "new_users": """
-SELECT c_custkey AS request_seq,
+SELECT c_custkey AS request_seq, make_timestamp((1700000000 + c_custkey) * 1000000) AS now,
        CASE WHEN c_custkey % 11 = 0 THEN 'B' ELSE c_name END AS full_name,
        'u' || CAST(c_custkey % 130 AS VARCHAR) || '@example.com' AS email,
        CAST(NULL AS VARCHAR) AS phone,
@@ -145,6 +145,79 @@ UNION ALL
 SELECT event_id + 1000000000, event_id % 100, event_id, 'completed', CAST(value AS VARCHAR),
        NULL, NULL, NULL
 FROM events WHERE event_type = 'purchase'""",
+    "appointment_mixed": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now,
+       CASE event_type WHEN 'view' THEN 'insert' WHEN 'error' THEN 'cancel' ELSE 'update' END AS op,
+       CASE WHEN event_type <> 'view' THEN event_id END AS id,
+       CASE WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) END AS customer_id,
+       CASE WHEN event_type = 'view' THEN CAST(event_id % 200 AS VARCHAR) END AS service_id,
+       CASE WHEN event_type IN ('view', 'click') THEN CAST(user_id % 100 AS VARCHAR) END AS employee_id,
+       CASE WHEN event_type IN ('view', 'click') THEN strftime(CAST(ts AS DATE) - 9345, '%Y-%m-%d') END AS appointment_date,
+       CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'confirmed' END AS status,
+       CAST(NULL AS VARCHAR) AS notes, CAST(NULL AS VARCHAR) AS price
+FROM events""",
+    "customer_mixed": """
+SELECT 2 * o_orderkey AS request_seq, 'update' AS op, o_custkey AS id, NULL AS raw,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'Client <' || CAST(o_orderkey AS VARCHAR) || '>' END AS full_name,
+       CASE WHEN o_orderkey % 3 = 0 THEN '06' || CAST(20000000 + o_orderkey AS VARCHAR) END AS phone,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'n' || CAST(o_orderkey AS VARCHAR) || '@example.org'
+            WHEN o_orderkey % 9 = 0 THEN 'bad-email' END AS email,
+       CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS notes
+FROM orders
+UNION ALL
+SELECT 2 * o_orderkey + 1, 'delete', CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 100000000 ELSE o_custkey END,
+       NULL, NULL, NULL, NULL, NULL
+FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'
+UNION ALL
+SELECT CASE WHEN c_custkey % 89 <> 0 THEN c_custkey + 1000000000 END,
+       CASE WHEN c_custkey % 83 = 0 THEN 'merge' ELSE 'insert' END, NULL,
+       CASE WHEN c_custkey % 97 = 0 THEN '{' || CAST(c_custkey AS VARCHAR) END,
+       CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 10 = 1 THEN 'A' ELSE c_name END,
+       CASE WHEN c_custkey % 4 = 0 THEN '05' || CAST(c_custkey AS VARCHAR)
+            ELSE '05' || CAST(10000000 + c_custkey AS VARCHAR) END,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL
+            WHEN c_custkey % 5 = 0 THEN 'c' || CAST(c_custkey AS VARCHAR) || '@example'
+            ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END, c_mktsegment
+FROM customer""",
+    "ledger_mixed": """
+SELECT 3 * event_id AS request_seq, 'insert' AS op, NULL::BIGINT AS id,
+       CASE WHEN event_id % 13 = 0 THEN 'refund'
+            WHEN event_type IN ('purchase', 'signup') THEN 'income' ELSE 'expense' END AS type,
+       CASE WHEN event_id % 17 = 0 THEN 'x' ELSE event_type END AS category,
+       CASE WHEN event_id % 19 = 0 THEN '0' WHEN event_id % 23 = 0 THEN 'abc' ELSE CAST(value AS VARCHAR) END AS amount,
+       CASE WHEN event_id % 29 = 0 THEN '2024-02-30' ELSE strftime(ts, '%Y-%m-%d') END AS date, props AS description,
+       CASE WHEN event_type = 'purchase' THEN CAST(event_id AS VARCHAR) END AS appointment_id
+FROM events
+UNION ALL
+SELECT 3 * event_id + 1, 'update', event_id - event_id % 2, CASE WHEN event_id % 11 = 0 THEN 'gift' END, NULL,
+       CASE WHEN event_id % 5 = 0 THEN 'Infinity' WHEN event_id % 7 = 0 THEN '0' ELSE CAST(value AS VARCHAR) END,
+       NULL, NULL, NULL
+FROM events WHERE event_type IN ('view', 'error')
+UNION ALL
+SELECT 3 * event_id + 2, 'delete', CASE WHEN event_id % 4 = 0 THEN event_id + 100000000 ELSE event_id END,
+       NULL, NULL, NULL, NULL, NULL, NULL
+FROM events WHERE event_type = 'error' AND value > 300""",
+    "service_creates": """
+SELECT p_partkey AS request_seq, p_partkey % 20 AS actor_id, make_timestamp((1700000000 + p_partkey) * 1000000) AS now,
+       CASE WHEN p_partkey % 17 = 0 THEN 'x' WHEN p_partkey % 5 = 0 THEN '<b>' || p_name ELSE p_name END AS name,
+       CASE WHEN p_partkey % 19 = 0 THEN '-1' WHEN p_partkey % 23 = 0 THEN 'Infinity'
+            ELSE CAST(p_retailprice AS VARCHAR) END AS price,
+       CASE WHEN p_partkey % 13 = 0 THEN '4' WHEN p_partkey % 29 = 0 THEN '481'
+            ELSE CAST(p_size + 5 AS VARCHAR) END AS duration_minutes,
+       CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS category, p_type AS description
+FROM part""",
+    "ledger_changes": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now,
+       CASE WHEN event_id % 10 = 0 THEN event_id + 100000000 ELSE event_id - event_id % 4 END AS id,
+       CASE WHEN event_id % 11 = 0 THEN 'gift' WHEN event_id % 3 = 0 THEN 'expense' END AS type,
+       CASE WHEN event_id % 7 = 0 THEN 'c' WHEN event_id % 2 = 0 THEN event_type END AS category,
+       CASE WHEN event_id % 13 = 0 THEN '0' WHEN event_id % 4 = 1 THEN CAST(value AS VARCHAR) END AS amount,
+       CASE WHEN event_id % 17 = 0 THEN '2024-02-30' WHEN event_id % 5 = 0 THEN strftime(ts, '%Y-%m-%d') END AS date,
+       CAST(NULL AS VARCHAR) AS description
+FROM events""",
+    "appointment_cancels": """
+SELECT event_id AS request_seq, event_id % 20 AS actor_id, ts AS now, event_id - event_id % 3 AS id
+FROM events WHERE event_type IN ('error', 'signup')""",
     "stock_sets": """
 SELECT event_id AS request_seq, event_id % 20 AS actor_id,
        CASE WHEN event_id % 10 = 0 THEN user_id + 100000000 ELSE user_id END AS id,
@@ -216,7 +289,8 @@ FROM events""",
 _ORDER = ["users", "customers", "services", "appointments", "transactions", "inventory",
           "inventory_changes", "customer_changes", "customer_creates", "ledger_creates",
           "customer_deletes", "ledger_deletes", "new_users", "appointment_requests",
-          "appointment_updates", "stock_sets", "session_requests", "upload_manifest", "service_changes",
+          "appointment_updates", "appointment_mixed", "customer_mixed",
+          "ledger_mixed", "ledger_changes", "service_creates", "appointment_cancels", "stock_sets", "session_requests", "upload_manifest", "service_changes",
           "inventory_creates", "inventory_updates", "inventory_mixed"]
 
 _NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -260,9 +334,9 @@ def rule_errors_sql(rules) -> str:
         if r.max_length is not None:
             checks.append((f"length({v}) > {r.max_length}", "max_length"))
         if r.min is not None:
-            checks.append((f"{number_sql(v)} < {r.min}", "min"))
+            checks.append((f"COALESCE({number_sql(v)} < {r.min}, trim({v}) = '-Infinity')", "min"))
         if r.max is not None:
-            checks.append((f"{number_sql(v)} > {r.max}", "max"))
+            checks.append((f"COALESCE({number_sql(v)} > {r.max}, trim({v}) IN ('Infinity', '+Infinity'))", "max"))
         if r.enum is not None:
             lst = ", ".join(f"'{e}'" for e in r.enum)
             checks.append((f"{v} NOT IN ({lst})", "enum"))
@@ -283,6 +357,8 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in used)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

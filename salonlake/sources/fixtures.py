@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salonlake.operators.sequence import running_sum
+from salonlake.operators.sequence import bucketed_sum
 from salonlake.schemas import MONEY
 
 # Fixed value of the fixture mapping: ledger dates are shifted back this many
@@ -118,8 +118,8 @@ def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = (k % 7).cast("int") - 3
     e = e.withColumn("_q", q)
     # Running stock per item in (ts, event_id) order; skew-safe (one item may
-    # carry a large share of all changes).
-    e = running_sum(e, ["user_id"], [F.col("ts"), F.col("event_id")], "_q", "_run")
+    # carry a large share of all changes: its days are summed apart).
+    e = bucketed_sum(e, ["user_id"], F.to_date("ts"), [F.col("ts"), F.col("event_id")], "_q", "_run")
     return e.select(
         k.alias("id"),
         F.col("user_id").alias("inventory_id"),

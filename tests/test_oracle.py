@@ -3,17 +3,14 @@
 import pytest
 
 import __spark_entry__ as E
+from salonlake.plans.catalog import ORACLE, QUERIES
 from tests.conftest import SF_SMALL
 from tools.oracle_check import digest
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
 
-
-def test_every_query_is_registered_with_an_oracle_or_documented():
-    missing = sorted(set(QUERIES) - set(ORACLE))
-    # Only iterative / stateful operators may go without SQL.
-    assert set(missing) <= {"booking_batch_decisions"}, missing
+def test_every_query_is_registered_with_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):

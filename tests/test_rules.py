@@ -189,3 +189,47 @@ def test_by_ids_never_duplicates(spark):
     t = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     ids = spark.createDataFrame([(1,), (1,), (3,), (None,)], "x long")
     assert sorted(r.id for r in filters.by_ids(t, ids).collect()) == [1, 3]
+
+
+def test_day_rows_answer_any_period(spark, tmp_path):
+    from salonlake.operators import daily, rollups
+    from salonlake.params import PERIOD, Period
+    from salonlake.sources.fixtures import load_tables
+    from tests.conftest import SF_SMALL
+    t = load_tables(spark, SF_SMALL)
+    path = str(tmp_path / "days")
+    daily.store_days(t["appointments"], "service_id", path)
+    stored = daily.load_days(spark, "service_id", path)
+    rough = daily.report_services(t["services"], stored, PERIOD).collect()
+    exact = {r.id: r for r in rollups.report_services(t, PERIOD).collect()}
+    assert len(rough) == len(exact) > 0
+    for r in rough:
+        e = exact[r.id]
+        for c in r.asDict():
+            if c in ("unique_customers", "employees_provided"):
+                assert abs(r[c] - e[c]) <= 0.03 * e[c]
+            elif isinstance(r[c], float):
+                assert abs(r[c] - e[c]) < 1e-6
+            else:
+                assert r[c] == e[c]
+    # Late bookings: the days' rows are replaced, others stay.
+    day = t["appointments"].agg({"appointment_date": "min"}).first()[0]
+    some = t["appointments"].where(t["appointments"].appointment_date != day)
+    daily.store_days(some, "service_id", path, Period(day, day))
+    left = daily.load_days(spark, "service_id", path)
+    assert left.where(left.appointment_date == day).count() == 0
+    assert left.count() == stored.sparkSession.read.parquet(path).count() > 0
+
+
+def test_sketches_are_near_for_many_values(spark):
+    from salonlake.operators import daily
+    from salonlake.params import Period
+    import datetime as dt
+    from pyspark.sql import functions as F
+    rows = spark.range(200_000).select(
+        "id", F.lit(1).cast("long").alias("service_id"), (F.col("id") % 60_000).alias("customer_id"), (F.col("id") % 7).alias("employee_id"),
+        F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 20).cast("int")).alias("appointment_date"),
+        F.lit("completed").alias("status"), F.lit(1).cast("decimal(18,2)").alias("price"))
+    days = daily.day_rows(rows, "service_id")
+    got = daily.period_rows(days, "service_id", Period(dt.date(2024, 1, 1), dt.date(2024, 1, 31))).first()
+    assert abs(got.n_customer_id - 60_000) <= 0.03 * 60_000 and got.n_employee_id == 7 and got.visits == 200_000

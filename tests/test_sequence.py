@@ -110,3 +110,26 @@ def test_limiter_property_random_streams(spark):
         assert got == _replay(reqs, limit, dt.timedelta(seconds=ttl))
 
     check()
+
+
+def test_bucketed_sum_is_lazy_and_equals_the_window(spark):
+    from pyspark.sql import Window
+    from salonlake.operators.sequence import bucketed_sum
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 != 1, (F.col("id") % 11).cast("string")).alias("k"),
+        (F.col("id") * 7919 % 3001).alias("t"), (F.col("id") % 5 - 2).alias("v"))
+    seen = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = bucketed_sum(rows, ["k"], F.floor(F.col("t") / 100), [F.col("t")], "v", "s")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == seen  # no job has run
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = rows.withColumn("s", F.sum("v").over(w))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_stock_view_is_built_without_a_job(spark):
+    from salonlake.sources.fixtures import load_tables
+    from tests.conftest import SF_SMALL
+    seen = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    plan = load_tables(spark, SF_SMALL)["inventory_changes"]._jdf.queryExecution().executedPlan().toString()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - seen <= 1  # at most the schema's
+    assert "Scan ExistingRDD" not in plan  # no checkpoint
