@@ -26,12 +26,15 @@ one task, however hot.
 
 Stream form
 -----------
-``limit_requests_stream`` keeps (count, last accepted time) per key in
-``applyInPandasWithState`` and holds rows until the watermark passes them,
-so rows are folded in event-time order and on-time rows give the batch
-result. A row that arrives behind the watermark cannot be placed in the
-order any more: it is emitted with ``accepted`` NULL (undecided) and counted
-by ``late_rows``.
+``limit_requests_stream`` keeps (count, last accepted time) per key as one value,
+and the rows that wait for the watermark as entries of their own, by their
+millisecond, with an event-time timer each (``transformWithStateInPandas``). Timers
+fire in time order, so on-time rows give the batch result, and an entry is written
+and read once, however many others a hot key holds. A row that arrives behind the
+watermark cannot be placed in the order any more: it is emitted with ``accepted``
+NULL (``late_rows``), or, if it is behind the watermark of the batch before too,
+dropped and counted by the engine; the listener ``record_dropped_rows`` keeps
+those counts in a table.
 """
 
 from __future__ import annotations
@@ -132,77 +135,128 @@ def _follow_chain(nxt: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- streaming
-_STATE_SCHEMA = "n int, last_us long, pend_us array<long>, pend_id array<long>, pend_ts array<timestamp>"
-_OUT_SCHEMA = "client_key string, ts timestamp, request_id long, accepted boolean, count_after int"
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _limiter_fn(limit: int, ttl_us: int):
+def _processor(limit: int, ttl_us: int, id_type: str):
     import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
 
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            n, last, pus, pid, pts = state.get
-            pend = list(zip(pus or [], pid or [], pts or []))
-        elif state.exists:
-            n, last, pus, pid, pts = state.get
-            pend = list(zip(pus or [], pid or [], pts or []))
-        else:
-            n, last, pend = 0, None, []
-        wm = state.getCurrentWatermarkMs() * 1000
-        out = []
-        for pdf in pdfs:
-            for us, i, t in zip(pdf["_us"], pdf["_rid"], pdf["_ts"]):
-                if wm > 0 and int(us) <= wm:
-                    # Behind the watermark: its place in the order is gone.
-                    # Reported undecided instead of silently folded.
-                    out.append((key[0], t, int(i), None, None))
-                else:
-                    pend.append((int(us), int(i), t))
-        pend.sort(key=lambda x: (x[0], x[1]))
-        ready = [p for p in pend if p[0] <= wm]
-        keep = [p for p in pend if p[0] > wm]
-        for us, i, t in ready:
-            if last is not None and n > 0 and us >= last + ttl_us:
-                n = 0
-            if n >= limit:
-                out.append((key[0], t, i, False, n))
-            else:
-                n, last = n + 1, us
-                out.append((key[0], t, i, True, n))
-        live = last is not None and last + ttl_us > wm
-        if keep or live:
-            state.update((n, last, [p[0] for p in keep], [p[1] for p in keep],
-                          [p[2] for p in keep]))
-            # Wake when the watermark passes the oldest held row, or when the
-            # counter expires (to drop the key's state).
-            wake = keep[0][0] if keep else last + ttl_us
-            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=["client_key", "ts", "request_id", "accepted",
-                                         "count_after"])
-
-    return fn
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["client_key", "ts", "request_id", "accepted", "count_after"])
+        return out.astype({"accepted": "boolean", "count_after": "Int32"})
+
+    class Limiter(StatefulProcessor):
+        """Per client key: the counter, the rows that wait for the watermark by
+        their millisecond, and a timer for each such millisecond. A row is
+        written once, read once when its timer fires and removed; what else the
+        key holds is not touched."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.counter = handle.getValueState("counter", "n int, last_us long")
+            self.held = handle.getMapState("held", "ms long", f"us array<long>, rid array<{id_type}>, ts array<timestamp>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            late = []
+            for pdf in rows:
+                pdf = pdf.set_axis(["_k", "_ts", "_us", "_rid"], axis=1)  # they come by place
+                behind = pdf["_us"] // 1000 < timerValues.getCurrentWatermarkInMs()
+                late += [(key[0], t.to_pydatetime(), i, None, None) for t, i in zip(pdf["_ts"][behind], pdf["_rid"][behind].tolist())]
+                pdf = pdf[~behind]
+                for ms, part in pdf.groupby(pdf["_us"] // 1000, sort=True):
+                    at = (int(ms),)
+                    us, rid, ts = self.held.getValue(at) if self.held.containsKey(at) else ((), (), ())
+                    self.held.updateValue(at, ([*us, *map(int, part["_us"])], [*rid, *part["_rid"].tolist()],
+                                               [*ts, *(t.to_pydatetime() for t in part["_ts"])]))
+                    self.handle.registerTimer(int(ms) + 1)
+            return iter([frame(late)] if late else [])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            at = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
+            n, last = self.counter.get() if self.counter.exists() else (0, None)
+            if not self.held.containsKey(at):  # the time at which a counter may have expired
+                if last is not None and last + ttl_us <= timerValues.getCurrentWatermarkInMs() * 1000:
+                    self.counter.clear()
+                return iter([])
+            out = []
+            for us, rid, ts in sorted(zip(*self.held.getValue(at)), key=lambda x: x[:2]):
+                if last is not None and us >= last + ttl_us:
+                    n = 0
+                taken = n < limit
+                if taken:
+                    n, last = n + 1, us
+                out.append((key[0], ts, rid, taken, n))
+            self.held.removeKey(at)
+            self.counter.update((n, last))
+            self.handle.registerTimer((last + ttl_us) // 1000 + 2)
+            return iter([frame(out)])
+
+        def close(self) -> None:
+            pass
+
+    return Limiter()
 
 
 def limit_requests_stream(stream: DataFrame, key: str = "client_key", ts: str = "ts",
                           rid: str = "request_id", limit: int = REQUEST_LIMIT,
                           ttl_seconds: int = REQUEST_TTL_SECONDS,
                           lateness: str = "10 minutes") -> DataFrame:
-    """Streaming limiter (append mode). ``ts`` must be a TIMESTAMP column."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    """Streaming limiter (append mode). ``ts`` must be a TIMESTAMP column; request
+    ids are of any type with an order. Selects the state store that its kind of
+    state needs."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     s = (stream.select(F.coalesce(F.col(key).cast("string"), F.lit(UNKNOWN_CLIENT)).alias("_k"),
                        F.col(ts).cast("timestamp").alias("_ts"),
                        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"),
                        F.col(rid).alias("_rid"))
          .withWatermark("_ts", lateness))
-    out = s.groupBy("_k").applyInPandasWithState(
-        _limiter_fn(int(limit), int(ttl_seconds) * 1_000_000), _OUT_SCHEMA, _STATE_SCHEMA,
-        "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumnRenamed("client_key", key).withColumnRenamed("request_id", rid) \
-              .withColumnRenamed("ts", ts)
+    id_type = s.schema["_rid"].dataType.simpleString()
+    out = s.groupBy("_k").transformWithStateInPandas(
+        statefulProcessor=_processor(int(limit), int(ttl_seconds) * 1_000_000, id_type),
+        outputStructType=f"client_key string, ts timestamp, request_id {id_type}, accepted boolean, count_after int",
+        outputMode="append", timeMode="EventTime")
+    return out.withColumnsRenamed({"client_key": key, "request_id": rid, "ts": ts})
 
 
 def late_rows(out: DataFrame) -> DataFrame:
     """The undecided (late) rows of a limiter stream's output."""
     return out.where(F.col("accepted").isNull())
+
+
+_DROPPED = "query string, batch_id long, watermark string, dropped long"
+
+
+def record_dropped_rows(spark, path: str):
+    """Registers and returns a listener that writes, for every batch of any
+    query in which the engine dropped rows behind the watermark, how many to the
+    table ``dropped_rows`` reads. A batch's entry is overwritten if it is reported
+    again."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class DroppedRows(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            p = event.progress
+            n = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+            if n:
+                row = [(str(p.id), p.batchId, p.eventTime.get("watermark"), n)]
+                spark.createDataFrame(row, _DROPPED).coalesce(1).write.mode("overwrite").parquet(
+                    f"{path}/{p.id}-{p.batchId}")
+
+    listener = DroppedRows()
+    spark.streams.addListener(listener)
+    return listener
+
+
+def dropped_rows(spark, path: str) -> DataFrame:
+    """(query, batch_id, watermark, dropped) that ``record_dropped_rows`` wrote."""
+    return spark.read.schema(_DROPPED).option("recursiveFileLookup", "true").parquet(path)
