@@ -233,3 +233,11 @@ def test_sketches_are_near_for_many_values(spark):
     days = daily.day_rows(rows, "service_id")
     got = daily.period_rows(days, "service_id", Period(dt.date(2024, 1, 1), dt.date(2024, 1, 31))).first()
     assert abs(got.n_customer_id - 60_000) <= 0.03 * 60_000 and got.n_employee_id == 7 and got.visits == 200_000
+
+
+def test_infinities_meet_the_bounds(spark):
+    rows = spark.createDataFrame([("-Infinity",), (" Infinity",), ("+Infinity",), ("5",), ("x",)], "duration_minutes string")
+    rules = {"duration_minutes": V.SERVICE_UPDATE["duration_minutes"]}
+    got = {r.duration_minutes: r.errors for r in V.validate(rows, rules).collect()}
+    assert got == {"-Infinity": ["duration_minutes:min"], " Infinity": ["duration_minutes:max"],
+                   "+Infinity": ["duration_minutes:max"], "5": [], "x": ["duration_minutes:number"]}
