@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import common
 
 SAMPLE = 4000
+#: Shares of the labelled texts whose least hashes are found apart.
+SHARES = 64
 THRESHOLD, STEPS, L2 = 0.7, 300, 1e-3
 
 # Character classes of UTF-8 bytes.
@@ -210,8 +212,12 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     hashed = texts.select("_id", F.xxhash64("t").alias("h")).join(marked, "_id")
     # Only ids and hashes are shuffled, and of those each task's least ones.
     once = hashed.groupBy("h", "y").agg(F.min("_id").alias("_id"))
-    least = Window.partitionBy("y").orderBy("h")
-    picked = once.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= sample // 2).drop("_r")
+    # First the least of every share, then, of at most SHARES times that many, of each label.
+    picked = once.withColumn("_s", F.pmod(F.xxhash64("h"), F.lit(SHARES)))
+    for by in (("y", "_s"), ("y",)):
+        least = Window.partitionBy(*by).orderBy("h")
+        picked = picked.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= sample // 2).drop("_r")
+    picked = picked.drop("_s")
     whole = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(picked), ["_id", "h"])  # ``sample`` rows at most
     return whole.dropDuplicates(["h", "y"]).select("y", "h", "t")  # an id may have many rows
 
