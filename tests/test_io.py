@@ -284,7 +284,7 @@ def test_batch_keeps_times_notes_and_order(spark):
         "request_seq long, actor_id long, now timestamp, op string, id long, name string")
     for c in ("price", "duration_minutes", "category", "description"):
         asked = asked.withColumn(c, F.lit(None).cast("string"))
-    r = changes._services(services, asked).first()
+    r = changes._services({"services": services}, asked).tables["services"][0].first()
     assert (r["name"], r.is_active) == ("early", 0)
 
 
