@@ -10,9 +10,9 @@ batch creates has no id that its sender can know yet, so a request naming it is
 ``not_found``.
 
 Decisions need only the ids and e-mails that the batch names: the stored table
-is cut to them with a semi join before anything is shuffled, and what earlier
-requests of the batch did to a row is the first delete of its id, a partial
-aggregate.
+is cut to them by a join before anything is shuffled (AQE broadcasts the list
+when it is small), and what earlier requests of the batch did to a row is the
+first delete of its id, a partial aggregate that comes with that list.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from salonlake.functions import validation as V
 from salonlake.functions.expressions import blank, escape_markup, parse_number
+from salonlake.operators.sequence import slices
 from salonlake.operators.writes import parse_int_prefix
 from salonlake.sources.changes import CORRUPT
 
@@ -105,6 +106,22 @@ def _first(judged: DataFrame, *keys: str) -> DataFrame:
     return judged.groupBy(*keys).agg(F.min("request_seq").alias("_first"))
 
 
+def _looked_up(judged: DataFrame, key: str, *tables: tuple[DataFrame, str]) -> DataFrame:
+    """``judged`` left joined by ``key`` with each (table, its key). Requests
+    without a key (every insert has no id) find nothing: they go past the
+    joins, where the one null key would send them all to one task. The tables
+    hold a narrow row or two for a key, so tasks hash those; a merge join would
+    keep and sort the wide requests. They are dealt into all partitions of the
+    session (AQE would merge them by compressed bytes, whatever their rows take
+    in memory)."""
+    found, rest = judged.where(F.col(key).isNotNull()), judged.where(F.col(key).isNull())
+    found = found.repartition(slices(judged.sparkSession), key)
+    for table, its in tables:
+        found = found.join(table.hint("shuffle_hash"), F.col(key) == F.col(its), "left")
+        rest = rest.withColumns({f.name: F.lit(None).cast(f.dataType) for f in table.schema.fields})
+    return found.unionByName(rest)
+
+
 def decide_changes(current: DataFrame, batch: DataFrame, entity: str) -> DataFrame:
     """``batch`` with outcome ('applied' or 'rejected'), reason (NULL when
     applied) and errors (rule codes): exactly one row for each of its rows.
@@ -114,12 +131,12 @@ def decide_changes(current: DataFrame, batch: DataFrame, entity: str) -> DataFra
     open_ = F.col("_early").isNull() & (F.size("errors") == 0)
     reason = F.coalesce(F.col("_early"), F.when(F.size("errors") > 0, F.lit("invalid")))
     if e.update or e.deletes:
-        asked = judged.where(F.col("_op") != "insert").select(F.col("id").cast("bigint").alias("id")).where("id is not null").distinct()
-        stored = current.join(asked, "id", "left_semi").select(
-            F.col("id").alias("_sid"), ((F.col("is_active") == 1) if e.deletes == "soft" else F.lit(True)).alias("_live")).distinct()
-        gone = _first(judged.where(open_ & (F.col("_op") == "delete")).withColumn("_did", F.col("id").cast("bigint")), "_did")
-        judged = judged.join(stored, F.col("id").cast("bigint") == F.col("_sid"), "left").join(
-            gone, F.col("_sid") == F.col("_did"), "left")
+        judged = judged.withColumn("_id", F.col("id").cast("bigint"))
+        asked = judged.where((F.col("_op") != "insert") & F.col("_id").isNotNull()).groupBy(F.col("_id").alias("id")).agg(
+            F.min(F.when(open_ & (F.col("_op") == "delete"), F.col("request_seq"))).alias("_first"))
+        stored = current.join(asked, "id").select(
+            F.col("id").alias("_sid"), ((F.col("is_active") == 1) if e.deletes == "soft" else F.lit(True)).alias("_live"), "_first").distinct()
+        judged = _looked_up(judged, "_id", (stored, "_sid"))
         earlier = F.coalesce(F.col("request_seq") > F.col("_first"), F.lit(False))
         missing = F.col("_sid").isNull()
         if e.deletes == "soft":  # a second delete rewrites who and when
@@ -133,7 +150,7 @@ def decide_changes(current: DataFrame, batch: DataFrame, entity: str) -> DataFra
         asked = judged.select("_key").where("_key is not null").distinct()
         taken = current.select(F.col(e.unique).alias("_taken")).join(asked, F.col("_taken") == F.col("_key"), "left_semi").distinct()
         first = _first(judged.where("_key is not null"), "_key").withColumnRenamed("_key", "_mine")
-        judged = judged.join(taken, F.col("_key") == F.col("_taken"), "left").join(first, F.col("_key") == F.col("_mine"), "left")
+        judged = _looked_up(judged, "_key", (taken, "_taken"), (first, "_mine"))
         again = F.col("_taken").isNotNull() | F.coalesce(F.col("request_seq") > F.col("_first"), F.lit(False))
         reason = F.coalesce(reason, F.when(again, F.lit("duplicate")))
     return _told(judged, reason, batch)

@@ -25,7 +25,7 @@ SLICE = "_slice"
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _slices(spark) -> int:
+def slices(spark) -> int:
     try:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except (TypeError, ValueError):
@@ -44,7 +44,7 @@ def sliced(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     executor does not re-sample."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = _slices(spark)
+    n = slices(spark)
     return (df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
               .withColumn(SLICE, F.spark_partition_id())
               .checkpoint(eager=True))

@@ -189,6 +189,39 @@ def test_empty_batch_and_clashing_columns(spark):
     assert decide_changes(cur, rows.limit(0), "customers").count() == 0
 
 
+def _largest_share(df):
+    """Rows of ``df`` and of its largest partition."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return sum(sizes), max(sizes)
+
+
+@pytest.mark.parametrize("entity", ["transactions", "users"])
+def test_requests_without_a_key_do_not_meet_in_one_task(spark, entity):
+    """Inserts have no id and invalid e-mails no key; with a null join key all
+    of them would be dealt to one partition."""
+    had = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        k = F.col("id")
+        rows = spark.range(0, 4000, 1, 4).select(
+            k.alias("request_seq"), F.when(k % 10 == 0, "delete" if entity == "transactions" else "insert").otherwise("insert").alias("op"),
+            F.when(k % 10 == 0, k).alias("id"), F.lit("income").alias("type"), F.lit("rent").alias("category"), F.lit("5").alias("amount"),
+            F.lit("2024-01-05").alias("date"), F.lit("Ann Lee").alias("full_name"), F.lit("secret-Pass1").alias("password"),
+            F.lit("manager").alias("role"), F.when(k % 10 == 0, F.concat(F.lit("a"), k, F.lit("@x.org"))).otherwise(F.lit("bad")).alias("email"))
+        current = spark.range(0, 2000, 20).select("id", F.concat(F.lit("a"), "id", F.lit("@x.org")).alias("email"))
+        got = decide_changes(current, rows, entity)
+        total, most = _largest_share(got)
+        assert total == 4000 and most <= 2000
+        lost = got.where("id is not null and outcome = 'rejected'")
+        assert {(r.id, r.reason) for r in lost.collect()} == {
+            (i, "not_found" if entity == "transactions" else "duplicate") for i in range(0, 4000, 10)
+            if (i < 2000 and i % 20 == 0) == (entity == "users")}
+    finally:
+        for name, v in had.items():
+            spark.conf.set(name, v)
+
+
 def _files(path):
     return {os.path.join(d, f)[len(path):] for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
 
