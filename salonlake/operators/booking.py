@@ -26,7 +26,9 @@ found the sequential result. Rounds work on a shrinking frontier:
   * requests fall into components that share no appointment and no slot that
     one of their appointments could ever be in; a component in which a round
     changed nothing is settled and leaves the working set;
-  * after the second round, components of at most ``REPLAY`` requests that are
+  * a batch of more than ``REPLAY`` requests goes through up to ``ROUNDS`` rounds
+    whole, which settle ordinary contention; most batches end here;
+  * after those (a smaller batch: after the second), components of at most ``REPLAY`` requests that are
     not settled (long chains in which each outcome hangs on the one before) are
     replayed one by one, each in one task, at a cost in proportion to their
     rows; a larger one, such as a hot slot, goes on in bulk rounds, which settle
@@ -47,6 +49,9 @@ from salonlake.session import ensure_checkpoint_dir
 
 #: Requests of a component that one task replays.
 REPLAY = 50_000
+#: Bulk rounds of a batch of more than ``REPLAY`` requests before its components
+#: are sought.
+ROUNDS = 10
 #: Slots an appointment may reach before its employees stand for them.
 _REACH = 64
 _NEVER = -(2 ** 62)  # event time of the snapshot: before every request
@@ -142,6 +147,11 @@ def _decide(s: DataFrame, open_snap: DataFrame) -> DataFrame:
                                                               F.lit(False)))))))
     checked = checked & emp_t.isNotNull() & (emp_t != 0) & date_t.isNotNull()
     st = st.withColumn("emp_t", F.when(checked, emp_t)).withColumn("date_t", F.when(checked, date_t))
+    held = (F.col("emp_b") == F.col("emp_t")) & (F.col("date_b") == F.col("date_t")) & _is_open(F.col("status_b"))
+    st = st.select(
+        "request_seq", "akey", "acc", "is_valid", "found", "emp_t", "date_t", "emp_b", "date_b", "emp_a", "date_a",
+        _is_open(F.col("status_b")).alias("open_b"), _is_open(F.col("status_a")).alias("open_a"),
+        ins.alias("ins"), F.when(held, 1).otherwise(0).cast("bigint").alias("own"))
     st = st.checkpoint(eager=True)
 
     q = st.where(F.col("emp_t").isNotNull())
@@ -149,12 +159,10 @@ def _decide(s: DataFrame, open_snap: DataFrame) -> DataFrame:
     # Events: +1/-1 when an accepted request moves its appointment in/out of
     # an open slot; the snapshot's open rows enter before every request.
     a = st.where(F.col("acc"))
-    before_open = _is_open(F.col("status_b"))
-    after_open = _is_open(F.col("status_a"))
-    leave = a.where(before_open & F.col("emp_b").isNotNull()).select(
+    leave = a.where(F.col("open_b") & F.col("emp_b").isNotNull()).select(
         F.col("emp_b").alias("e"), F.col("date_b").alias("d"), "request_seq",
         F.lit(-1).alias("w"), F.col("akey").alias("tie"))
-    enter = a.where(after_open & F.col("emp_a").isNotNull()).select(
+    enter = a.where(F.col("open_a") & F.col("emp_a").isNotNull()).select(
         F.col("emp_a").alias("e"), F.col("date_a").alias("d"), "request_seq",
         F.lit(1).alias("w"), F.col("akey").alias("tie"))
     # A request meets the events of strictly earlier requests: at equal
@@ -166,25 +174,23 @@ def _decide(s: DataFrame, open_snap: DataFrame) -> DataFrame:
         F.when(F.col("tie") == 0, F.lit(0)).otherwise(F.col("w")).cast("bigint").alias("w0"))
     snap = open_snap.select("e", "d", F.lit(_NEVER).alias("request_seq"), F.lit(0).cast("bigint").alias("tie"), "w", "w0")
     ev = moved.unionByName(snap).join(targets, ["e", "d"], "left_semi").select(
-        "e", "d", "request_seq", F.lit(1).alias("kind"), "tie", "w", "w0")
+        "e", "d", "request_seq", F.lit(1).alias("kind"), "tie", "w", "w0", F.lit(False).alias("ins"),
+        F.lit(0).cast("bigint").alias("own"))
     qs = q.select(F.col("emp_t").alias("e"), F.col("date_t").alias("d"), "request_seq",
                   F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("tie"),
-                  F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("w0"))
+                  F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("w0"), "ins", "own")
     order = ["request_seq", "kind", "tie"]
     u = sliced(ev.unionByName(qs), ["e", "d"], [F.col(c) for c in order])
     u = scan(u, ["e", "d"], order, ["w", "w0"], ["occ", "occ0"])
-    occ = u.where(F.col("kind") == 0).select("request_seq", "occ", "occ0")
-
-    j = st.join(occ, "request_seq", "left")
-    self_in = (F.col("emp_b") == F.col("emp_t")) & (F.col("date_b") == F.col("date_t")) \
-        & _is_open(F.col("status_b"))
-    others = F.when(ins, F.coalesce(F.col("occ0"), F.lit(0))).otherwise(
-        F.coalesce(F.col("occ"), F.lit(0)) - F.when(self_in, 1).otherwise(0))
-    decision = (F.when(~F.col("is_valid"), F.lit("invalid"))
-                 .when(~F.col("found"), F.lit("not_found"))
-                 .when(F.col("emp_t").isNotNull() & (others > 0), F.lit("conflict"))
-                 .otherwise(F.lit("accepted")))
-    return j.select("request_seq", decision.alias("decision"))
+    # A request's row of the scan brings all that its decision needs: the wide
+    # requests are not joined with it.
+    others = F.when(F.col("ins"), F.coalesce(F.col("occ0"), F.lit(0))).otherwise(F.coalesce(F.col("occ"), F.lit(0)) - F.col("own"))
+    met = u.where(F.col("kind") == 0).select(
+        "request_seq", F.when(others > 0, F.lit("conflict")).otherwise(F.lit("accepted")).alias("decision"))
+    free = st.where(F.col("emp_t").isNull()).select(
+        "request_seq", F.when(~F.col("is_valid"), F.lit("invalid")).when(~F.col("found"), F.lit("not_found"))
+        .otherwise(F.lit("accepted")).alias("decision"))
+    return free.unionByName(met)
 
 
 def decide_batch(appointments: DataFrame, batch: DataFrame) -> DataFrame:
@@ -197,10 +203,18 @@ def decide_batch(appointments: DataFrame, batch: DataFrame) -> DataFrame:
     r = sliced(_prepare(appointments, batch), ["akey"], [F.col("request_seq")])
     open_snap = _open_counts(appointments, r)
     acts = F.col("is_valid") & F.col("found")
-    first = _round(r, r.select("request_seq", acts.alias("acc")), open_snap)
+    first = _round(r, r.groupBy("request_seq").agg(F.min(acts).alias("acc")), open_snap)
     now = _round(r, _accepted(first), open_snap)
     done = _undecided(first, now)
-    if done.isEmpty():
+    # Contention for slots settles in a few rounds of the whole batch, each far
+    # cheaper than the components of a large one.
+    rounds, left = 2, not done.isEmpty()
+    if left and r.where(acts).count() > REPLAY:
+        while left and rounds < ROUNDS:
+            before, now = now, _round(r, _accepted(now), open_snap)
+            done = _undecided(before, now)
+            rounds, left = rounds + 1, not done.isEmpty()
+    if not left:
         return _told(r, now)
 
     # The rest, by components: settled ones, short ones, long ones.
@@ -226,11 +240,13 @@ def decide_batch(appointments: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def _told(r: DataFrame, decisions: DataFrame) -> DataFrame:
-    return r.join(decisions, "request_seq").select("request_seq", "op", "id", "decision")
+    one = decisions.groupBy("request_seq").agg(F.max("decision").alias("decision"))
+    return r.join(one, "request_seq").select("request_seq", "op", "id", "decision")
 
 
 def _accepted(decisions: DataFrame) -> DataFrame:
-    return decisions.select("request_seq", (F.col("decision") == "accepted").alias("acc"))
+    """One row for a ``request_seq``, also if its rows come more than once."""
+    return decisions.groupBy("request_seq").agg(F.min(F.col("decision") == "accepted").alias("acc"))
 
 
 def _undecided(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from salonlake.operators.booking import apply_appointment_batch
@@ -162,6 +163,28 @@ def test_components_settle_in_bulk_or_by_replay_alike(spark, monkeypatch):
         assert {r.request_seq: r.decision for r in booking.decide_batch(snap, req).collect()} == want
 
 
+def test_contention_of_a_large_batch_settles_without_components(spark, monkeypatch):
+    """Moves that hang on each other a few deep: two rounds do not settle them,
+    some more do, and the components of the whole batch are not sought."""
+    from salonlake.operators import booking
+    monkeypatch.setattr(booking, "REPLAY", 20)
+    monkeypatch.setattr(booking, "_components", lambda r: pytest.fail("components of the whole batch"))
+    day = dt.date(2024, 1, 1)
+    snapshot, batch = [], []
+    for g in range(20):  # appointment k of a group moves to the slot of k - 1; the first slot is taken
+        snapshot += [(10 * g + k, 10 * g + k + 1, day, "scheduled") for k in range(1, 5)] + [(10 * g + 5, 10 * g + 1, day, "confirmed")]
+        batch += [(10 * g + k, "update", 10 * g + k, str(10 * g + k), None, None) for k in range(1, 5)]
+    got = booking.decide_batch(*_frames(spark, snapshot, batch)).collect()
+    assert len(got) == 80 and {r.decision for r in got} == {"conflict"}
+
+
+def test_a_request_that_comes_twice_is_not_multiplied(spark):
+    from salonlake.operators import booking
+    snapshot, batch = _moves(3, False)
+    got = booking.decide_batch(*_frames(spark, snapshot, batch + batch[:1])).collect()
+    assert sorted(r.request_seq for r in got) == [1, 1, 2, 3]
+
+
 def test_components_of_a_path_and_a_star(spark):
     from salonlake.operators.components import components
     edges = [(f"p{i}", f"p{i + 1}") for i in range(300)] + [("hub", f"x{i}") for i in range(200)] + [("z", "z")]
